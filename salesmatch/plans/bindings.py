@@ -61,7 +61,7 @@ def interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     return o.select(
         F.col("o_orderkey").alias("interaction_id"), F.col("o_custkey").alias("customer_id"),
-        F.col("o_orderdate").cast("date").alias("interaction_date"),
+        F.col("o_orderdate").alias("interaction_date"),
         F.col("o_orderpriority").alias("interaction_type"),
         F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("amount"))
 
@@ -132,7 +132,7 @@ SQL = {
         FROM part""",
     "interactions": """
         SELECT o_orderkey AS interaction_id, o_custkey AS customer_id,
-               CAST(o_orderdate AS DATE) AS interaction_date, o_orderpriority AS interaction_type,
+               o_orderdate AS interaction_date, o_orderpriority AS interaction_type,
                o_orderstatus AS status, o_totalprice AS amount
         FROM orders""",
     "evaluations": """
