@@ -152,7 +152,7 @@ def down_sample(spark, sf_dir):
         "trace_name", "minute", "requests", "point_index")
 
 
-@query("candidate_text", B.with_ctes("customers", "vehicles") + """,
+CANDIDATE_TEXT_SQL = """
 cand AS (SELECT c.customer_id, v.*,
                 row_number() OVER (PARTITION BY c.customer_id ORDER BY v.price, v.vehicle_id) AS rn
          FROM customers c JOIN vehicles v ON v.price BETWEEN c.budget_min AND c.budget_max
@@ -163,11 +163,13 @@ lines AS (SELECT customer_id, rn,
            ELSE CAST(price AS VARCHAR) || '円' END
    || ' ' || body_type || ' features: '
    || coalesce(nullif(array_to_string(features, ', '), ''), '-') AS line
-   FROM cand)
-SELECT customer_id, string_agg(line, chr(10) ORDER BY rn) AS candidate_text, count(*) AS lines
-FROM lines GROUP BY customer_id
-""")
-def candidate_text(spark, sf_dir):
+   FROM cand),
+candidate_text AS (SELECT customer_id, string_agg(line, chr(10) ORDER BY rn) AS candidate_text,
+                          count(*) AS lines
+                   FROM lines GROUP BY customer_id)"""
+
+
+def candidate_text_df(spark, sf_dir):
     """The first 20 in-budget vehicles of each customer folded
     into one text block, one line per vehicle in price order."""
     c = B.customers(spark, sf_dir).select("customer_id", "budget_min", "budget_max")
@@ -179,3 +181,10 @@ def candidate_text(spark, sf_dir):
                     F.lit(" features: "), list_text("features"))
     return metrics.fold_lines(cand.withColumn("line", line), ["customer_id"], "rn", "line",
                               out="candidate_text")
+
+
+@query("candidate_text", B.with_ctes("customers", "vehicles") + "," + CANDIDATE_TEXT_SQL
+       + "\nSELECT * FROM candidate_text")
+def candidate_text(spark, sf_dir):
+    """Candidate text block per customer."""
+    return candidate_text_df(spark, sf_dir)

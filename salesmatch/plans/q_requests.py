@@ -1 +1,272 @@
-"""placeholder"""
+"""Request/response tables: request building, batch scoring, strict parsing,
+rule routing, insight flattening and agent-output folding."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from salesmatch import schemas
+from salesmatch.functions import jsonparse
+from salesmatch.functions.text import budget_label
+from salesmatch.operators import ranking, requests, sessions
+from salesmatch.plans import bindings as B
+from salesmatch.plans.q_metrics import CANDIDATE_TEXT_SQL, candidate_text_df
+from salesmatch.plans.registry import query
+from salesmatch.session import shared_dir
+from salesmatch.sources import io
+
+REPLY_FORMAT = ('Reply with JSON only: {"recommendations": [{"vehicle_id": <id>, '
+                '"match_score": <0-100>, "reason": "<text>"}]}')
+
+
+def _context_df(spark, sf_dir):
+    cust = B.customers(spark, sf_dir)
+    latest = ranking.latest_per_key(
+        B.interactions(spark, sf_dir).select("customer_id", "interaction_date", "interaction_type",
+                                             "interaction_id"),
+        ["customer_id"], ["interaction_date", "interaction_id"])
+    cands = candidate_text_df(spark, sf_dir).select("customer_id", "candidate_text")
+    text = F.concat_ws(
+        "\n",
+        F.concat(F.lit("Customer: "), F.col("name"), F.lit(" ("), F.col("occupation"), F.lit(")")),
+        F.concat(F.lit("Budget: "), budget_label("budget_min", "budget_max")),
+        F.concat(F.lit("Latest interaction: "), F.coalesce(
+            F.concat(F.date_format("interaction_date", "yyyy-MM-dd"), F.lit(" "), F.col("interaction_type")),
+            F.lit("none"))),
+        F.lit("Candidates:"), F.coalesce(F.col("candidate_text"), F.lit("-")),
+        F.lit(REPLY_FORMAT))
+    return (cust.join(latest, "customer_id", "left").join(cands, "customer_id", "left")
+            .select(F.col("customer_id").alias("session_id"), text.alias("context")))
+
+
+@query("request_table", B.with_ctes("customers", "vehicles", "interactions", "chat_turns") + ","
+       + CANDIDATE_TEXT_SQL + f""",
+latest AS (SELECT customer_id, interaction_date, interaction_type FROM interactions
+           QUALIFY row_number() OVER (PARTITION BY customer_id
+                                      ORDER BY interaction_date DESC, interaction_id DESC) = 1),
+ctx AS (SELECT c.customer_id AS session_id,
+   'Customer: ' || c.name || ' (' || c.occupation || ')' || chr(10)
+   || 'Budget: ' || CASE WHEN c.budget_min IS NOT NULL AND c.budget_max IS NOT NULL AND c.budget_min <> 0
+                              AND c.budget_max <> 0
+                         THEN '¥' || format('{{:,}}', c.budget_min) || ' 〜 ¥' || format('{{:,}}', c.budget_max)
+                         ELSE '-' END || chr(10)
+   || 'Latest interaction: ' || coalesce(strftime(l.interaction_date, '%Y-%m-%d') || ' ' || l.interaction_type,
+                                         'none') || chr(10)
+   || 'Candidates:' || chr(10) || coalesce(t.candidate_text, '-') || chr(10)
+   || '{REPLY_FORMAT}' AS content
+   FROM customers c LEFT JOIN latest l USING (customer_id) LEFT JOIN candidate_text t USING (customer_id))
+SELECT session_id, CAST(-1 AS BIGINT) AS turn, 'system' AS role, content FROM ctx
+UNION ALL
+SELECT session_id, turn, role, content FROM chat_turns
+WHERE session_id IN (SELECT customer_id FROM customers)
+""")
+def request_table(spark, sf_dir):
+    """One request per customer: a system context row (profile, budget,
+    latest interaction, candidate block, reply format) followed by the
+    customer's conversation turns."""
+    ctx = _context_df(spark, sf_dir)
+    turns = B.chat_turns(spark, sf_dir).join(ctx.select("session_id"), "session_id", "left_semi")
+    return sessions.with_context(turns, ctx, "context")
+
+
+REC_LIST = T.StructType([T.StructField("recommendations", T.ArrayType(schemas.RECOMMENDATION_ITEM))])
+
+
+@query("batch_score")
+def batch_score(spark, sf_dir):
+    """Score every customer's request in Arrow batches, stamp
+    the responses (uuid, time, model) and parse them back. Responses are
+    checkpointed to the shared folder so a lost executor never re-runs the
+    scorer for finished partitions. No oracle: ids and times are fresh."""
+    from salesmatch.plans.q_matching import match_score
+
+    top = match_score(spark, sf_dir)
+    cand = top.groupBy("customer_id").agg(
+        F.array_sort(F.collect_list(F.struct("rank", "vehicle_id", "match_score"))).alias("_c"))
+    req = (B.customers(spark, sf_dir).select("customer_id").join(cand, "customer_id", "left")
+           .select("customer_id",
+                   F.coalesce(F.transform("_c", lambda x: x["vehicle_id"]), F.array().cast("array<bigint>"))
+                   .alias("candidate_ids"),
+                   F.coalesce(F.transform("_c", lambda x: x["match_score"]), F.array().cast("array<int>"))
+                   .alias("candidate_scores")))
+    shared_dir(spark)
+    resp = requests.score_batch(req, inputs=["candidate_ids", "candidate_scores"]).checkpoint()
+    ok, parsed = jsonparse.parse_fenced_braced("response_text", REC_LIST)
+    stamped = io.stamp(resp, "recommendation_id", "echo-scorer")
+    return stamped.select("recommendation_id", "customer_id", "response_text", ok.alias("ok"),
+                          F.size(F.coalesce(parsed["recommendations"], F.array())).alias("n_recs"),
+                          "generated_at", "model_used")
+
+
+_RAW_SQL = """
+src AS (SELECT l_orderkey, l_linenumber, l_partkey,
+          '{"order":' || CAST(l_orderkey AS VARCHAR) || ',"part":' || CAST(l_partkey AS VARCHAR)
+          || ',"qty":' || CAST(l_quantity AS VARCHAR) || '}' AS j
+        FROM lineitem),
+raw AS (SELECT l_orderkey, l_linenumber, CASE l_linenumber
+          WHEN 1 THEN j
+          WHEN 2 THEN 'Sure! ' || j || ' Hope this helps.'
+          WHEN 3 THEN j || ' and ' || j
+          WHEN 4 THEN '```json' || chr(10) || j || chr(10) || '```'
+          WHEN 5 THEN '```' || chr(10) || j || chr(10) || '``` done'
+          WHEN 6 THEN left(j, length(j) - 1)
+          ELSE 'I cannot answer that.' END AS text
+        FROM src)"""
+
+_PAYLOAD = T.StructType([T.StructField("order", T.LongType()), T.StructField("part", T.LongType()),
+                         T.StructField("qty", T.DoubleType())])
+
+
+def _raw_responses(spark, sf_dir):
+    """Model-like reply texts built from line items: the reply shape depends on
+    the line number (bare, prose around, two objects, fenced, bare fence,
+    broken, no JSON), so every parse branch sees real rows."""
+    li = B.table(spark, sf_dir, "lineitem")
+    j = F.concat(F.lit('{"order":'), F.col("l_orderkey").cast("string"), F.lit(',"part":'),
+                 F.col("l_partkey").cast("string"), F.lit(',"qty":'), F.col("l_quantity").cast("string"),
+                 F.lit("}"))
+    n = F.col("l_linenumber")
+    text = (F.when(n == 1, j)
+            .when(n == 2, F.concat(F.lit("Sure! "), j, F.lit(" Hope this helps.")))
+            .when(n == 3, F.concat(j, F.lit(" and "), j))
+            .when(n == 4, F.concat(F.lit("```json\n"), j, F.lit("\n```")))
+            .when(n == 5, F.concat(F.lit("```\n"), j, F.lit("\n``` done")))
+            .when(n == 6, F.substring(j, F.lit(1), F.length(j) - 1))
+            .otherwise(F.lit("I cannot answer that.")))
+    return li.select("l_orderkey", "l_linenumber", text.alias("text"))
+
+
+def _strict_sql(x: str) -> str:
+    return f"(CASE WHEN coalesce(json_valid({x}), false) THEN json_type({x}) = 'OBJECT' ELSE false END)"
+
+
+_STRIP = "regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+_FENCE = ("CASE WHEN contains(text, '```json') THEN split_part(split_part(text, '```json', 2), '```', 1) "
+          "WHEN contains(text, '```') THEN split_part(text, '```', 2) ELSE text END")
+
+
+@query("parse_brace", "WITH " + _RAW_SQL.strip() + """,
+cut AS (SELECT *, regexp_extract(text, '\\{.*\\}', 0, 's') AS c FROM raw)
+SELECT l_orderkey, l_linenumber, """ + _strict_sql("c") + """ AS ok,
+       CASE WHEN """ + _strict_sql("c") + """ THEN CAST(json_extract(c, '$.part') AS BIGINT) END AS part,
+       CASE WHEN """ + _strict_sql("c") + """ THEN CAST(json_extract(c, '$.qty') AS DOUBLE) END AS qty
+FROM cut
+""")
+def parse_brace(spark, sf_dir):
+    """Brace cut + strict parse of every reply."""
+    raw = _raw_responses(spark, sf_dir)
+    ok, parsed = jsonparse.parse_brace("text", _PAYLOAD)
+    return raw.select("l_orderkey", "l_linenumber", ok.alias("ok"), parsed["part"].alias("part"),
+                      parsed["qty"].alias("qty"))
+
+
+@query("parse_fence", "WITH " + _RAW_SQL.strip() + f""",
+f AS (SELECT *, {_FENCE} AS fenced FROM raw),
+g AS (SELECT *, regexp_extract(fenced, '\\{{.*\\}}', 0, 's') AS rec_cut,
+             {_STRIP.format(x="fenced")} AS ins_cut FROM f)
+SELECT l_orderkey, l_linenumber,
+       {_strict_sql("rec_cut")} AS ok_rec,
+       CASE WHEN {_strict_sql("rec_cut")} THEN CAST(json_extract(rec_cut, '$.part') AS BIGINT) END AS rec_part,
+       {_strict_sql("ins_cut")} AS ok_insight,
+       coalesce(CASE WHEN {_strict_sql("ins_cut")} THEN CAST(json_extract(ins_cut, '$.part') AS BIGINT) END,
+                -1) AS insight_part
+FROM g
+""")
+def parse_fence(spark, sf_dir):
+    """Fence cut; the recommendation variant then cuts to
+    braces, the insight variant parses the stripped block as is and falls back
+    to a constant record (part -1) when that fails."""
+    raw = _raw_responses(spark, sf_dir)
+    ok_r, rec = jsonparse.parse_fenced_braced("text", _PAYLOAD)
+    ok_i, ins = jsonparse.parse_fenced("text", _PAYLOAD)
+    return raw.select("l_orderkey", "l_linenumber", ok_r.alias("ok_rec"), rec["part"].alias("rec_part"),
+                      ok_i.alias("ok_insight"), F.coalesce(ins["part"], F.lit(-1).cast("bigint"))
+                      .alias("insight_part"))
+
+
+@query("rule_route", B.with_ctes("chat_turns") + """
+SELECT session_id, max(turn) AS last_turn,
+       CASE WHEN contains(coalesce(arg_max(content, turn), ''), 'インサイト')
+                 OR contains(lower(coalesce(arg_max(content, turn), '')), 'insight') THEN 'insight'
+            WHEN contains(coalesce(arg_max(content, turn), ''), 'レコメンド')
+                 OR contains(lower(coalesce(arg_max(content, turn), '')), 'recommend') THEN 'recommendation'
+            WHEN contains(coalesce(arg_max(content, turn), ''), 'トーク')
+                 OR contains(lower(coalesce(arg_max(content, turn), '')), 'script') THEN 'talk_script'
+            ELSE 'default' END AS route
+FROM chat_turns GROUP BY session_id
+""")
+def rule_route(spark, sf_dir):
+    """Canned-answer class of each session's last message."""
+    return requests.last_message_route(B.chat_turns(spark, sf_dir))
+
+
+@query("insight_rows", B.with_ctes("chat_turns") + """
+SELECT session_id, turn, role AS life_stage, '-' AS "values",
+       concat_ws(' | ', nullif(split_part(content, ' ', 1), ''),
+                 nullif(CASE WHEN length(content) > 20 THEN left(content, 20) || '...' ELSE content END, ''))
+         AS persona_tags,
+       coalesce(nullif(array_to_string(string_split(content, chr(10)), ', '), ''), '-') AS unstated_needs,
+       '-' AS emotional_drivers,
+       coalesce(nullif(array_to_string(list_slice(string_split(content, '. '), 1, 3), ' | '), ''), '-')
+         AS key_quotes,
+       CAST(len(list_slice(string_split(content, '. '), 1, 3)) AS INTEGER) AS n_quotes
+FROM chat_turns
+""")
+def insight_rows(spark, sf_dir):
+    """A nested insight per turn is written as JSON text, read back
+    with the insight schema, and flattened into display columns."""
+    t = B.chat_turns(spark, sf_dir)
+    insight = F.struct(
+        F.struct(F.col("role").alias("life_stage"), F.lit(None).cast("string").alias("values"),
+                 F.element_at(F.split("content", " "), 1).alias("personality"),
+                 F.col("content").alias("lifestyle")).alias("customer_persona"),
+        F.struct(F.split("content", "\n").alias("unstated_needs"),
+                 F.array().cast("array<string>").alias("emotional_drivers")).alias("deep_needs"),
+        F.split("content", r"\. ").alias("key_quotes"))
+    as_text = t.select("session_id", "turn", F.to_json(insight).alias("insight_json"))
+    parsed = as_text.select("session_id", "turn",
+                            F.from_json("insight_json", schemas.CUSTOMER_INSIGHT).alias("insight"))
+    return parsed.select("session_id", "turn", *requests.insight_display("insight"))
+
+
+@query("agent_fold", B.with_ctes("chat_turns") + """,
+items AS (SELECT session_id, turn AS pos,
+                 CASE WHEN role = 'system' THEN 'function_call' ELSE 'message' END AS type,
+                 role, content AS text,
+                 CASE WHEN role = 'assistant' THEN content END AS alt
+          FROM chat_turns),
+k AS (SELECT *,
+  CASE WHEN type = 'function_call' THEN 'progress'
+       WHEN NOT (type = 'message' AND role = 'assistant') OR coalesce(length(text), 0) = 0 THEN 'skip'
+       WHEN starts_with(text, '<name>knowledge-bot</name>') THEN 'progress'
+       WHEN starts_with(text, '<name>data-assistant</name>') OR contains(text, 'Genie') THEN 'progress'
+       WHEN contains(lower(text), '<name>tavily') THEN 'progress'
+       WHEN starts_with(text, '<name>') THEN 'progress'
+       WHEN NOT (starts_with(text, '<name>') OR (length(text) < 80
+                 AND starts_with(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '<'))) THEN 'answer'
+       ELSE 'skip' END AS kind,
+  CASE WHEN type = 'function_call' THEN 'Calling a tool...'
+       WHEN NOT (type = 'message' AND role = 'assistant') OR coalesce(length(text), 0) = 0 THEN NULL
+       WHEN starts_with(text, '<name>knowledge-bot</name>') THEN 'Searching the knowledge base...'
+       WHEN starts_with(text, '<name>data-assistant</name>') OR contains(text, 'Genie')
+            THEN 'Searching internal data...'
+       WHEN contains(lower(text), '<name>tavily') THEN 'Searching the web...'
+       WHEN starts_with(text, '<name>') THEN 'Asking an agent...' END AS msg
+  FROM items)
+SELECT session_id, count(*) FILTER (WHERE kind = 'progress') AS n_progress,
+       arg_max(msg, pos) FILTER (WHERE kind = 'progress') AS last_progress,
+       coalesce(nullif(arg_max(text, pos) FILTER (WHERE kind = 'answer'), ''),
+                arg_min(alt, pos) FILTER (WHERE alt IS NOT NULL), '') AS final_answer
+FROM k GROUP BY session_id
+""")
+def agent_fold(spark, sf_dir):
+    """Each conversation read as an agent output list (system
+    turns = tool calls): progress lines and the final answer, with the first
+    assistant text as the alternative path."""
+    t = B.chat_turns(spark, sf_dir)
+    items = t.select("session_id", F.col("turn").alias("pos"),
+                     F.when(F.col("role") == "system", F.lit("function_call")).otherwise(F.lit("message"))
+                     .alias("type"), "role", F.col("content").alias("text"),
+                     F.when(F.col("role") == "assistant", F.col("content")).alias("alt"))
+    return requests.agent_fold(items, "session_id", "pos", alt="alt")
