@@ -56,23 +56,32 @@ def single_object(col) -> Column:
 
 def parse_object(col, schema: T.StructType | str) -> Column:
     """Typed struct when the text is one JSON object, else null."""
-    c = _c(col)
-    return F.when(single_object(c), F.from_json(c, schema))
+    return strict_object(col, schema)[1]
+
+
+def strict_object(col, schema: T.StructType | str) -> tuple[Column, Column]:
+    """(ok, struct) with two parses instead of three: the ``[x]`` probe, and a
+    typed ``from_json`` of ``[x,{}]`` that must hold exactly two elements
+    (that second probe doubles as the parse; element 0 is the result)."""
+    if isinstance(schema, str):
+        schema = T._parse_datatype_string(schema)
+    c = strip_ws(_c(col))
+    arr = F.from_json(F.concat(F.lit("["), c, F.lit(",{}]")), T.ArrayType(schema))
+    one = F.json_array_length(F.concat(F.lit("["), c, F.lit("]"))) == 1
+    ok = F.coalesce(c.startswith("{") & one & (F.size(arr) == 2), F.lit(False))
+    return ok, F.when(ok, arr[0])
 
 
 def parse_brace(col, schema) -> tuple[Column, Column]:
     """Brace cut then strict parse -> (ok, struct)."""
-    cut = brace_cut(col)
-    return single_object(cut), parse_object(cut, schema)
+    return strict_object(brace_cut(col), schema)
 
 
 def parse_fenced_braced(col, schema) -> tuple[Column, Column]:
     """X4 (recommendation variant): fence cut, then brace cut, then strict parse."""
-    cut = brace_cut(fence_cut(col))
-    return single_object(cut), parse_object(cut, schema)
+    return strict_object(brace_cut(fence_cut(col)), schema)
 
 
 def parse_fenced(col, schema) -> tuple[Column, Column]:
     """X4 (insight variant): fence cut, whitespace strip, strict parse; no brace cut."""
-    cut = strip_ws(fence_cut(col))
-    return single_object(cut), parse_object(cut, schema)
+    return strict_object(fence_cut(col), schema)

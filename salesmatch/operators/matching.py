@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from salesmatch.functions.text import or_default
-from salesmatch.operators.joins import range_join
+from salesmatch.operators.joins import candidates_or_default, first_k_in_range, range_join
 from salesmatch.operators.ranking import top_k
 
 # Fixed values from the reference's budget rules (demo 1 widening and the
@@ -65,6 +65,8 @@ def score(exact_lo: Column, exact_hi: Column, weights=WEIGHTS) -> Column:
     budget fit 1 inside the stated band, 0.5 inside the widened band only;
     body type 1 on match, 0 on mismatch, 0.5 when unknown; feature coverage =
     share of must-have features present, 1 for an empty list, 0.5 unknown.
+    A single must-have is tested with ``array_contains`` (no array allocated
+    per pair); longer lists use ``array_intersect``.
     """
     wb, wt, wf = weights
     fit = F.when(F.col("price").between(exact_lo, exact_hi), F.lit(1.0)).otherwise(F.lit(0.5))
@@ -73,34 +75,64 @@ def score(exact_lo: Column, exact_hi: Column, weights=WEIGHTS) -> Column:
     need = F.col("must_have_features")
     cover = (F.when(need.isNull(), F.lit(0.5))
              .when(F.size(need) == 0, F.lit(1.0))
+             .when(F.size(need) == 1, F.array_contains(F.col("features"), need[0]).cast("double"))
              .otherwise(F.size(F.array_intersect(F.col("features"), need)) / F.size(need)))
     raw = F.round(fit * wb + body * wt + cover * wf)
     return F.least(F.greatest(raw, F.lit(0.0)), F.lit(100.0)).cast("int")
 
 
-def recommend(customers: DataFrame, vehicles: DataFrame, needs: DataFrame, k: int = 3,
-              widen: bool = True, in_stock_only: bool = True, **join_opts) -> DataFrame:
-    """Flagship (P5 -> J3 -> X6 -> W2/W3): top ``k`` vehicles per customer.
+CANDIDATE_LIMIT = 20  # fixed value: the reference's candidate list size
+
+
+def exact_candidates(customers: DataFrame, vehicles: DataFrame, limit: int = CANDIDATE_LIMIT) -> DataFrame:
+    """Per customer the first ``limit`` vehicles (price, id) inside the
+    exact budget; customers with none get the first ``limit`` of the whole
+    inventory (``is_fallback``). -> (customer_id, vehicle_id, rank, is_fallback)"""
+    lo, hi = exact_bounds()
+    c = customers.select("customer_id", lo.alias("lo"), hi.alias("hi"))
+    v = vehicles.select("vehicle_id", "price")
+    cand = first_k_in_range(c, v, "lo", "hi", "price", "vehicle_id", "customer_id", limit).select(
+        "customer_id", "vehicle_id", "rank")
+    first_n = top_k(v.withColumn("_all", F.lit(0)), ["_all"], [F.col("price"), F.col("vehicle_id")],
+                    limit).select("vehicle_id", "rank")
+    return candidates_or_default(c, cand, first_n, "customer_id")
 
-    Plan shape: customers carry their needs (one row each), the inventory is
-    range-joined (broadcast when its measured size allows), the score is a
-    narrow projection, and top-k is a WindowGroupLimit whose partial stage runs
-    before the only shuffle of pairs.
+
+def recommend(customers: DataFrame, vehicles: DataFrame, needs: DataFrame, k: int = 3,
+              policy: str = "exact", in_stock_only: bool = True, **join_opts) -> DataFrame:
+    """Flagship: top ``k`` scored vehicles per customer.
+
+    ``policy="exact"`` (the application's rule): the first 20 vehicles by
+    price inside the exact budget, else the first 20 of the inventory, are
+    scored; work per customer is bounded by the candidate list.
+    ``policy="widened"`` (the notebook's rule): every vehicle inside
+    [0.8 x min, 1.3 x max] is scored; pair rows stay narrow (ids, price, body
+    type, features) and vehicle details are attached to the winners only.
+    Top-k is a WindowGroupLimit on the customer partitioning.
     """
     if in_stock_only and "stock_status" in vehicles.columns:
         vehicles = vehicles.where(F.col("stock_status") == "in_stock")
-    lo, hi = widened_bounds() if widen else exact_bounds()
     elo, ehi = exact_bounds()
     c = (customers.join(needs, "customer_id", "left")
-         .withColumn("lo", lo).withColumn("hi", hi)
-         .withColumn("exact_lo", elo).withColumn("exact_hi", ehi))
-    v = vehicles.select("vehicle_id", "make", "model", "body_type", "price", "features")
-    pairs = range_join(c, v, "lo", "hi", "price", **join_opts)
-    scored = pairs.withColumn("match_score", score(F.col("exact_lo"), F.col("exact_hi")))
+         .select("customer_id", "budget_min", "budget_max", "desired_body_type", "must_have_features",
+                 elo.alias("exact_lo"), ehi.alias("exact_hi")))
+    v = vehicles.select("vehicle_id", "body_type", "price", "features")
+    if policy == "exact":
+        cand = exact_candidates(customers, vehicles).select("customer_id", "vehicle_id")
+        pairs = cand.join(c, "customer_id").join(v, "vehicle_id")
+    elif policy == "widened":
+        lo, hi = widened_bounds()
+        cw = c.withColumn("lo", lo).withColumn("hi", hi)
+        pairs = range_join(cw, v, "lo", "hi", "price", **join_opts)
+    else:
+        raise ValueError(f"unknown policy {policy}")
+    scored = pairs.select("customer_id", "vehicle_id", "price",
+                          score(F.col("exact_lo"), F.col("exact_hi")).alias("match_score"))
     top = top_k(scored, ["customer_id"],
                 [F.col("match_score").desc(), F.col("price").asc(), F.col("vehicle_id").asc()], k)
-    return top.select("customer_id", "rank", "vehicle_id", "make", "model", "body_type",
-                      "price", "match_score")
+    details = vehicles.select("vehicle_id", "make", "model", "body_type")
+    return top.join(details, "vehicle_id").select(
+        "customer_id", "rank", "vehicle_id", "make", "model", "body_type", "price", "match_score")
 
 
 # Fixed keyword lexicon for X7 (our own, multilingual): need -> keywords.

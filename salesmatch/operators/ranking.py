@@ -32,11 +32,12 @@ def latest_per_key(df: DataFrame, keys: list[str], order_cols: list[str]) -> Dat
     return agg.select(*keys, "_latest.*")
 
 
-def rerank(df: DataFrame, keys: list[str], score: str, tie: str,
+def rerank(df: DataFrame, keys: list[str], score: str, tie: str, pos: str | None = None,
            rank_col: str = "score_rank") -> DataFrame:
-    """Rank by score descending, ties by ``tie`` ascending; original
-    position columns are kept (trap T9: model order is not score order)."""
-    w = Window.partitionBy(*keys).orderBy(F.col(score).desc(), F.col(tie).asc())
+    """Rank by score descending, ties by ``tie`` then ``pos`` ascending;
+    original position columns are kept (trap T9: model order is not score order)."""
+    order = [F.col(score).desc(), F.col(tie).asc()] + ([F.col(pos).asc()] if pos else [])
+    w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(rank_col, F.row_number().over(w))
 
 

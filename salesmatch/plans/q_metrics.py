@@ -174,8 +174,8 @@ def candidate_text_df(spark, sf_dir):
     into one text block, one line per vehicle in price order."""
     c = B.customers(spark, sf_dir).select("customer_id", "budget_min", "budget_max")
     v = B.vehicles(spark, sf_dir)
-    cand = ranking.top_k(joins.range_join(c, v, "budget_min", "budget_max", "price"), ["customer_id"],
-                         [F.col("price"), F.col("vehicle_id")], 20, rank_col="rn")
+    cand = joins.first_k_in_range(c, v, "budget_min", "budget_max", "price", "vehicle_id", "customer_id",
+                                  20, rank_col="rn")
     line = F.concat(F.lit("- "), F.col("vehicle_id").cast("string"), F.lit(": "), F.col("make"), F.lit(" "),
                     F.col("model"), F.lit(" "), price_label("price"), F.lit(" "), F.col("body_type"),
                     F.lit(" features: "), list_text("features"))

@@ -79,9 +79,9 @@ def batch_score(spark, sf_dir):
     the responses (uuid, time, model) and parse them back. Responses are
     checkpointed to the shared folder so a lost executor never re-runs the
     scorer for finished partitions. No oracle: ids and times are fresh."""
-    from salesmatch.plans.q_matching import match_score
+    from salesmatch.plans.q_matching import _recommend
 
-    top = match_score(spark, sf_dir)
+    top = _recommend(spark, sf_dir, scaled=False, policy="exact")
     cand = top.groupBy("customer_id").agg(
         F.array_sort(F.collect_list(F.struct("rank", "vehicle_id", "match_score"))).alias("_c"))
     req = (B.customers(spark, sf_dir).select("customer_id").join(cand, "customer_id", "left")

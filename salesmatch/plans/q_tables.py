@@ -199,13 +199,14 @@ def latest_per_key(spark, sf_dir):
 
 @query("rerank_by_score", B.with_ctes("rec_items") + """
 SELECT list_id, pos, vehicle_id, match_score,
-       CAST(row_number() OVER (PARTITION BY list_id ORDER BY match_score DESC, vehicle_id) AS INTEGER)
+       CAST(row_number() OVER (PARTITION BY list_id ORDER BY match_score DESC, vehicle_id, pos) AS INTEGER)
          AS score_rank
 FROM rec_items
 """)
 def rerank_by_score(spark, sf_dir):
     """Score rank next to the list position."""
-    return ranking.rerank(B.recommendation_items(spark, sf_dir), ["list_id"], "match_score", "vehicle_id")
+    return ranking.rerank(B.recommendation_items(spark, sf_dir), ["list_id"], "match_score", "vehicle_id",
+                          pos="pos")
 
 
 @query("last_n", B.with_ctes("traces") + """
