@@ -113,3 +113,25 @@ def or_default(col, default) -> Column:
 def strip_ws(col) -> Column:
     """Python ``str.strip()``: all leading/trailing whitespace, not just spaces."""
     return F.regexp_replace(_c(col), r"^\s+|\s+$", "")
+
+
+# --- F12: time helpers -------------------------------------------------------
+
+def minutes_ago(n: int) -> Column:
+    """now - n minutes (session time zone)."""
+    return F.current_timestamp() - F.expr(f"INTERVAL {int(n)} MINUTES")
+
+
+def epoch_ms(col) -> Column:
+    """timestamp -> epoch milliseconds."""
+    return F.unix_millis(_c(col).cast("timestamp"))
+
+
+def from_epoch_ms(col) -> Column:
+    """epoch milliseconds -> timestamp."""
+    return F.timestamp_millis(_c(col))
+
+
+def iso_text(col) -> Column:
+    """timestamp -> ISO-8601 text with microseconds, as Python's isoformat()."""
+    return F.date_format(_c(col), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")

@@ -58,6 +58,31 @@ def alias_missing(df: DataFrame, target: str, source: str) -> DataFrame:
     return df.withColumn(target, F.col(source))
 
 
+def alias_missing_in_array(df: DataFrame, array_col: str, struct_field: str, target: str,
+                           source: str) -> DataFrame:
+    """P9 inside arrays: for every element's ``struct_field`` struct, set
+    ``target`` to ``source`` when ``target`` is absent or null."""
+    has_target = target in _fields(df, array_col, struct_field)
+
+    def fix(x):
+        inner = x[struct_field]
+        value = F.coalesce(inner[target], inner[source]) if has_target else inner[source]
+        return x.withField(struct_field, inner.withField(target, value))
+    return df.withColumn(array_col, F.transform(F.col(array_col), fix))
+
+
+def _fields(df: DataFrame, array_col: str, struct_field: str) -> list[str]:
+    elem = df.schema[array_col].dataType.elementType
+    return elem[struct_field].dataType.fieldNames()
+
+
+def lookup_param(df: DataFrame, key: str, value) -> DataFrame:
+    """Key lookup through a parameterized SQL statement: the value is a
+    bound parameter, never spliced into the SQL text (no quote doubling)."""
+    spark = df.sparkSession
+    return spark.sql(f"SELECT * FROM {{src}} WHERE `{key}` = :value", args={"value": value}, src=df)
+
+
 def without_system(df: DataFrame, role: str = "role") -> DataFrame:
     """Drop system turns."""
     return df.where(F.col(role) != "system")

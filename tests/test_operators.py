@@ -309,3 +309,25 @@ def test_needs_lexicon(spark):
     out = {r.k: r for r in matching.needs_lexicon(df, "k", "text").collect()}
     assert out[1].needs == "family,safety" and out[1].amount_mentions == 1 and out[1].texts == 2
     assert out[2].needs == "-"
+
+
+def test_parameterized_lookup_is_not_spliced(spark):
+    df = spark.createDataFrame([("O'Brien", 1), ("x' OR '1'='1", 2), ("z", 3)], "name string, n int")
+    assert [r.n for r in filters.lookup_param(df, "name", "O'Brien").collect()] == [1]
+    assert filters.lookup_param(df, "name", "' OR '1'='1").count() == 0
+
+
+def test_alias_missing_in_array(spark):
+    df = spark.createDataFrame([([({"vehicle_id": "V1", "image_path": "a.png"}, 90)],)],
+                               "recs array<struct<vehicle: struct<vehicle_id: string, image_path: string>, "
+                               "match_score: int>>")
+    out = filters.alias_missing_in_array(df, "recs", "vehicle", "image_url", "image_path").first()
+    assert out.recs[0].vehicle.image_url == "a.png" and out.recs[0].match_score == 90
+
+
+def test_time_helpers(spark):
+    df = spark.createDataFrame([(1704067200123,)], "ms long")
+    r = df.select(TX.from_epoch_ms("ms").alias("t")).select(
+        "t", TX.epoch_ms("t").alias("back"), TX.iso_text("t").alias("iso"),
+        (TX.minutes_ago(5) < F.current_timestamp()).alias("past")).first()
+    assert r.back == 1704067200123 and r.iso == "2024-01-01T00:00:00.123000" and r.past
