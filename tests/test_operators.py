@@ -60,10 +60,10 @@ def test_range_join_empty_right(spark):
     assert joins.range_join(left, right.limit(0), "lo", "hi", "price").count() == 0
 
 
-@pytest.mark.parametrize("k", [1, 3, 20])
-def test_first_k_in_range_matches_brute_force(spark, k):
+@pytest.mark.parametrize("k,units", [(1, 16), (3, 64), (20, 16), (2, 1000)])
+def test_first_k_in_range_matches_brute_force(spark, k, units):
     left, right = _random_tables(spark)
-    got = joins.first_k_in_range(left, right, "lo", "hi", "price", "v", "k", k, target_buckets=16)
+    got = joins.first_k_in_range(left, right, "lo", "hi", "price", "v", "k", k, target_units=units)
     w = Window.partitionBy("k").orderBy("price", "v")
     expect = (joins.naive_range_join(left, right, "lo", "hi", "price")
               .withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k))
