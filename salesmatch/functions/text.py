@@ -6,8 +6,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Fixed values from the reference: the ellipsis and the empty-value mark, the
+# chunk size of streamed answers, the yen unit switch of price labels.
 ELLIPSIS = "..."
 EMPTY_MARK = "-"
+CHUNK_CHARS = 30
+PRICE_UNIT = 10_000
 
 
 def _c(x) -> Column:
@@ -43,7 +47,7 @@ def budget_label(lo, hi, currency: str = "¥") -> Column:
     return F.when(ok, text).otherwise(F.lit(EMPTY_MARK))
 
 
-def price_label(col, unit: int = 10_000, unit_name: str = "万円", base_name: str = "円") -> Column:
+def price_label(col, unit: int = PRICE_UNIT, unit_name: str = "万円", base_name: str = "円") -> Column:
     """price text with a unit switch at ``unit``; unparsable -> the raw text.
 
     The reference prints the raw yen amount next to the 10,000-yen unit
@@ -82,7 +86,7 @@ def trunc_long(col) -> Column:
     return _c(col).cast("bigint")
 
 
-def chunks(col, size: int = 30) -> Column:
+def chunks(col, size: int = CHUNK_CHARS) -> Column:
     """fixed-size character chunks of the whole text; '' -> []."""
     c = _c(col)
     n = F.length(c)

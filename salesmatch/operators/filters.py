@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from salesmatch.functions.text import contains_ci
 
+# Fixed value from the reference: the largest page size.
 MAX_PAGE = 100
 
 
