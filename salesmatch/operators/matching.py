@@ -98,6 +98,59 @@ def exact_candidates(customers: DataFrame, vehicles: DataFrame, limit: int = CAN
     return candidates_or_default(c, cand, first_n, "customer_id")
 
 
+def widened_pool(c: DataFrame, v: DataFrame, k: int, **join_opts) -> DataFrame:
+    """Candidate pairs that provably contain every customer's top ``k`` under
+    ``score`` inside the widened band, without enumerating the band.
+
+    With at most one must-have feature the score only depends on four vehicle
+    groups (body and feature match: A; body match: B; feature match: C; any:
+    D) and on three price intervals (below the exact band, inside it, above
+    it). A lower score level is only reached when fewer than k vehicles sit
+    above it, so at most k-1 higher-level vehicles can precede the needed
+    ones inside any group's price order: the first 2k-1 vehicles of each
+    (group, interval) suffice. These come from one ``first_k_in_range`` call
+    over a group-tagged inventory (about 12 probes per customer).
+    Customers with several must-have features keep the plain range join.
+    """
+    m = 2 * k - 1
+    need = F.col("must_have_features")
+    simple = need.isNull() | (F.size(need) <= 1)
+    word = F.when(F.size(need) == 1, need[0])
+    body = F.col("desired_body_type")
+    groups = F.array(
+        F.lit("D"),
+        F.when(body.isNotNull(), F.concat(F.lit("B:"), body)),
+        F.when(word.isNotNull(), F.concat(F.lit("C:"), word)),
+        F.when(body.isNotNull() & word.isNotNull(), F.concat(F.lit("A:"), body, F.lit("|"), word)))
+    lo, hi, elo, ehi = (F.col(x).cast("double") for x in ("lo", "hi", "exact_lo", "exact_hi"))
+    intervals = F.array(
+        F.struct(F.lit(0).alias("i"), lo.alias("plo"), F.least(hi, elo).alias("phi"), F.lit(False).alias("op")),
+        F.struct(F.lit(1).alias("i"), F.greatest(lo, elo).alias("plo"), F.least(hi, ehi).alias("phi"),
+                 F.lit(False).alias("op")),
+        F.struct(F.lit(2).alias("i"), F.greatest(lo, ehi).alias("plo"), hi.alias("phi"),
+                 (ehi >= lo).alias("op")))
+    probes = (c.where(simple).select("customer_id", F.explode(groups).alias("_g"), F.explode(intervals).alias("_iv"))
+              .where(F.col("_g").isNotNull())
+              .select("customer_id", "_g", "_iv.plo", "_iv.phi", "_iv.op",
+                      F.concat_ws("#", F.col("customer_id").cast("string"), F.col("_g"),
+                                  F.col("_iv.i").cast("string")).alias("_probe")))
+    words = F.explode(F.array_distinct(F.coalesce(F.col("features"), F.array().cast("array<string>"))))
+    tagged = (v.select("vehicle_id", "price", F.lit("D").alias("_g"))
+              .unionByName(v.select("vehicle_id", "price", F.concat(F.lit("B:"), F.col("body_type")).alias("_g")))
+              .unionByName(v.select("vehicle_id", "price", F.col("body_type"), words.alias("_w"))
+                           .select("vehicle_id", "price", F.concat(F.lit("C:"), F.col("_w")).alias("_g")))
+              .unionByName(v.select("vehicle_id", "price", F.col("body_type"), words.alias("_w"))
+                           .select("vehicle_id", "price",
+                                   F.concat(F.lit("A:"), F.col("body_type"), F.lit("|"), F.col("_w")).alias("_g")))
+              .where(F.col("_g").isNotNull()))
+    found = first_k_in_range(probes, tagged, "plo", "phi", "price", "vehicle_id", "_probe", m, part="_g",
+                             target_units=16384, lo_open="op")
+    pool = found.select("customer_id", "vehicle_id").distinct()
+    pruned = pool.join(c.where(simple), "customer_id").join(v, "vehicle_id")
+    full = range_join(c.where(~simple), v, "lo", "hi", "price", **join_opts)
+    return pruned.unionByName(full.select(*pruned.columns))
+
+
 def recommend(customers: DataFrame, vehicles: DataFrame, needs: DataFrame, k: int = 3,
               policy: str = "exact", in_stock_only: bool = True, **join_opts) -> DataFrame:
     """Flagship: top ``k`` scored vehicles per customer.
@@ -123,7 +176,7 @@ def recommend(customers: DataFrame, vehicles: DataFrame, needs: DataFrame, k: in
     elif policy == "widened":
         lo, hi = widened_bounds()
         cw = c.withColumn("lo", lo).withColumn("hi", hi)
-        pairs = range_join(cw, v, "lo", "hi", "price", **join_opts)
+        pairs = widened_pool(cw, v, k, **join_opts)
     else:
         raise ValueError(f"unknown policy {policy}")
     scored = pairs.select("customer_id", "vehicle_id", "price",

@@ -331,3 +331,49 @@ def test_time_helpers(spark):
         "t", TX.epoch_ms("t").alias("back"), TX.iso_text("t").alias("iso"),
         (TX.minutes_ago(5) < F.current_timestamp()).alias("past")).first()
     assert r.back == 1704067200123 and r.iso == "2024-01-01T00:00:00.123000" and r.past
+
+
+@pytest.mark.parametrize("k,units", [(1, 8), (5, 64)])
+def test_first_k_in_range_with_part_matches_brute_force(spark, k, units):
+    rnd = random.Random(11)
+    left = spark.createDataFrame([(i, rnd.randint(0, 600), rnd.randint(300, 1100), rnd.choice("abcz"))
+                                  for i in range(80)], "k long, lo long, hi long, g string")
+    right = spark.createDataFrame([(j, 500.0 if j % 3 == 0 else float(rnd.randint(0, 1000)),
+                                    "a" if j % 2 == 0 else rnd.choice("bc")) for j in range(400)],
+                                  "v long, price double, g string")
+    got = joins.first_k_in_range(left, right, "lo", "hi", "price", "v", "k", k, part="g", target_units=units)
+    w = Window.partitionBy("k").orderBy("price", "v")
+    expect = (left.join(right, "g").where(F.col("price").between(F.col("lo"), F.col("hi")))
+              .withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k))
+    assert rows(got, "k", "v", "rank") == rows(expect, "k", "v", "rank")
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_widened_recommender_matches_all_pairs(spark, seed):
+    rnd = random.Random(seed)
+    types, words = ["SUV", "VAN", "MINI"], ["red", "blue", "safe", "big"]
+    vehicles = spark.createDataFrame(
+        [(j, rnd.choice("XYZ"), f"m{j}", rnd.choice(types), 500.0 if j % 4 == 0 else float(rnd.randint(100, 900)),
+          rnd.sample(words, rnd.randint(1, 2)), "in_stock") for j in range(300)],
+        "vehicle_id long, make string, model string, body_type string, price double, "
+        "features array<string>, stock_status string")
+    cust = []
+    for i in range(60):
+        lo = rnd.randint(100, 700)
+        cust.append((i, lo, lo + rnd.randint(0, 300)))
+    customers = spark.createDataFrame(cust, "customer_id long, budget_min long, budget_max long")
+    needs = spark.createDataFrame(
+        [(i, rnd.choice(types + [None]), rnd.choice([None, [], [rnd.choice(words)], rnd.sample(words, 2)]))
+         for i in range(60)], "customer_id long, desired_body_type string, must_have_features array<string>")
+    got = matching.recommend(customers, vehicles, needs, k=3, policy="widened")
+    lo, hi = matching.widened_bounds()
+    elo, ehi = matching.exact_bounds()
+    c = customers.join(needs, "customer_id", "left").select(
+        "customer_id", "desired_body_type", "must_have_features", lo.alias("lo"), hi.alias("hi"),
+        elo.alias("exact_lo"), ehi.alias("exact_hi"))
+    allp = joins.naive_range_join(c, vehicles, "lo", "hi", "price").withColumn(
+        "match_score", matching.score(F.col("exact_lo"), F.col("exact_hi")))
+    expect = ranking.top_k(allp, ["customer_id"], [F.col("match_score").desc(), F.col("price"),
+                                                    F.col("vehicle_id")], 3)
+    cols = ("customer_id", "rank", "vehicle_id", "match_score")
+    assert rows(got, *cols) == rows(expect, *cols)
