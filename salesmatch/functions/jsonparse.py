@@ -10,7 +10,7 @@ that closes the wrapping array early.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -60,16 +60,10 @@ def parse_object(col, schema: T.StructType | str) -> Column:
 
 
 def strict_object(col, schema: T.StructType | str) -> tuple[Column, Column]:
-    """(ok, struct) with two parses instead of three: the ``[x]`` probe, and a
-    typed ``from_json`` of ``[x,{}]`` that must hold exactly two elements
-    (that second probe doubles as the parse; element 0 is the result)."""
-    if isinstance(schema, str):
-        schema = T._parse_datatype_string(schema)
+    """(ok, struct): ok when the stripped text is exactly one JSON object."""
     c = strip_ws(_c(col))
-    arr = F.from_json(F.concat(F.lit("["), c, F.lit(",{}]")), T.ArrayType(schema))
-    one = F.json_array_length(F.concat(F.lit("["), c, F.lit("]"))) == 1
-    ok = F.coalesce(c.startswith("{") & one & (F.size(arr) == 2), F.lit(False))
-    return ok, F.when(ok, arr[0])
+    ok = F.coalesce(single_json(c) & c.startswith("{"), F.lit(False))
+    return ok, F.when(ok, F.from_json(c, schema))
 
 
 def parse_brace(col, schema) -> tuple[Column, Column]:
@@ -85,3 +79,23 @@ def parse_fenced_braced(col, schema) -> tuple[Column, Column]:
 def parse_fenced(col, schema) -> tuple[Column, Column]:
     """X4 (insight variant): fence cut, whitespace strip, strict parse; no brace cut."""
     return strict_object(fence_cut(col), schema)
+
+
+CUTS = {
+    "brace": brace_cut,
+    "fenced_braced": lambda c: brace_cut(fence_cut(c)),
+    "fenced": fence_cut,
+}
+
+
+def with_parsed(df: DataFrame, text: str, schema, variant: str, ok_col: str = "ok",
+                out_col: str = "parsed") -> DataFrame:
+    """DataFrame form of the parsers: the cut text is materialised as its own
+    column first, so the regex and fence cuts run once per row instead of once
+    per probe (Catalyst does not inline an expensive column used several
+    times). Adds ``ok_col`` and ``out_col``."""
+    cut = f"_{out_col}_cut"
+    staged = df.withColumn(cut, strip_ws(CUTS[variant](F.col(text))))
+    staged = staged.withColumn(ok_col, F.coalesce(single_json(F.col(cut)) & F.col(cut).startswith("{"),
+                                                  F.lit(False)))
+    return staged.withColumn(out_col, F.when(F.col(ok_col), F.from_json(F.col(cut), schema))).drop(cut)

@@ -92,10 +92,10 @@ def batch_score(spark, sf_dir):
                    .alias("candidate_scores")))
     shared_dir(spark)
     resp = requests.score_batch(req, inputs=["candidate_ids", "candidate_scores"]).checkpoint()
-    ok, parsed = jsonparse.parse_fenced_braced("response_text", REC_LIST)
-    stamped = io.stamp(resp, "recommendation_id", "echo-scorer")
-    return stamped.select("recommendation_id", "customer_id", "response_text", ok.alias("ok"),
-                          F.size(F.coalesce(parsed["recommendations"], F.array())).alias("n_recs"),
+    parsed = jsonparse.with_parsed(resp, "response_text", REC_LIST, "fenced_braced")
+    stamped = io.stamp(parsed, "recommendation_id", "echo-scorer")
+    return stamped.select("recommendation_id", "customer_id", "response_text", "ok",
+                          F.size(F.coalesce(F.col("parsed.recommendations"), F.array())).alias("n_recs"),
                           "generated_at", "model_used")
 
 
@@ -155,10 +155,9 @@ FROM cut
 """)
 def parse_brace(spark, sf_dir):
     """Brace cut + strict parse of every reply."""
-    raw = _raw_responses(spark, sf_dir)
-    ok, parsed = jsonparse.parse_brace("text", _PAYLOAD)
-    return raw.select("l_orderkey", "l_linenumber", ok.alias("ok"), parsed["part"].alias("part"),
-                      parsed["qty"].alias("qty"))
+    parsed = jsonparse.with_parsed(_raw_responses(spark, sf_dir), "text", _PAYLOAD, "brace")
+    return parsed.select("l_orderkey", "l_linenumber", "ok", F.col("parsed.part").alias("part"),
+                         F.col("parsed.qty").alias("qty"))
 
 
 @query("parse_fence", "WITH " + _RAW_SQL.strip() + f""",
@@ -178,11 +177,11 @@ def parse_fence(spark, sf_dir):
     braces, the insight variant parses the stripped block as is and falls back
     to a constant record (part -1) when that fails."""
     raw = _raw_responses(spark, sf_dir)
-    ok_r, rec = jsonparse.parse_fenced_braced("text", _PAYLOAD)
-    ok_i, ins = jsonparse.parse_fenced("text", _PAYLOAD)
-    return raw.select("l_orderkey", "l_linenumber", ok_r.alias("ok_rec"), rec["part"].alias("rec_part"),
-                      ok_i.alias("ok_insight"), F.coalesce(ins["part"], F.lit(-1).cast("bigint"))
-                      .alias("insight_part"))
+    both = jsonparse.with_parsed(raw, "text", _PAYLOAD, "fenced_braced", "ok_rec", "rec")
+    both = jsonparse.with_parsed(both, "text", _PAYLOAD, "fenced", "ok_insight", "ins")
+    return both.select("l_orderkey", "l_linenumber", "ok_rec", F.col("rec.part").alias("rec_part"),
+                       "ok_insight", F.coalesce(F.col("ins.part"), F.lit(-1).cast("bigint"))
+                       .alias("insight_part"))
 
 
 @query("rule_route", B.with_ctes("chat_turns") + """

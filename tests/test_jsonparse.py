@@ -96,3 +96,12 @@ def test_fence_cut_matches_python(spark):
 def test_single_json_rejects_early_close(spark):
     df = spark.createDataFrame([('{"a":1}], [{"a":2}',), ('{"a":1}',)], "t string")
     assert [r[0] for r in df.select(jsonparse.single_json("t")).collect()] == [False, True]
+
+
+@pytest.mark.parametrize("variant,oracle", [("brace", py_brace), ("fenced_braced", py_fenced_braced),
+                                            ("fenced", py_fenced)])
+def test_dataframe_parser_matches_python(spark, variant, oracle):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(CASES)], "i int, text string")
+    rows = {r["i"]: r for r in jsonparse.with_parsed(df, "text", SCHEMA, variant).collect()}
+    for i, text in enumerate(CASES):
+        assert rows[i]["ok"] == (oracle(text) is not None), text
