@@ -5,7 +5,6 @@ import json
 import re
 
 import pytest
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from salesmatch.functions import jsonparse
