@@ -377,3 +377,18 @@ def test_widened_recommender_matches_all_pairs(spark, seed):
                                                     F.col("vehicle_id")], 3)
     cols = ("customer_id", "rank", "vehicle_id", "match_score")
     assert rows(got, *cols) == rows(expect, *cols)
+
+
+def test_read_cached_takes_latest_and_aliases_images(spark):
+    old = '[{"vehicle": {"vehicle_id": "V9", "image_path": "old.png"}, "match_score": 50, "reason": "x"}]'
+    new = ('[{"vehicle": {"vehicle_id": "V1", "image_path": "a.png"}, "match_score": 93, "reason": "r1"},'
+           ' {"vehicle": {"vehicle_id": "V2", "image_url": "b.jpg", "image_path": "b.png"}, "match_score": 95,'
+           ' "reason": "r2"}]')
+    cache = spark.createDataFrame(
+        [("r1", "C1", old, "s0", "2024-01-01 00:00:00"), ("r2", "C1", new, "s1", "2024-02-01 00:00:00")],
+        "recommendation_id string, customer_id string, recommendations_json string, talk_script string, "
+        "generated_at string").withColumn("generated_at", F.col("generated_at").cast("timestamp"))
+    out = requests.read_cached(cache).orderBy("position").collect()
+    assert [(r.position, r.vehicle.vehicle_id, r.vehicle.image_url, r.match_score) for r in out] == [
+        (1, "V1", "a.png", 93), (2, "V2", "b.jpg", 95)]
+    assert out[0].talk_script == "s1"
