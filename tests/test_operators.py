@@ -392,3 +392,9 @@ def test_read_cached_takes_latest_and_aliases_images(spark):
     assert [(r.position, r.vehicle.vehicle_id, r.vehicle.image_url, r.match_score) for r in out] == [
         (1, "V1", "a.png", 93), (2, "V2", "b.jpg", 95)]
     assert out[0].talk_script == "s1"
+
+
+def test_first_k_in_range_empty_right(spark):
+    left, right = _random_tables(spark)
+    out = joins.first_k_in_range(left, right.limit(0), "lo", "hi", "price", "v", "k", 3)
+    assert out.count() == 0 and "rank" in out.columns and "_part" not in out.columns
