@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from salesmatch.llm import bestfit, bpe, tokenfiles
+from salesmatch.llm import bestfit, bpe, linededup, simhash, tokenfiles
 from salesmatch.llm.registry import ORACLE, QUERIES, query, table  # noqa: F401
 
 #: Tokens of a packed sequence.
@@ -27,3 +27,13 @@ def op9(spark, sf_dir):
 def op10(spark, sf_dir):
     return bestfit.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
                                   end_id=0, capacity=SEQUENCE)
+
+
+@query("op1_simhash")
+def op1(spark, sf_dir):
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, distance=2)
+
+
+@query("op3_line_dedup", linededup.SQL)
+def op3(spark, sf_dir):
+    return linededup.line_digests(table(spark, sf_dir, "documents"))
