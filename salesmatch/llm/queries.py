@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from salesmatch.llm import bestfit, bpe, linededup, simhash, tokenfiles
+from salesmatch.llm import bestfit, bpe, linededup, quality, simhash, tokenfiles
 from salesmatch.llm.registry import ORACLE, QUERIES, query, table  # noqa: F401
 
 #: Tokens of a packed sequence.
@@ -37,3 +37,8 @@ def op1(spark, sf_dir):
 @query("op3_line_dedup", linededup.SQL)
 def op3(spark, sf_dir):
     return linededup.line_digests(table(spark, sf_dir, "documents"))
+
+
+@query("op8_quality")
+def op8(spark, sf_dir):
+    return quality.verdicts(table(spark, sf_dir, "documents"))
