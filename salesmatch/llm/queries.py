@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from salesmatch.llm import bestfit, bpe, linededup, quality, simhash, tokenfiles
+from salesmatch.llm import bestfit, bpe, licenses, linededup, quality, simhash, tokenfiles
 from salesmatch.llm.registry import ORACLE, QUERIES, query, table  # noqa: F401
 
 #: Tokens of a packed sequence.
@@ -42,3 +42,8 @@ def op3(spark, sf_dir):
 @query("op8_quality")
 def op8(spark, sf_dir):
     return quality.verdicts(table(spark, sf_dir, "documents"))
+
+
+@query("op6_licenses", licenses.sql())
+def op6(spark, sf_dir):
+    return licenses.license_rows(table(spark, sf_dir, "documents"))
