@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from salesmatch.llm import bestfit, bpe, licenses, linededup, quality, simhash, tokenfiles
+from salesmatch.llm import bestfit, bpe, htmltext, licenses, linededup, quality, simhash, tokenfiles
 from salesmatch.llm.registry import ORACLE, QUERIES, query, table  # noqa: F401
 
 #: Tokens of a packed sequence.
@@ -47,3 +47,8 @@ def op8(spark, sf_dir):
 @query("op6_licenses", licenses.sql())
 def op6(spark, sf_dir):
     return licenses.license_rows(table(spark, sf_dir, "documents"))
+
+
+@query("op5_html_text")
+def op5(spark, sf_dir):
+    return htmltext.main_text(table(spark, sf_dir, "pages"))
