@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from salesmatch.llm import bestfit, bpe, htmltext, licenses, linededup, quality, simhash, tokenfiles
+from salesmatch.llm import bestfit, bpe, htmltext, licenses, linededup, pivots, quality, simhash, tokenfiles
 from salesmatch.llm.registry import ORACLE, QUERIES, query, table  # noqa: F401
 
 #: Tokens of a packed sequence.
@@ -52,3 +52,8 @@ def op6(spark, sf_dir):
 @query("op5_html_text")
 def op5(spark, sf_dir):
     return htmltext.main_text(table(spark, sf_dir, "pages"))
+
+
+@query("op7_embeddings")
+def op7(spark, sf_dir):
+    return pivots.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.9)
