@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from salesmatch.llm import bestfit, bpe, htmltext, licenses, linededup, pivots, quality, simhash, tokenfiles
+from salesmatch.llm import bestfit, bpe, htmltext, licenses, linededup, pivots, quality, secretscan, simhash, tokenfiles
 from salesmatch.llm.registry import ORACLE, QUERIES, query, table  # noqa: F401
 
 #: Tokens of a packed sequence.
@@ -57,3 +57,8 @@ def op5(spark, sf_dir):
 @query("op7_embeddings")
 def op7(spark, sf_dir):
     return pivots.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
+@query("op4_secrets")
+def op4(spark, sf_dir):
+    return secretscan.secret_rows(table(spark, sf_dir, "documents"))
