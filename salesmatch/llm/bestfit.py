@@ -43,28 +43,31 @@ def cut_pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, tex
     into full pieces after a first piece with the remainder. A null text counts
     as empty: one piece with the end id.
     """
-    ids = encode_documents(docs, ["doc_id"], text, chunk_spans, make_library_encoder(vocabulary, BYTE_PATTERN, False))
     end = np.array([end_id], np.uint16)
 
-    def run(batches):
-        for b in batches:
-            rows = []
-            for doc, data in zip(b.column("doc_id").to_pylist(), b.column("ids").to_pylist()):
-                v = np.concatenate((np.frombuffer(data, "<u2"), end))
-                raw = v.astype("<u4").tobytes()
-                i = 0
-                edge = len(v) - (len(v) - 1) // capacity * capacity
-                for piece, j in enumerate(range(edge, len(v) + 1, capacity)):
-                    rows.append((doc, piece, i, j - i, zlib.crc32(raw[4 * i:4 * j]),
-                                 v[i:j].tobytes() if with_tokens else None))
-                    i = j
-            if rows:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64(),
-                                                                pa.int64(), pa.binary()))],
-                    ["doc_id", "piece", "start", "length", "ids_crc32", "ids"])
-
-    out = ids.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary")
+    def cut(table: pa.Table) -> pa.Table:
+        rows = []
+        for doc, data in zip(table.column("doc_id").to_pylist(), table.column("ids").to_pylist()):
+            v = np.concatenate((np.frombuffer(data, "<u2"), end))
+            raw = v.astype("<u4").tobytes()
+            i = 0
+            edge = len(v) - (len(v) - 1) // capacity * capacity
+            for piece, j in enumerate(range(edge, len(v) + 1, capacity)):
+                rows.append((doc, piece, i, j - i, zlib.crc32(raw[4 * i:4 * j]),
+                             v[i:j].tobytes() if with_tokens else None))
+                i = j
+        columns = list(zip(*rows)) or [()] * 6
+        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(),
+                                                                 pa.int64(), pa.binary()))],
+                        ["doc_id", "piece", "start", "length", "ids_crc32", "ids"])
+
+    long = T.LongType()
+    schema = T.StructType([T.StructField("doc_id", long), T.StructField("piece", T.IntegerType()),
+                           T.StructField("start", long), T.StructField("length", long),
+                           T.StructField("ids_crc32", long), T.StructField("ids", T.BinaryType())])
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
+    out = encode_documents(rows, ["doc_id"], "text", chunk_spans,
+                           make_library_encoder(vocabulary, BYTE_PATTERN, False), lambda: cut, schema)
     return out if with_tokens else out.drop("ids")
 
 

@@ -51,6 +51,19 @@ def id_array(ids: DataFrame, out: str = "tokens") -> DataFrame:
     return ids.mapInArrow(run, T.StructType([*kept, T.StructField(out, T.ArrayType(T.IntegerType()))]))
 
 
+def _token_bytes(ranks_path: str) -> list[bytes]:
+    """The token-byte table: one entry for each id of the vocabulary."""
+    ranks = load_ranks(ranks_path)
+    table = [b""] * (max(ranks.values()) + 1)
+    for token, rank in ranks.items():
+        table[rank] = token
+    return table
+
+
+def _decoded(ids: list[bytes], table: list[bytes]) -> list[bytes]:
+    return [b"".join([table[i] for i in np.frombuffer(x, "<u2").tolist()]) for x in ids]
+
+
 def decode(ids: DataFrame, ranks_path: str, out: str = "decoded") -> DataFrame:
     """Add the binary column ``out``: the bytes of the packed ``ids``.
 
@@ -59,37 +72,33 @@ def decode(ids: DataFrame, ranks_path: str, out: str = "decoded") -> DataFrame:
     """
 
     def run(batches):
-        ranks = load_ranks(ranks_path)
-        table = [b""] * (max(ranks.values()) + 1)
-        for token, rank in ranks.items():
-            table[rank] = token
+        table = _token_bytes(ranks_path)
         for b in batches:
-            data = [b"".join([table[i] for i in np.frombuffer(x, "<u2").tolist()])
-                    for x in b.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(data, pa.binary())], [*b.schema.names, out])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(_decoded(b.column("ids").to_pylist(), table), pa.binary())],
+                                             [*b.schema.names, out])
 
     return ids.mapInArrow(run, T.StructType([*ids.schema.fields, T.StructField(out, T.BinaryType())]))
 
 
-def id_digests(ids: DataFrame) -> DataFrame:
-    """``n_tokens`` and ``ids_sha256`` (of the ids as little-endian uint32) in place of ``ids``."""
-    rest = [c for c in ids.columns if c != "ids"]
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str = BYTE_PATTERN) -> DataFrame:
+    """Per document: doc_id, n_tokens, ids_sha256 (of the ids as little-endian uint32) and
+    decoded_sha256 (of the bytes that the ids decode to); ids and bytes stay in the worker."""
 
-    def run(batches):
-        for b in batches:
-            v = [np.frombuffer(x, "<u2") for x in b.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [*(b.column(c) for c in rest), pa.array([len(x) for x in v], pa.int64()),
-                 pa.array([hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in v], pa.string())],
-                [*rest, "n_tokens", "ids_sha256"])
-
-    fields = [ids.schema[c] for c in rest]
-    return ids.mapInArrow(run, T.StructType([*fields, T.StructField("n_tokens", T.LongType()),
-                                             T.StructField("ids_sha256", T.StringType())]))
-
-
-def round_trip(docs: DataFrame, ranks_path: str) -> DataFrame:
-    """Per document: doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    both = decode(encode(docs, ranks_path, ["doc_id"]), ranks_path)
-    return id_digests(both.withColumn("decoded_sha256", F.sha2("decoded", 256)).drop("decoded")).select(
-        "doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    def make_digests():
+        table = _token_bytes(ranks_path)
+
+        def digests(rows: pa.Table) -> pa.Table:
+            ids = rows.column("ids").to_pylist()
+            wide = [np.frombuffer(x, "<u2").astype("<u4").tobytes() for x in ids]
+            return pa.table({
+                "doc_id": rows.column("doc_id"), "n_tokens": pa.array([len(x) // 4 for x in wide], pa.int64()),
+                "ids_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in wide], pa.string()),
+                "decoded_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in _decoded(ids, table)], pa.string())})
+
+        return digests
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_tokens", T.LongType()),
+                           T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
+    return encode_documents(rows, ["doc_id"], "text", chunk_spans, make_rank_encoder(ranks_path, pattern),
+                            make_digests, schema)

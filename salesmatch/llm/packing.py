@@ -6,14 +6,18 @@ import numpy as np
 import zstandard
 
 
+_COMPRESS = zstandard.ZstdCompressor(level=1)
+_RESTORE = zstandard.ZstdDecompressor()
+
+
 def pack_ints(values: np.ndarray) -> bytes:
     """Non-negative integers below 2**32 as compressed byte planes."""
     planes = np.ascontiguousarray(values, dtype="<u4").view(np.uint8).reshape(-1, 4).T
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
+    return _COMPRESS.compress(np.ascontiguousarray(planes).tobytes())
 
 
 def unpack_ints(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1)
+    planes = np.frombuffer(_RESTORE.decompress(data), np.uint8).reshape(4, -1)
     return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
@@ -27,11 +31,11 @@ def unpack_rising(data: bytes) -> np.ndarray:
 
 
 def pack_bytes(data: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(data)
+    return _COMPRESS.compress(data)
 
 
 def unpack_bytes(data: bytes) -> bytes:
-    return zstandard.ZstdDecompressor().decompress(data)
+    return _RESTORE.decompress(data)
 
 
 def offsets(counts: np.ndarray) -> np.ndarray:

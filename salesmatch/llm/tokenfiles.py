@@ -14,7 +14,6 @@ import uuid
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -32,23 +31,28 @@ ROW_GROUP, PAGE = 8 << 20, 64 << 10
 _SCHEMA = "doc_id long, part int, place long, n_tokens long, tokens array<int>"
 
 
-def tokenize(docs: DataFrame, vocabulary: str, end_id: int | None, text: str = "text") -> DataFrame:
-    """``doc_id`` and packed ``ids`` (uint16) by the tokenizers library, ``end_id`` appended."""
-    ids = encode_documents(docs, ["doc_id"], text, word_spans, make_library_encoder(vocabulary, WORD_PATTERN, True))
-    if end_id is None:
-        return ids
-    return ids.withColumn("ids", F.concat("ids", F.lit(bytearray(np.uint16(end_id).tobytes()))))
+def tokenize(docs: DataFrame, vocabulary: str, end_id: int | None, bounds: list[int], text: str = "text") -> DataFrame:
+    """doc_id, part (the number of ``bounds`` below the doc_id; 0 for a null one) and packed ``ids`` (uint16)
+    by the tokenizers library, ``end_id`` appended."""
+    edge = np.array(bounds, np.int64)
+    end = b"" if end_id is None else np.uint16(end_id).tobytes()
 
+    def finish(rows: pa.Table) -> pa.Table:
+        doc_id = rows.column("doc_id")
+        place = np.searchsorted(edge, doc_id.fill_null(-(1 << 63)).to_numpy())
+        ids = [x + end for x in rows.column("ids").to_pylist()]
+        return pa.table({"doc_id": doc_id, "part": pa.array(place, pa.int32()), "ids": pa.array(ids, pa.binary())})
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
+    return encode_documents(
+        rows, ["doc_id"], "text", word_spans, make_library_encoder(vocabulary, WORD_PATTERN, True), lambda: finish,
+        T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("part", T.IntegerType()),
+                      T.StructField("ids", T.BinaryType())]))
 
-def write_ids(ids: DataFrame, path: str, bounds: list[int], row_group: int = ROW_GROUP, page: int = PAGE) -> None:
-    """Write packed ``ids`` by ascending ``doc_id``: file k holds the ids above ``bounds[k - 1]``
-    up to ``bounds[k]``. Null ids come first. Rows with the same doc_id are ordered by their tokens."""
-    edge = np.array(bounds, np.int64)
 
-    @F.pandas_udf("int")
-    def part_of(doc_id: pd.Series) -> pd.Series:
-        low = doc_id.isna().to_numpy()
-        return pd.Series(np.where(low, 0, np.searchsorted(edge, doc_id.fillna(0).to_numpy().astype(np.int64))))
+def write_ids(ids: DataFrame, path: str, parts: int, row_group: int = ROW_GROUP, page: int = PAGE) -> None:
+    """Write packed ``ids`` (doc_id, part, ids) by ascending doc_id, one file for each part. Null
+    doc_ids come first. Rows with the same doc_id are ordered by their tokens."""
 
     def rows(batches):
         at = 0
@@ -63,7 +67,7 @@ def write_ids(ids: DataFrame, path: str, bounds: list[int], row_group: int = ROW
                 ["doc_id", "part", "place", "n_tokens", "tokens"])
             at += int(edges[-1])
 
-    dealt = ids.select("doc_id", "ids", part_of("doc_id").alias("part")).repartitionById(len(bounds) + 1, "part")
+    dealt = ids.repartitionById(parts, "part")
     (dealt.sortWithinPartitions("doc_id", "ids").mapInArrow(rows, _SCHEMA).write
      .option("parquet.block.size", row_group).option("parquet.page.size", page)
      .option("parquet.writer.version", "v2").option("parquet.enable.dictionary", "false")
@@ -127,7 +131,8 @@ def write_documents(docs: DataFrame, vocabulary: str, end_id: int | None, path:
     spark = docs.sparkSession
     fresh = path is None
     path = path or f"{shared_dir(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}"
-    write_ids(tokenize(docs, vocabulary, end_id), path, range_bounds(docs, shuffle_width(spark)))
+    bounds = range_bounds(docs, shuffle_width(spark))
+    write_ids(tokenize(docs, vocabulary, end_id, bounds), path, len(bounds) + 1)
     if fresh:
         place = spark._jvm.org.apache.hadoop.fs.Path(path)
         place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)

@@ -12,7 +12,7 @@ import os
 from collections.abc import Callable
 
 #: Pieces kept in a task's cache before it is started anew.
-CACHE_PIECES = 200_000
+CACHE_PIECES = 100_000
 
 #: Fixed values of the public vocabularies: how text is split before merging.
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"

@@ -15,11 +15,14 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
+from salesmatch.llm.packing import offsets
+
 #: Text bytes after which a block is closed. Bounds a worker's memory; a single
 #: longer document makes a block of its own.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 #: Bytes hashed at once; longer words are hashed one by one.
 _WINDOW = 1 << 18
 #: Odd multipliers of the two polynomial hashes.
@@ -112,13 +115,19 @@ class Block:
     counts: np.ndarray
     index: np.ndarray
     doc_at: np.ndarray
-    text: bytes
+    text: np.ndarray
     starts: np.ndarray
     ends: np.ndarray
 
     def words(self) -> list[bytes]:
         """The dictionary."""
-        return [self.text[i:j] for i, j in zip(self.starts.tolist(), self.ends.tolist())]
+        return [self.text[i:j].tobytes() for i, j in zip(self.starts.tolist(), self.ends.tolist())]
+
+    def joined(self, some: np.ndarray) -> tuple[np.ndarray, bytes]:
+        """Lengths of some dictionary words, and the words joined."""
+        size = self.ends[some] - self.starts[some]
+        out = offsets(size)
+        return size, self.text[np.arange(out[-1]) + np.repeat(self.starts[some] - out[:-1], size)].tobytes()
 
 
 def _distinct(k1: np.ndarray, k2: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
@@ -129,31 +138,30 @@ def _distinct(k1: np.ndarray, k2: np.ndarray) -> tuple[np.ndarray, np.ndarray] |
     low = np.uint64((1 << bits) - 1)
     packed = np.sort((k1 & ~low) | np.arange(n, dtype=np.uint64))
     place = (packed & low).astype(np.int64)
+    packed &= ~low
     first = np.ones(n, bool)
-    first[1:] = (packed[1:] & ~low) != (packed[:-1] & ~low)
+    first[1:] = packed[1:] != packed[:-1]
     number = np.cumsum(first) - 1
     head = place[first]
-    if (k1[place] != k1[head[number]]).any() or (k2[place] != k2[head[number]]).any():
+    same = head[number]
+    if (k1[place] != k1[same]).any() or (k2[place] != k2[same]).any():
         return None
     index = np.empty(n, np.int64)
     index[place] = number
     return head, index
 
 
-def make_block(texts: list[bytes], spans) -> Block:
-    buf = b"".join(texts)
-    a = np.frombuffer(buf, np.uint8)
-    at = np.zeros(len(texts) + 1, np.int64)
-    np.cumsum([len(t) for t in texts], out=at[1:])
-    starts, ends = spans(a, at)
-    k1, k2 = span_keys(a, starts, ends)
+def make_block(text: np.ndarray, at: np.ndarray, spans) -> Block:
+    """The block of the texts ``text[at[i]:at[i + 1]]`` (bytes)."""
+    starts, ends = spans(text, at)
+    k1, k2 = span_keys(text, starts, ends)
     doc_at = np.searchsorted(starts, at)
     digest = xxhash.xxh64(k1.tobytes())
     digest.update(doc_at.tobytes())
     found = _distinct(k1, k2)
     if found is None:  # number the words one by one
         seen: dict[bytes, int] = {}
-        index = np.array([seen.setdefault(buf[s:e], len(seen)) for s, e in zip(starts, ends)], np.int64)
+        index = np.array([seen.setdefault(text[s:e].tobytes(), len(seen)) for s, e in zip(starts, ends)], np.int64)
         head = np.unique(index, return_index=True)[1]
     else:
         head, index = found
@@ -163,7 +171,20 @@ def make_block(texts: list[bytes], spans) -> Block:
     place[order] = np.arange(len(order))
     head = head[order]
     return Block(digest.intdigest() - (1 << 63), k1[head], counts[order], place[index], doc_at,
-                 buf, starts[head], ends[head])
+                 text, starts[head], ends[head])
+
+
+def block_of(texts: list[bytes], spans) -> Block:
+    """A block of some texts."""
+    return make_block(np.frombuffer(b"".join(texts), np.uint8), offsets(np.array([len(t) for t in texts])), spans)
+
+
+def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a string column without nulls, and where each row begins and ends in them."""
+    column = column.cast(pa.large_string())
+    _, edge, data = column.buffers()
+    at = np.frombuffer(edge, np.int64)[column.offset:column.offset + len(column) + 1]
+    return (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)), at
 
 
 def blocks(batches, text: str, spans, block_bytes: int = BLOCK_BYTES) -> Iterator[tuple[list, Block]]:
@@ -171,21 +192,28 @@ def blocks(batches, text: str, spans, block_bytes: int = BLOCK_BYTES) -> Iterato
 
     Blocks follow the order of rows, so the same rows give the same blocks again.
     """
-    parts, texts, size = [], [], 0
+    parts, data, sizes, size = [], [], [], 0
+
+    def block():
+        return parts, make_block(np.concatenate(data), offsets(np.concatenate(sizes)), spans)
+
     for batch in batches:
-        begin = 0
-        column = batch.column(text)
-        for i in range(batch.num_rows):
-            value = column[i].as_py()
-            data = value.encode() if value else b""
-            if texts and size + len(data) > block_bytes:
-                if i > begin:
-                    parts.append(batch.slice(begin, i - begin))
-                yield parts, make_block(texts, spans)
-                parts, texts, size, begin = [], [], 0, i
-            texts.append(data)
-            size += len(data)
-        if batch.num_rows > begin:
-            parts.append(batch.slice(begin))
-    if texts:
-        yield parts, make_block(texts, spans)
+        if not batch.num_rows:
+            continue
+        raw, at = _bytes_of(batch.column(text))
+        i = 0
+        while i < batch.num_rows:
+            j = int(np.searchsorted(at, at[i] + block_bytes - size, "right")) - 1
+            if j <= i:
+                if parts:
+                    yield block()
+                    parts, data, sizes, size = [], [], [], 0
+                    continue
+                j = i + 1
+            parts.append(batch.slice(i, j - i))
+            data.append(raw[at[i]:at[j]])
+            sizes.append(np.diff(at[i:j + 1]))
+            size += int(at[j] - at[i])
+            i = j
+    if parts:
+        yield block()

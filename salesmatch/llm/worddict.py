@@ -29,11 +29,13 @@ from salesmatch.llm import packing, wordblocks
 from salesmatch.llm.common import shuffle_width, text_or_empty
 
 #: Words put together at once, to bound memory.
-_SLICE = 1 << 20
+_SLICE = 1 << 19
 
 
 def encode_documents(docs: DataFrame, key: list[str], text: str, spans: Callable,
-                     make_encoder: Callable[[], Callable[[list[bytes]], list[list[int]]]]) -> DataFrame:
+                     make_encoder: Callable[[], Callable[[list[bytes]], list[list[int]]]],
+                     make_finish: Callable[[], Callable[[pa.Table], pa.Table]] | None = None,
+                     finished: T.StructType | None = None) -> DataFrame:
     """``key`` columns and ``ids``, the document's token ids as little-endian uint16 bytes.
 
     ``spans`` cuts a text into words (``wordblocks.word_spans`` or
@@ -41,6 +43,10 @@ def encode_documents(docs: DataFrame, key: list[str], text: str, spans: Callable
     function from words to lists of ids (below 65536). Nulls: a null text is an
     empty one and has no ids; key columns may hold nulls and repeats, every row
     gives one row.
+
+    ``make_finish``, called once a task, returns a function from such a table to
+    one of schema ``finished``. It runs in the worker that puts the ids together,
+    which saves a task further workers for what follows.
     """
     names = [f"_k{i}" for i in range(len(key))]
     rows = docs.select(*[F.col(k).alias(n) for k, n in zip(key, names)], text_or_empty(text).alias("_text"))
@@ -51,13 +57,12 @@ def encode_documents(docs: DataFrame, key: list[str], text: str, spans: Callable
             bucket = (b.hashes % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            out, dictionary = [], b.words()
+            out = []
             for k in range(buckets):
                 at = order[edges[k]:edges[k + 1]]
                 if len(at):
-                    words = [dictionary[i] for i in at]
-                    out.append((b.key, k, packing.pack_rising(at), packing.pack_ints(np.array([len(w) for w in words])),
-                                packing.pack_bytes(b"".join(words))))
+                    lens, words = b.joined(at)
+                    out.append((b.key, k, packing.pack_rising(at), packing.pack_ints(lens), packing.pack_bytes(words)))
             if out:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.binary(), pa.binary(),
@@ -83,10 +88,14 @@ def encode_documents(docs: DataFrame, key: list[str], text: str, spans: Callable
 
     def docs_out(batches):
         for parts, b in wordblocks.blocks(batches, "_text", spans):
-            table = pa.Table.from_batches(parts).select(names)
-            index = [packing.pack_ints(b.index[i:j]) for i, j in zip(b.doc_at, b.doc_at[1:])]
-            table = table.append_column("block", pa.array([b.key] * len(index), pa.int64()))
-            yield from table.append_column("index", pa.array(index, pa.binary())).combine_chunks().to_batches()
+            table = pa.Table.from_batches(parts).select(names).combine_chunks()
+            whole = pa.array([0, table.num_rows], pa.int32())
+            lists = [pa.ListArray.from_arrays(whole, c.chunk(0)) for c in table.columns]
+            yield pa.RecordBatch.from_arrays(
+                [*lists, pa.array([b.key]), pa.array([packing.pack_ints(np.diff(b.doc_at))], pa.binary()),
+                 pa.array([packing.pack_ints(b.index)], pa.binary())], [*names, "block", "sizes", "index"])
+
+    finish: list[Callable] = []
 
     def assembled(left: pa.Table, right: pa.Table) -> pa.Table:
         at = [packing.unpack_rising(x) for x in right.column("at").to_pylist()]
@@ -102,33 +111,38 @@ def encode_documents(docs: DataFrame, key: list[str], text: str, spans: Callable
             count[a], begin[a], found[a] = c, base + edge[:-1], True
             base += int(edge[-1])
         flat = np.concatenate(ids) if ids else np.zeros(0, np.uint16)
-        out, pending, size = [], [], 0
-
-        def flush():
-            if pending:
-                index = np.concatenate(pending).astype(np.int64)
-                if len(index) and (index.max() >= words or not found[index].all()):
-                    raise RuntimeError("a block's words are missing: its input rows changed order between two reads")
-                total = packing.offsets(count[index])
-                values = flat[np.arange(total[-1]) + np.repeat(begin[index] - total[:-1], np.diff(total))]
-                edge = total[packing.offsets(np.array([len(p) for p in pending]))]
-                out.extend(values[i:j].tobytes() for i, j in zip(edge, edge[1:]))
-                pending.clear()
-
-        for x in left.column("index").to_pylist():
-            pending.append(packing.unpack_ints(x))
-            size += len(pending[-1])
-            if size > _SLICE:
-                flush()
-                size = 0
-        flush()
-        return left.select(names).append_column("ids", pa.array(out, pa.binary()))
+        keys: list[list] = [[] for _ in names]
+        out = []
+        for i in range(left.num_rows):  # one row, or more if blocks of the same content exist
+            index = packing.unpack_ints(left.column("index")[i].as_py()).astype(np.int64)
+            doc_at = packing.offsets(packing.unpack_ints(left.column("sizes")[i].as_py()))
+            if len(index) and (index.max() >= words or not found[index].all()):
+                raise RuntimeError("a block's words are missing: its input rows changed order between two reads")
+            d = 0
+            while d + 1 < len(doc_at):  # documents with about _SLICE words together
+                e = max(d + 1, int(np.searchsorted(doc_at, doc_at[d] + _SLICE, "right")) - 1)
+                part = index[doc_at[d]:doc_at[e]]
+                total = packing.offsets(count[part])
+                values = flat[np.arange(total[-1]) + np.repeat(begin[part] - total[:-1], np.diff(total))]
+                edge = total[doc_at[d:e + 1] - doc_at[d]].tolist()
+                out.extend(values[x:y].tobytes() for x, y in zip(edge, edge[1:]))
+                d = e
+            for own, n in zip(keys, names):
+                own.append(left.column(n).combine_chunks()[i].values)
+        columns = [pa.concat_arrays(own) if own else pa.nulls(0) for own in keys]
+        table = pa.table([*columns, pa.array(out, pa.binary())], [*key, "ids"])
+        if make_finish is None:
+            return table
+        if not finish:
+            finish.append(make_finish())
+        return finish[0](table)
 
     kept = [T.StructField(n, docs.schema[k].dataType) for k, n in zip(key, names)]
     sent = rows.select("_text").mapInArrow(words_out, "block long, bucket int, at binary, lens binary, words binary")
     back = sent.repartition(buckets, "bucket").mapInArrow(encoded, "block long, at binary, n binary, ids binary")
-    lists = rows.mapInArrow(docs_out, T.StructType([*kept, T.StructField("block", T.LongType()),
-                                                    T.StructField("index", T.BinaryType())]))
-    done = lists.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(
-        assembled, T.StructType([*kept, T.StructField("ids", T.BinaryType())]))
-    return done.select(*[F.col(n).alias(k) for k, n in zip(key, names)], "ids")
+    lists = rows.mapInArrow(docs_out, T.StructType([
+        *[T.StructField(f.name, T.ArrayType(f.dataType)) for f in kept], T.StructField("block", T.LongType()),
+        T.StructField("sizes", T.BinaryType()), T.StructField("index", T.BinaryType())]))
+    plain = T.StructType([*(T.StructField(k, f.dataType) for k, f in zip(key, kept)), T.StructField("ids", T.BinaryType())])
+    return lists.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(
+        assembled, plain if finished is None else finished)
