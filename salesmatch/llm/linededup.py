@@ -35,6 +35,7 @@ class LineIndex:
         self.spark, self.buckets, self.fan_in = spark, buckets or shuffle_width(spark), fan_in
         self.levels: list[list[str]] = []
         self._tables: list[str] = []
+        self._paths: dict[str, str] = {}
 
     def _save(self, df: DataFrame) -> str:
         name = f"line_run_{uuid.uuid4().hex}"
@@ -45,6 +46,7 @@ class LineIndex:
         place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         place.getFileSystem(self.spark._jsc.hadoopConfiguration()).deleteOnExit(place)
         self._tables.append(name)
+        self._paths[name] = path
         return name
 
     def _run(self, name: str) -> DataFrame:
@@ -66,7 +68,8 @@ class LineIndex:
         if not self.levels:
             self.levels.append([])
         self.levels[0].append(name)
-        return self.spark.table(name)
+        # Read as plain files: a join on a bucketed table could not be split where one key has many lines.
+        return self.spark.read.schema(self.spark.table(name).schema).parquet(self._paths[name])
 
     def _compact(self) -> None:
         for k in range(len(self.levels)):
