@@ -29,6 +29,8 @@ ORDER = 5
 WINDOW = 2 << 20
 #: Largest model, as hash and value arrays, that is broadcast.
 BROADCAST_BYTES = 96 << 20
+#: Most languages whose discounts or bands are broadcast; more are joined by a shuffle.
+BROADCAST_LANGUAGES = 10_000
 _B = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -125,6 +127,8 @@ def fit(docs: DataFrame, lang: str = "lang", text: str = "text") -> Model:
     for k in range(ORDER - 1, 0, -1):
         grams[k] = written(grams[k + 1].groupBy("lang", F.substring("gram", 2, k).alias("gram")).agg(
             F.count("*").alias("c")), "grams")
+    # A few numbers for each language; they are broadcast after a check of their number.
+    small = grams[1].select("lang").distinct().limit(BROADCAST_LANGUAGES + 1).count() <= BROADCAST_LANGUAGES
     n = [F.sum((F.col("c") == i).cast("double")).alias(f"n{i}") for i in (1, 2, 3, 4)]
     rows, backoff = None, None
     for k in range(1, ORDER + 1):
@@ -136,7 +140,8 @@ def fit(docs: DataFrame, lang: str = "lang", text: str = "text") -> Model:
             ok = (F.col(f"n{i}") > 0) & (F.col("n1") > 0) & d.between(0.01 * i, float(i))
             return F.when(ok, d).otherwise(F.lit(0.5 * i)).alias(f"d{i}")
 
-        table = few.select("lang", "types", *[discount(i) for i in (1, 2, 3)])
+        table = written(few.select("lang", "types", *[discount(i) for i in (1, 2, 3)]), "discounts")
+        table = F.broadcast(table) if small else table
         own = grams[k].join(table, "lang").withColumn(
             "d", F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))) \
             .withColumn("context", F.substring("gram", 1, k - 1))
@@ -166,13 +171,18 @@ class HashedModel:
     def __init__(self, model: Model):
         def run(batches):
             for b in batches:
-                values = b.column(3).to_numpy()
+                langs, kinds = np.array(b.column(0).to_pylist(), object), b.column(1).to_numpy()
+                grams = np.array(b.column(2).to_pylist(), object)
                 h = np.empty(b.num_rows, np.uint64)
-                for i, (lang, kind, gram) in enumerate(zip(*(b.column(c).to_pylist() for c in range(3)))):
-                    points = np.frombuffer(gram.encode("utf-32-le"), np.uint32)
-                    h[i] = gram_hash(points, np.zeros(1, np.int64), len(points), seed(lang, kind))[0]
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(values.astype(np.float32))],
-                                                 ["h", "v"])
+                for kind in np.unique(kinds).tolist():  # all n-grams of a kind have one length
+                    own = np.flatnonzero(kinds == kind)
+                    size = kind if kind < 16 else kind - 17
+                    names, of = np.unique(langs[own].astype(str), return_inverse=True)
+                    starts = np.array([seed(str(x), kind) for x in names], np.uint64)
+                    points = np.frombuffer("".join(grams[own]).encode("utf-32-le"), np.uint32)
+                    h[own] = gram_hash(points, np.arange(len(own)) * size, size, starts[of])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(h.view(np.int64)), pa.array(b.column(3).to_numpy().astype(np.float32))], ["h", "v"])
 
         both = model.rows.select("lang", "k", "gram", "logp").union(
             model.backoff.select("lang", F.col("k") + 16, "gram", "logg"))

@@ -94,10 +94,6 @@ def bands(scores: DataFrame, below: float = BELOW, above: float = ABOVE, least:
                     (F.col("q")[1] + above * width).alias("high"))
 
 
-#: Most languages whose bands are broadcast; more are joined by a shuffle.
-BROADCAST_LANGUAGES = 10_000
-
-
 def judge(docs: DataFrame, key: list[str], lang: str = "lang", text: str = "text",
           broadcast_bytes: int = ngrams.BROADCAST_BYTES) -> DataFrame:
     """``key`` columns, text_hash, the counts, score, base_failed and kept of every row.
@@ -117,7 +113,7 @@ def judge(docs: DataFrame, key: list[str], lang: str = "lang", text: str = "text
     rows = written(rows.withColumn("score", F.try_divide(-F.col("logp"), F.col("n_words"))), "quality")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
     band = written(bands(rows.where(~failed)), "bands")
-    small = band.limit(BROADCAST_LANGUAGES + 1).count() <= BROADCAST_LANGUAGES
+    small = band.limit(ngrams.BROADCAST_LANGUAGES + 1).count() <= ngrams.BROADCAST_LANGUAGES
     return rows.join(F.broadcast(band) if small else band, "model_lang", "left").select(
         *key, "model_lang", "text_hash", *_COUNTS, "score", "low", "high", failed.alias("base_failed"),
         (~failed & F.coalesce(F.col("score").between(F.col("low"), F.col("high")), F.lit(False))).alias("kept"))
