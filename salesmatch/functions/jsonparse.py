@@ -1,11 +1,12 @@
 """Model-response text -> typed rows (X3, X4), with Python's strictness.
 
-Spark's JSON readers stop after the first value and ignore what follows
-(``{"a":1} text {"b":2}`` parses as a=1); Python's ``json.loads`` rejects
-it. ``single_json`` restores the strict rule with two array-length probes:
-``[x]`` must hold exactly one element and ``[x,{}]`` exactly two, which
-rejects trailing prose, a second object, broken text, empty text and a cut
-that closes the wrapping array early.
+Spark's JSON readers stop after the first value, ignore what follows and by
+default take single quotes; Python's ``json.loads`` rejects both. Here the text
+``x`` is parsed once, as the array ``[x, {"<end mark>": true}]`` with strict
+options: it is exactly one value only if the array has two elements and the
+second is the end mark. Raw control characters, comments, single quotes, trailing
+prose, a second object and a text that closes the array early all fail. NaN and
+Infinity are accepted, as by ``json.loads``.
 """
 
 from __future__ import annotations
@@ -40,30 +41,42 @@ def fence_cut(col) -> Column:
             .otherwise(c))
 
 
-def single_json(col) -> Column:
-    """True when the text is exactly one JSON value (Python ``json.loads`` accepts)."""
-    c = _c(col)
-    one = F.json_array_length(F.concat(F.lit("["), c, F.lit("]"))) == 1
-    two = F.json_array_length(F.concat(F.lit("["), c, F.lit(",{}]"))) == 2
-    return F.coalesce(one & two, F.lit(False))
+# Never the name of a field of a reply.
+_END = "\u0002end"
+_STRICT = {"allowSingleQuotes": "false", "allowComments": "false", "allowUnquotedControlChars": "false",
+           "allowUnquotedFieldNames": "false", "mode": "PERMISSIVE"}
 
 
-def single_object(col) -> Column:
-    """Exactly one JSON value, and that value is an object."""
-    c = strip_ws(_c(col))
-    return single_json(c) & c.startswith("{")
+def _pair(c: Column, schema: T.StructType) -> Column:
+    """The text and the end mark as an array of structs; null if it is no JSON."""
+    kind = T.ArrayType(T.StructType([*schema.fields, T.StructField(_END, T.BooleanType())]))
+    return F.from_json(F.concat(F.lit("["), c, F.lit(',{"\\u0002end":true}]')), kind, _STRICT)
+
+
+def _one_object(c: Column, pair: Column) -> Column:
+    return F.coalesce(c.startswith("{") & (F.size(pair) == 2) & F.get(pair, 1)[_END], F.lit(False))
+
 
+def _struct(schema: T.StructType | str) -> T.StructType:
+    return T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
 
-def parse_object(col, schema: T.StructType | str) -> Column:
-    """Typed struct when the text is one JSON object, else null."""
-    return strict_object(col, schema)[1]
+
+def _first(pair: Column, schema: T.StructType) -> Column:
+    value = F.get(pair, 0)
+    return F.struct(*[value[f.name].alias(f.name) for f in schema.fields])
+
+
+def single_object(col) -> Column:
+    """True when the text is exactly one JSON object (Python ``json.loads`` accepts it)."""
+    return strict_object(col, T.StructType([]))[0]
 
 
 def strict_object(col, schema: T.StructType | str) -> tuple[Column, Column]:
     """(ok, struct): ok when the stripped text is exactly one JSON object."""
-    c = strip_ws(_c(col))
-    ok = F.coalesce(single_json(c) & c.startswith("{"), F.lit(False))
-    return ok, F.when(ok, F.from_json(c, schema))
+    c, schema = strip_ws(_c(col)), _struct(schema)
+    pair = _pair(c, schema)
+    ok = _one_object(c, pair)
+    return ok, F.when(ok, _first(pair, schema)) if schema.fields else F.lit(None)
 
 
 def parse_brace(col, schema) -> tuple[Column, Column]:
@@ -90,12 +103,10 @@ CUTS = {
 
 def with_parsed(df: DataFrame, text: str, schema, variant: str, ok_col: str = "ok",
                 out_col: str = "parsed") -> DataFrame:
-    """DataFrame form of the parsers: the cut text is materialised as its own
-    column first, so the regex and fence cuts run once per row instead of once
-    per probe (Catalyst does not inline an expensive column used several
-    times). Adds ``ok_col`` and ``out_col``."""
-    cut = f"_{out_col}_cut"
+    """DataFrame form of the parsers: the cut and the parsed pair are columns of
+    their own, so each is computed once a row. Adds ``ok_col`` and ``out_col``."""
+    cut, pair, schema = f"_{out_col}_cut", f"_{out_col}_pair", _struct(schema)
     staged = df.withColumn(cut, strip_ws(CUTS[variant](F.col(text))))
-    staged = staged.withColumn(ok_col, F.coalesce(single_json(F.col(cut)) & F.col(cut).startswith("{"),
-                                                  F.lit(False)))
-    return staged.withColumn(out_col, F.when(F.col(ok_col), F.from_json(F.col(cut), schema))).drop(cut)
+    staged = staged.withColumn(pair, _pair(F.col(cut), schema))
+    staged = staged.withColumn(ok_col, _one_object(F.col(cut), F.col(pair)))
+    return staged.withColumn(out_col, F.when(F.col(ok_col), _first(F.col(pair), schema))).drop(cut, pair)

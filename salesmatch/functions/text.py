@@ -116,7 +116,7 @@ def or_default(col, default) -> Column:
 
 def strip_ws(col) -> Column:
     """Python ``str.strip()``: all leading/trailing whitespace, not just spaces."""
-    return F.regexp_replace(_c(col), r"^\s+|\s+$", "")
+    return F.regexp_replace(_c(col), r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
 
 
 # --- F12: time helpers -------------------------------------------------------

@@ -65,8 +65,9 @@ def score(exact_lo: Column, exact_hi: Column, weights=WEIGHTS) -> Column:
     budget fit 1 inside the stated band, 0.5 inside the widened band only;
     body type 1 on match, 0 on mismatch, 0.5 when unknown; feature coverage =
     share of must-have features present, 1 for an empty list, 0.5 unknown.
-    A single must-have is tested with ``array_contains`` (no array allocated
-    per pair); longer lists use ``array_intersect``.
+    A vehicle without known features covers none of them. A single must-have is
+    tested with ``array_contains`` (no array allocated per pair); longer lists use
+    ``array_intersect``.
     """
     wb, wt, wf = weights
     fit = F.when(F.col("price").between(exact_lo, exact_hi), F.lit(1.0)).otherwise(F.lit(0.5))
@@ -75,8 +76,9 @@ def score(exact_lo: Column, exact_hi: Column, weights=WEIGHTS) -> Column:
     need = F.col("must_have_features")
     cover = (F.when(need.isNull(), F.lit(0.5))
              .when(F.size(need) == 0, F.lit(1.0))
-             .when(F.size(need) == 1, F.array_contains(F.col("features"), need[0]).cast("double"))
-             .otherwise(F.size(F.array_intersect(F.col("features"), need)) / F.size(need)))
+             .when(F.size(need) == 1, F.coalesce(F.array_contains(F.col("features"), need[0]), F.lit(False))
+                   .cast("double"))
+             .otherwise(F.coalesce(F.size(F.array_intersect(F.col("features"), need)), F.lit(0)) / F.size(need)))
     raw = F.round(fit * wb + body * wt + cover * wf)
     return F.least(F.greatest(raw, F.lit(0.0)), F.lit(100.0)).cast("int")
 
@@ -155,12 +157,11 @@ def recommend(customers: DataFrame, vehicles: DataFrame, needs: DataFrame, k: in
               policy: str = "exact", in_stock_only: bool = True, **join_opts) -> DataFrame:
     """Flagship: top ``k`` scored vehicles per customer.
 
-    ``policy="exact"`` (the application's rule): the first 20 vehicles by
-    price inside the exact budget, else the first 20 of the inventory, are
-    scored; work per customer is bounded by the candidate list.
+    ``policy="exact"``: every vehicle inside the stated budget is scored.
     ``policy="widened"`` (the notebook's rule): every vehicle inside
-    [0.8 x min, 1.3 x max] is scored; pair rows stay narrow (ids, price, body
-    type, features) and vehicle details are attached to the winners only.
+    [0.8 x min, 1.3 x max] is scored. Both take the pruned pool that provably
+    holds the best ones; pair rows stay narrow (ids, price, body type, features)
+    and vehicle details are attached to the winners only.
     Top-k is a WindowGroupLimit on the customer partitioning.
     """
     if in_stock_only and "stock_status" in vehicles.columns:
@@ -171,8 +172,8 @@ def recommend(customers: DataFrame, vehicles: DataFrame, needs: DataFrame, k: in
                  elo.alias("exact_lo"), ehi.alias("exact_hi")))
     v = vehicles.select("vehicle_id", "body_type", "price", "features")
     if policy == "exact":
-        cand = exact_candidates(customers, vehicles).select("customer_id", "vehicle_id")
-        pairs = cand.join(c, "customer_id").join(v, "vehicle_id")
+        cw = c.withColumn("lo", F.col("exact_lo")).withColumn("hi", F.col("exact_hi"))
+        pairs = widened_pool(cw, v, k, **join_opts)
     elif policy == "widened":
         lo, hi = widened_bounds()
         cw = c.withColumn("lo", lo).withColumn("hi", hi)

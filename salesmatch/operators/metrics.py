@@ -139,8 +139,9 @@ def scale_to_max(df: DataFrame, value: str, out: str = "pct_of_max", scale: floa
 
 def fold_lines(df: DataFrame, keys: list[str], order: str, line: str, sep: str = "\n",
                out: str = "text") -> DataFrame:
-    """Lines of each key joined in ``order``. Only for bounded groups (the
-    callers fold a top-k, never a raw history)."""
-    folded = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order), F.col(line)))),
+    """Lines of each key joined in ``order``; a null line is printed empty, so
+    that ``lines`` counts what stands there. Only for bounded groups (the callers
+    fold a top-k, never a raw history)."""
+    folded = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order), F.coalesce(F.col(line), F.lit("")).alias(line)))),
                                       lambda x: x[line]), sep)
     return df.groupBy(*keys).agg(folded.alias(out), F.count(F.lit(1)).alias("lines"))

@@ -176,9 +176,10 @@ def candidate_text_df(spark, sf_dir):
     v = B.vehicles(spark, sf_dir)
     cand = joins.first_k_in_range(c, v, "budget_min", "budget_max", "price", "vehicle_id", "customer_id",
                                   20, rank_col="rn")
-    line = F.concat(F.lit("- "), F.col("vehicle_id").cast("string"), F.lit(": "), F.col("make"), F.lit(" "),
-                    F.col("model"), F.lit(" "), price_label("price"), F.lit(" "), F.col("body_type"),
-                    F.lit(" features: "), list_text("features"))
+    known = [F.coalesce(c, F.lit("-")) for c in (
+        F.col("make"), F.col("model"), price_label("price"), F.col("body_type"))]
+    line = F.concat(F.lit("- "), F.col("vehicle_id").cast("string"), F.lit(": "), F.concat_ws(" ", *known),
+                    F.lit(" features: "), F.coalesce(list_text("features"), F.lit("-")))
     return metrics.fold_lines(cand.withColumn("line", line), ["customer_id"], "rn", "line",
                               out="candidate_text")
 

@@ -29,7 +29,8 @@ def _context_df(spark, sf_dir):
     cands = candidate_text_df(spark, sf_dir).select("customer_id", "candidate_text")
     text = F.concat_ws(
         "\n",
-        F.concat(F.lit("Customer: "), F.col("name"), F.lit(" ("), F.col("occupation"), F.lit(")")),
+        F.concat(F.lit("Customer: "), F.coalesce("name", F.lit("-")), F.lit(" ("),
+                 F.coalesce("occupation", F.lit("-")), F.lit(")")),
         F.concat(F.lit("Budget: "), budget_label("budget_min", "budget_max")),
         F.concat(F.lit("Latest interaction: "), F.coalesce(
             F.concat(F.date_format("interaction_date", "yyyy-MM-dd"), F.lit(" "), F.col("interaction_type")),
@@ -229,6 +230,16 @@ def insight_rows(spark, sf_dir):
     return parsed.select("session_id", "turn", *requests.insight_display("insight"))
 
 
+# Own tags and wording; the word and the web tag are fixed values of the output's producer.
+OUTPUT_RULES = [
+    requests.OutputRule("prefix", "<name>knowledge-bot</name>", "Searching the knowledge base..."),
+    requests.OutputRule("prefix", "<name>data-assistant</name>", "Searching internal data..."),
+    requests.OutputRule("anywhere", "Genie", "Searching internal data..."),
+    requests.OutputRule("anywhere_any_case", "<name>tavily", "Searching the web..."),
+    requests.OutputRule("prefix", "<name>", "Asking an agent..."),
+]
+
+
 @query("agent_fold", B.with_ctes("chat_turns") + """,
 items AS (SELECT session_id, turn AS pos,
                  CASE WHEN role = 'system' THEN 'function_call' ELSE 'message' END AS type,
@@ -268,4 +279,4 @@ def agent_fold(spark, sf_dir):
                      F.when(F.col("role") == "system", F.lit("function_call")).otherwise(F.lit("message"))
                      .alias("type"), "role", F.col("content").alias("text"),
                      F.when(F.col("role") == "assistant", F.col("content")).alias("alt"))
-    return requests.agent_fold(items, "session_id", "pos", alt="alt")
+    return requests.agent_fold(items, OUTPUT_RULES, "session_id", "pos", alt="alt")
