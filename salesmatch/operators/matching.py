@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from salesmatch.functions.text import or_default
 from salesmatch.operators.joins import candidates_or_default, first_k_in_range, range_join
-from salesmatch.operators.ranking import top_k
+from salesmatch.operators.ranking import first_rows, top_k
 
 # Fixed values from the reference's budget rules (demo 1 widening and the
 # ceilings used when a budget is missing or 0).
@@ -95,8 +95,7 @@ def exact_candidates(customers: DataFrame, vehicles: DataFrame, limit: int = CAN
     v = vehicles.select("vehicle_id", "price")
     cand = first_k_in_range(c, v, "lo", "hi", "price", "vehicle_id", "customer_id", limit).select(
         "customer_id", "vehicle_id", "rank")
-    first_n = top_k(v.withColumn("_all", F.lit(0)), ["_all"], [F.col("price"), F.col("vehicle_id")],
-                    limit).select("vehicle_id", "rank")
+    first_n = first_rows(v, ["price", "vehicle_id"], limit).select("vehicle_id", "rank")
     return candidates_or_default(c, cand, first_n, "customer_id")
 
 
@@ -146,7 +145,7 @@ def widened_pool(c: DataFrame, v: DataFrame, k: int, **join_opts) -> DataFrame:
                                    F.concat(F.lit("A:"), F.col("body_type"), F.lit("|"), F.col("_w")).alias("_g")))
               .where(F.col("_g").isNotNull()))
     found = first_k_in_range(probes, tagged, "plo", "phi", "price", "vehicle_id", "_probe", m, part="_g",
-                             target_units=16384, lo_open="op")
+                             lo_open="op")
     pool = found.select("customer_id", "vehicle_id").distinct()
     pruned = pool.join(c.where(simple), "customer_id").join(v, "vehicle_id")
     full = range_join(c.where(~simple), v, "lo", "hi", "price", **join_opts)

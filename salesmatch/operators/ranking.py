@@ -58,3 +58,9 @@ def down_sample(series: DataFrame, keys: list[str], ts: str, every: int = 10) ->
             .withColumn("_n", F.count(F.lit(1)).over(wall))
             .where((F.col("point_index") % every == 0) | (F.col("point_index") == F.col("_n") - 1))
             .drop("_n"))
+
+
+def first_rows(df: DataFrame, order: list[str], k: int, rank_col: str = "rank") -> DataFrame:
+    """The first ``k`` rows of the whole table, ranked: a top-k from each task, then a
+    window over the k rows that are left."""
+    return df.orderBy(*order).limit(k).withColumn(rank_col, F.row_number().over(Window.orderBy(*order)))

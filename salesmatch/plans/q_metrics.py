@@ -174,8 +174,9 @@ def candidate_text_df(spark, sf_dir):
     into one text block, one line per vehicle in price order."""
     c = B.customers(spark, sf_dir).select("customer_id", "budget_min", "budget_max")
     v = B.vehicles(spark, sf_dir)
-    cand = joins.first_k_in_range(c, v, "budget_min", "budget_max", "price", "vehicle_id", "customer_id",
-                                  20, rank_col="rn")
+    cand = joins.first_k_in_range(c, v.select("vehicle_id", "price"), "budget_min", "budget_max", "price",
+                                  "vehicle_id", "customer_id", 20, rank_col="rn")
+    cand = cand.join(v.drop("price"), "vehicle_id")
     known = [F.coalesce(c, F.lit("-")) for c in (
         F.col("make"), F.col("model"), price_label("price"), F.col("body_type"))]
     line = F.concat(F.lit("- "), F.col("vehicle_id").cast("string"), F.lit(": "), F.concat_ws(" ", *known),
