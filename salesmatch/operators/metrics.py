@@ -69,28 +69,59 @@ def rating_summary(evals: DataFrame, rating: str = "rating", truth: str = "groun
         F.count_if(F.coalesce(F.col(truth) != "", F.lit(False))).alias("with_ground_truth"))
 
 
+def value_counts(traces: DataFrame, keys: list, latency: str = "execution_time_ms", status: str = "status",
+                 tokens: str = "total_tokens") -> DataFrame:
+    """Per group and latency value (``_v``): rows ``_n``, errors ``_e``, token sum ``_t``.
+    Partial aggregates of fixed size; a group's values are spread over tasks."""
+    return traces.groupBy(*keys, F.col(latency).alias("_v")).agg(
+        F.count(F.lit(1)).alias("_n"), F.count_if(F.col(status) == "ERROR").alias("_e"),
+        F.sum(F.col(tokens)).cast("bigint").alias("_t"))
+
+
+def series_from_counts(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """The series of ``minute_series`` from ``value_counts``. Exact percentiles
+    come from cumulative counts: a sorted, spilling window over the distinct
+    values of a group, and no map of values in memory."""
+    group = Window.partitionBy(*keys)
+    valued = F.when(F.col("_v").isNotNull(), F.col("_n")).otherwise(F.lit(0))
+    run = counts.withColumn("_cum", F.sum(valued).over(group.orderBy("_v"))).withColumn(
+        "_total", F.sum(valued).over(group))
+    ranks = []
+    for i, p in enumerate(PERCENTILES):
+        at = (F.col("_total") - 1) * F.lit(p)
+        for end, edge in (("lo", F.floor(at)), ("hi", F.ceil(at))):
+            ranks.append(F.min(F.when(F.col("_cum") > edge, F.col("_v"))).alias(f"_{end}{i}"))
+    agg = run.groupBy(*keys).agg(
+        F.sum("_n").alias("requests"), F.max("_total").alias("_total"),
+        F.sum(F.col("_v") * F.col("_n")).alias("_sum"), F.sum("_e").alias("error_count"),
+        F.coalesce(F.sum("_t"), F.lit(0)).cast("bigint").alias("tokens"), *ranks)
+
+    def percentile(i: int) -> Column:
+        at = (F.col("_total") - 1) * F.lit(PERCENTILES[i])
+        return F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * (at - F.floor(at))
+
+    return agg.select(*keys, "requests", _r(F.try_divide("_sum", "_total")).alias("avg_latency_ms"),
+                      *[_r(percentile(i)).alias(f"p{round(p * 100)}_latency_ms") for i, p in enumerate(PERCENTILES)],
+                      "error_count", "tokens")
+
+
 def minute_series(traces: DataFrame, keys: list[str] | None = None, ts: str = "ts",
                   latency: str = "execution_time_ms", status: str = "status",
-                  tokens: str = "total_tokens", exact: bool = True) -> DataFrame:
-    """One row per minute (and key): requests, mean and p50/p95/p99
-    latency, errors, tokens. ``exact`` uses ``percentile`` (a value->count map
-    per group, merged across tasks); ``exact=False`` uses ``percentile_approx``
-    with bounded memory per group, the choice for very hot minutes."""
+                  tokens: str = "total_tokens") -> DataFrame:
+    """One row per minute (and key): requests, mean and exact p50/p95/p99
+    latency, errors, tokens. Rows are counted by value first, so that a minute
+    with most of the rows is summed by all tasks."""
     keys = keys or []
-    minute = F.date_trunc("minute", F.col(ts)).alias("minute")
-    pct = (F.percentile(F.col(latency), list(PERCENTILES)) if exact
-           else F.percentile_approx(F.col(latency), list(PERCENTILES), 10000))
-    agg = traces.groupBy(*keys, minute).agg(
-        F.count(F.lit(1)).alias("requests"),
-        F.avg(F.col(latency)).alias("_avg"),
-        pct.alias("_p"),
-        F.count_if(F.col(status) == "ERROR").alias("error_count"),
-        F.coalesce(F.sum(F.col(tokens)), F.lit(0)).cast("bigint").alias("tokens"))
-    return agg.select(*keys, "minute", "requests", _r(F.col("_avg")).alias("avg_latency_ms"),
-                      _r(F.col("_p")[0]).alias("p50_latency_ms"),
-                      _r(F.col("_p")[1]).alias("p95_latency_ms"),
-                      _r(F.col("_p")[2]).alias("p99_latency_ms"),
-                      "error_count", "tokens")
+    counts = value_counts(traces, [*keys, F.date_trunc("minute", F.col(ts)).alias("minute")], latency, status, tokens)
+    return series_from_counts(counts, [*keys, "minute"])
+
+
+def newest_minutes(traces: DataFrame, n: int = RECENT_POINTS, ts: str = "ts") -> DataFrame:
+    """The rows of the ``n`` newest minutes that have rows."""
+    minute = F.date_trunc("minute", F.col(ts))
+    last = traces.where(F.col(ts).isNotNull()).select(minute.alias("_m")).distinct().orderBy(F.desc("_m")).limit(n)
+    first = last.agg(F.min("_m").alias("_from"))  # one row
+    return traces.join(F.broadcast(first), F.col(ts) >= F.col("_from")).drop("_from")
 
 
 def recent_mean(series: DataFrame, n: int = RECENT_POINTS, ts: str = "minute") -> DataFrame:

@@ -99,7 +99,7 @@ FROM last
 """)
 def recent_mean(spark, sf_dir):
     """Mean of the last five minute points."""
-    return metrics.recent_mean(_series(spark, sf_dir))
+    return metrics.recent_mean(metrics.minute_series(metrics.newest_minutes(B.traces(spark, sf_dir))))
 
 
 @query("hour_totals", B.with_ctes("traces") + "," + _MINUTE_SQL + """

@@ -3,20 +3,19 @@
 Event files arrive in a folder; the job reads them incrementally, casts the
 zone-less event time to a timestamp (watermarks need TIMESTAMP, not
 TIMESTAMP_NTZ), keeps a watermark so state for old minutes is dropped, and
-appends each minute once it is closed. Output and checkpoint live in the
-shared folder, so a restarted job (or a lost executor) resumes exactly.
+appends each minute's value counts once it is closed. Output and checkpoint are
+the caller's, in the shared folder, so a restarted job resumes exactly.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from salesmatch.operators.metrics import DIGITS, PERCENTILES
-from salesmatch.session import shared_dir
+from salesmatch.operators.metrics import series_from_counts, value_counts
+
+WATERMARK = "10 minutes"
 
 EVENT_SCHEMA = T.StructType([
     T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampNTZType()),
@@ -24,6 +23,8 @@ EVENT_SCHEMA = T.StructType([
     T.StructField("value", T.DoubleType()), T.StructField("props", T.StringType()),
 ])
 
+COUNTS_SCHEMA = "minute timestamp, _v double, _n bigint, _e bigint, _t bigint"
+
 
 def trace_stream(events: DataFrame) -> DataFrame:
     """Streaming twin of the ``traces`` binding."""
@@ -35,42 +36,38 @@ def trace_stream(events: DataFrame) -> DataFrame:
         F.when(ok, F.get_json_object("props", "$.k").cast("int")).alias("total_tokens"))
 
 
-def minute_metrics_stream(traces: DataFrame, watermark: str = "10 minutes", exact: bool = True) -> DataFrame:
-    """Windowed aggregation with a watermark; rows appear when a minute closes.
-    Exact percentiles keep a value->count map per open minute in state; for
-    very high rates pass ``exact=False`` (bounded ``percentile_approx`` state)."""
-    pct = (F.percentile("execution_time_ms", list(PERCENTILES)) if exact
-           else F.percentile_approx("execution_time_ms", list(PERCENTILES), 10000))
-    agg = (traces.withWatermark("ts", watermark)
-           .groupBy(F.window("ts", "1 minute"))
-           .agg(F.count(F.lit(1)).alias("requests"), F.avg("execution_time_ms").alias("_avg"), pct.alias("_p"),
-                F.count_if(F.col("status") == "ERROR").alias("error_count"),
-                F.coalesce(F.sum("total_tokens"), F.lit(0)).cast("bigint").alias("tokens")))
-    return agg.select(F.col("window.start").alias("minute"), "requests",
-                      F.round("_avg", DIGITS).alias("avg_latency_ms"),
-                      F.round(F.col("_p")[0], DIGITS).alias("p50_latency_ms"),
-                      F.round(F.col("_p")[1], DIGITS).alias("p95_latency_ms"),
-                      F.round(F.col("_p")[2], DIGITS).alias("p99_latency_ms"),
-                      "error_count", "tokens")
+def minute_counts_stream(traces: DataFrame, watermark: str = WATERMARK) -> DataFrame:
+    """Counts by (minute, latency value) under a watermark; rows appear when a minute
+    closes. State is one small row a value, spread over all state partitions."""
+    counts = value_counts(traces.withWatermark("ts", watermark), [F.window("ts", "1 minute").alias("w")])
+    return counts.select(F.col("w.start").alias("minute"), "_v", "_n", "_e", "_t")
+
 
+def run_available(spark: SparkSession, source: str, out: str, checkpoint: str, watermark: str = WATERMARK) -> DataFrame:
+    """Process the files that are new in ``source`` (trigger availableNow) and return
+    the series of all minutes as a batch table.
 
-def run_available(spark: SparkSession, source: str, out: str | None = None,
-                  watermark: str = "10 minutes", exact: bool = True) -> DataFrame:
-    """Process every file now in ``source`` (trigger availableNow), append the
-    closed minutes to a parquet sink and return the sink as a batch table."""
-    base = shared_dir(spark)
-    run = uuid.uuid4().hex
-    out = out or f"{base}/stream-minute-metrics-{run}"
-    reader = spark.readStream.schema(EVENT_SCHEMA)
+    Closed minutes are appended to the Parquet sink ``out`` as value counts.
+    ``checkpoint`` belongs to the sink: a later call with both goes on after the
+    files that were read, and a failed call is resumed. Minutes that the watermark
+    still holds open are counted from the source's newest rows, those after the
+    sink's last minute; they reach the sink in a later call. Rows later than the
+    watermark are left out, as in any such stream.
+    """
+    reader, batch = spark.readStream.schema(EVENT_SCHEMA), spark.read.schema(EVENT_SCHEMA)
     if source.endswith(".parquet"):
         # a single file: read it through its folder so the source has a directory base
         folder, name = source.rsplit("/", 1)
         reader = reader.option("basePath", folder).option("pathGlobFilter", name)
-        source = folder
-    events = reader.parquet(source)
-    q = (minute_metrics_stream(trace_stream(events), watermark, exact).writeStream
-         .outputMode("append").format("parquet")
-         .option("checkpointLocation", f"{base}/stream-checkpoint-{run}")
+        batch, source = batch.option("pathGlobFilter", name), folder
+    q = (minute_counts_stream(trace_stream(reader.parquet(source)), watermark).writeStream
+         .outputMode("append").format("parquet").option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start(out))
     q.awaitTermination()
-    return spark.read.parquet(out)
+    closed = spark.read.schema(COUNTS_SCHEMA).parquet(out)
+    last = closed.agg(F.max("minute").alias("_last"))  # one row
+    events = trace_stream(batch.parquet(source)).where(F.col("ts").isNotNull())
+    newer = events.join(F.broadcast(last), F.col("_last").isNull() | (
+        F.col("ts") >= F.col("_last") + F.expr("INTERVAL 1 MINUTE"))).drop("_last")
+    tail = value_counts(newer, [F.date_trunc("minute", "ts").alias("minute")])
+    return series_from_counts(closed.unionByName(tail.select(*closed.columns)), ["minute"])

@@ -66,10 +66,11 @@ def test_stamp_is_deterministic_with_keys(spark):
     assert len(io.stamp(df, "id", "m").first().id) == 36
 
 
-def test_stream_matches_batch_on_closed_minutes(spark):
-    src = tempfile.mkdtemp(prefix="sm-events-")
+def test_stream_matches_batch_and_resumes(spark):
+    src, own = tempfile.mkdtemp(prefix="sm-events-"), tempfile.mkdtemp(prefix="sm-stream-")
     base = pd.Timestamp("2024-01-01 00:00:00")
-    for part in range(3):
+
+    def add(part):
         pdf = pd.DataFrame({
             "event_id": range(part * 100, part * 100 + 100),
             "ts": [base + pd.Timedelta(seconds=17 * (part * 100 + i)) for i in range(100)],
@@ -79,12 +80,31 @@ def test_stream_matches_batch_on_closed_minutes(spark):
             "props": ['{"k": %d}' % (i % 13) for i in range(100)],
         })
         spark.createDataFrame(pdf, ST.EVENT_SCHEMA).write.mode("append").parquet(src)
-    streamed = ST.run_available(spark, src)
-    events = spark.read.schema(ST.EVENT_SCHEMA).parquet(src)
-    batch = metrics.minute_series(ST.trace_stream(events))
-    max_ts = events.agg(F.max(F.col("ts").cast("timestamp"))).first()[0]
-    closed = batch.where(F.col("minute") + F.expr("INTERVAL 11 MINUTES") <= F.lit(max_ts))
-    cols = ["minute", "requests", "avg_latency_ms", "p50_latency_ms", "p95_latency_ms", "error_count", "tokens"]
-    got = sorted(tuple(r) for r in streamed.select(*cols).collect())
-    expect = sorted(tuple(r) for r in closed.select(*cols).collect())
-    assert got == expect and len(got) > 0
+
+    def check():
+        streamed = ST.run_available(spark, src, f"{own}/counts", f"{own}/checkpoint")
+        batch = metrics.minute_series(ST.trace_stream(spark.read.schema(ST.EVENT_SCHEMA).parquet(src)))
+        got, expect = (sorted(tuple(r) for r in d.select(*batch.columns).collect()) for d in (streamed, batch))
+        assert got == expect and len(got) > 0
+        return spark.read.parquet(f"{own}/counts").select("minute").distinct().count()
+
+    add(0)
+    first = check()
+    add(1)
+    assert check() > first > 0  # only the new file is read; open minutes have closed
+    assert check() > 0  # nothing new
+
+
+def test_minute_series_with_a_hot_minute_and_null_latency(spark):
+    rows = spark.range(1_000_000).select(
+        F.when(F.col("id") < 999_990, F.timestamp_seconds(F.lit(60))).otherwise(F.timestamp_seconds(F.lit(180))).alias("ts"),
+        F.when(F.col("id") % 10 == 3, F.lit(None)).otherwise((F.col("id") * 7919 % 100_003).cast("double"))
+        .alias("execution_time_ms"), F.lit("OK").alias("status"), F.lit(1).alias("total_tokens"))
+    got = metrics.minute_series(rows).orderBy("minute").collect()
+    expect = rows.groupBy(F.date_trunc("minute", "ts").alias("minute")).agg(
+        F.count("*").alias("n"), F.percentile("execution_time_ms", [0.5, 0.95, 0.99]).alias("p"),
+        F.avg("execution_time_ms").alias("a")).orderBy("minute").collect()
+    assert [(r.requests, r.tokens) for r in got] == [(e.n, e.n) for e in expect]
+    for r, e in zip(got, expect):
+        assert (r.p50_latency_ms, r.p95_latency_ms, r.p99_latency_ms) == tuple(round(x, 6) for x in e.p)
+        assert abs(r.avg_latency_ms - e.a) < 1e-5
