@@ -28,6 +28,8 @@ from salesmatch.session import shared_dir
 
 #: Row group and page sizes in bytes.
 ROW_GROUP, PAGE = 8 << 20, 64 << 10
+#: Tokens handed to the file writer at once.
+RUN_TOKENS = 1 << 20
 _SCHEMA = "doc_id long, part int, place long, n_tokens long, tokens array<int>"
 
 
@@ -50,6 +52,15 @@ def tokenize(docs: DataFrame, vocabulary: str, end_id: int | None, bounds: list[
                       T.StructField("ids", T.BinaryType())]))
 
 
+def token_runs(edge: np.ndarray):
+    """First and last (excluded) document of runs of at most RUN_TOKENS tokens; a longer document is a run of its own."""
+    i = 0
+    while i + 1 < len(edge):
+        j = max(i + 1, int(np.searchsorted(edge, edge[i] + RUN_TOKENS, "right")) - 1)
+        yield i, j
+        i = j
+
+
 def write_ids(ids: DataFrame, path: str, parts: int, row_group: int = ROW_GROUP, page: int = PAGE) -> None:
     """Write packed ``ids`` (doc_id, part, ids) by ascending doc_id, one file for each part. Null
     doc_ids come first. Rows with the same doc_id are ordered by their tokens."""
@@ -57,15 +68,20 @@ def write_ids(ids: DataFrame, path: str, parts: int, row_group: int = ROW_GROUP,
     def rows(batches):
         at = 0
         for b in batches:
-            v = [np.frombuffer(x, "<u2") for x in b.column("ids").to_pylist()]
-            n = np.array([len(x) for x in v], np.int64)
-            edges = offsets(n)
-            flat = np.concatenate(v).astype(np.int32) if v else np.zeros(0, np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("part"), pa.array(at + edges[:-1]), pa.array(n),
-                 pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(flat))],
-                ["doc_id", "part", "place", "n_tokens", "tokens"])
-            at += int(edges[-1])
+            if not b.num_rows:
+                continue
+            column = b.column("ids").cast(pa.large_binary())
+            _, edge, data = column.buffers()
+            edge = np.frombuffer(edge, np.int64)[column.offset:column.offset + len(column) + 1] // 2
+            flat = np.frombuffer(data or b"", np.uint8)[:2 * edge[-1]].view("<u2")
+            for i, j in token_runs(edge):
+                own = edge[i:j + 1]
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("doc_id").slice(i, j - i), b.column("part").slice(i, j - i),
+                     pa.array(at + own[:-1] - edge[0]), pa.array(np.diff(own)), pa.ListArray.from_arrays(
+                         pa.array(own - own[0], pa.int32()), pa.array(flat[own[0]:own[-1]].astype(np.int32)))],
+                    ["doc_id", "part", "place", "n_tokens", "tokens"])
+            at += int(edge[-1] - edge[0])
 
     dealt = ids.repartitionById(parts, "part")
     (dealt.sortWithinPartitions("doc_id", "ids").mapInArrow(rows, _SCHEMA).write
@@ -108,7 +124,8 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
         for b in batches:
             lists = b.column("tokens")
             edge = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-            raw = memoryview(lists.flatten().to_numpy(zero_copy_only=False).astype("<u4").tobytes())
+            flat = np.ascontiguousarray(lists.flatten().to_numpy(zero_copy_only=False), "<i4")
+            raw = memoryview(flat.view(np.uint8))  # ids are not negative: the bytes of unsigned integers
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), b.column("part"), b.column("place"), pa.array(np.diff(edge).astype(np.int64)),
                  pa.array([zlib.crc32(raw[4 * i:4 * j]) for i, j in zip(edge.tolist(), edge[1:].tolist())], pa.int64())],
