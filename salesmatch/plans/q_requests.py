@@ -13,7 +13,7 @@ from salesmatch.operators import ranking, requests, sessions
 from salesmatch.plans import bindings as B
 from salesmatch.plans.q_metrics import CANDIDATE_TEXT_SQL, candidate_text_df
 from salesmatch.plans.registry import query
-from salesmatch.session import shared_dir
+from salesmatch.session import scratch_path, shared_dir
 from salesmatch.sources import io
 
 REPLY_FORMAT = ('Reply with JSON only: {"recommendations": [{"vehicle_id": <id>, '
@@ -71,35 +71,90 @@ def request_table(spark, sf_dir):
     return sessions.with_context(turns, ctx, "context")
 
 
-REC_LIST = T.StructType([T.StructField("recommendations", T.ArrayType(schemas.RECOMMENDATION_ITEM))])
+SCORED_AT = "2026-01-01 00:00:00"
+ESTIMATE = T.StructType([T.StructField("match_score", T.LongType()), T.StructField("tier", T.StringType())])
 
 
-@query("batch_score")
+@query("batch_score", B.with_ctes("customers", "interactions") + f""",
+n AS (SELECT customer_id, count(*) AS n FROM interactions GROUP BY customer_id),
+s AS (SELECT c.customer_id,
+             least(3 * coalesce(n.n, 0) + greatest(coalesce(c.budget_max, 0), 0) // 250, 100) AS match_score
+      FROM customers c LEFT JOIN n USING (customer_id)),
+t AS (SELECT *, CASE WHEN match_score >= 60 THEN 'hot' WHEN match_score >= 30 THEN 'warm' ELSE 'cold' END AS tier
+      FROM s)
+SELECT sha256(CAST(customer_id AS VARCHAR)) AS recommendation_id, customer_id,
+       'Here is my estimate.' || chr(10) || '```json' || chr(10) || '{{"match_score": '
+       || CAST(match_score AS VARCHAR) || ', "tier": "' || tier || '"}}' || chr(10) || '```' AS response_text,
+       true AS ok, CAST(match_score AS BIGINT) AS match_score, tier,
+       TIMESTAMP '{SCORED_AT}' AS generated_at, 'readiness-scorer' AS model_used
+FROM t
+""")
 def batch_score(spark, sf_dir):
-    """Score every customer's request in Arrow batches, stamp
-    the responses (uuid, time, model) and parse them back. Responses are
-    checkpointed to the shared folder so a lost executor never re-runs the
-    scorer for finished partitions. No oracle: ids and times are fresh."""
-    from salesmatch.plans.q_matching import _recommend
-
-    top = _recommend(spark, sf_dir, scaled=False, policy="exact")
-    cand = top.groupBy("customer_id").agg(
-        F.array_sort(F.collect_list(F.struct("rank", "vehicle_id", "match_score"))).alias("_c"))
-    req = (B.customers(spark, sf_dir).select("customer_id").join(cand, "customer_id", "left")
-           .select("customer_id",
-                   F.coalesce(F.transform("_c", lambda x: x["vehicle_id"]), F.array().cast("array<bigint>"))
-                   .alias("candidate_ids"),
-                   F.coalesce(F.transform("_c", lambda x: x["match_score"]), F.array().cast("array<int>"))
-                   .alias("candidate_scores")))
+    """Score every customer's request in Arrow batches, stamp the
+    responses (key-derived id, fixed time, model) and parse them back. Responses
+    are checkpointed to the shared folder so a lost executor never re-runs the
+    scorer for finished partitions."""
+    contacts = B.interactions(spark, sf_dir).groupBy("customer_id").agg(F.count("*").alias("n_interactions"))
+    req = B.customers(spark, sf_dir).select("customer_id", "budget_max").join(contacts, "customer_id", "left")
     shared_dir(spark)
-    resp = requests.score_batch(req, inputs=["candidate_ids", "candidate_scores"]).checkpoint()
-    parsed = jsonparse.with_parsed(resp, "response_text", REC_LIST, "fenced_braced")
-    stamped = io.stamp(parsed, "recommendation_id", "echo-scorer")
+    resp = requests.score_batch(req).checkpoint()
+    parsed = jsonparse.with_parsed(resp, "response_text", ESTIMATE, "fenced_braced")
+    stamped = io.stamp(parsed, "recommendation_id", "readiness-scorer", ["customer_id"], SCORED_AT)
     return stamped.select("recommendation_id", "customer_id", "response_text", "ok",
-                          F.size(F.coalesce(F.col("parsed.recommendations"), F.array())).alias("n_recs"),
+                          F.col("parsed.match_score").alias("match_score"), F.col("parsed.tier").alias("tier"),
                           "generated_at", "model_used")
 
 
+SAVED_AT, RESAVED_AT = "2026-01-01 00:00:00", "2026-02-01 00:00:00"
+
+
+def _saved_lists(spark, sf_dir, orders, at):
+    """One stamped row per customer: the vehicles of its order ``list_id`` as JSON text,
+    by line, then vehicle id as text, then score."""
+    items = orders.join(B.recommendation_items(spark, sf_dir), "list_id").join(
+        B.vehicles(spark, sf_dir).select("vehicle_id", "make", "model", "image_path"), "vehicle_id")
+    entry = F.struct("pos", F.struct(
+        F.struct(F.col("vehicle_id").cast("string").alias("vehicle_id"), "make", "model", "image_path").alias("vehicle"),
+        "match_score", F.concat(F.lit("line "), F.col("pos").cast("string")).alias("reason")).alias("item"))
+    lists = items.groupBy("customer_id", "list_id").agg(F.array_sort(F.collect_list(entry)).alias("_items")).select(
+        "customer_id", "list_id", F.to_json(F.col("_items.item")).alias("recommendations_json"),
+        F.concat(F.lit("List "), F.col("list_id").cast("string")).alias("talk_script"))
+    return io.stamp(lists, "recommendation_id", "list-writer", ["customer_id", "list_id"], at)
+
+
+@query("save_cycle", B.with_ctes("interactions", "rec_items", "vehicles") + """,
+lists AS (SELECT customer_id, max(interaction_id) AS last_list, min(interaction_id) AS first_list
+          FROM interactions
+          WHERE interaction_id IN (SELECT list_id FROM rec_items JOIN vehicles USING (vehicle_id))
+          GROUP BY customer_id),
+stored AS (SELECT customer_id, CASE WHEN customer_id % 3 = 0 THEN first_list ELSE last_list END AS list_id
+           FROM lists)
+SELECT s.customer_id,
+       CAST(row_number() OVER (PARTITION BY s.customer_id ORDER BY r.pos, CAST(v.vehicle_id AS VARCHAR), r.match_score) AS INTEGER) AS position,
+       'List ' || CAST(s.list_id AS VARCHAR) AS talk_script, CAST(v.vehicle_id AS VARCHAR) AS vehicle_id,
+       v.make, v.image_path AS image_url, r.match_score, 'line ' || CAST(r.pos AS VARCHAR) AS reason
+FROM stored s JOIN rec_items r USING (list_id) JOIN vehicles v USING (vehicle_id)
+""")
+def save_cycle(spark, sf_dir):
+    """Stamped lists of every customer's newest order are
+    stored in the shared folder; every third customer's list is regenerated (its
+    oldest order) and replaces the stored one by key; the stored table is read
+    back, latest list per customer, one row per item."""
+    listed = B.recommendation_items(spark, sf_dir).join(
+        B.vehicles(spark, sf_dir).select("vehicle_id"), "vehicle_id", "left_semi")
+    ends = B.interactions(spark, sf_dir).join(
+        listed, F.col("interaction_id") == F.col("list_id"), "left_semi").groupBy("customer_id").agg(
+        F.max("interaction_id").alias("last_list"), F.min("interaction_id").alias("first_list"))
+    first, second = scratch_path(spark, "saved"), scratch_path(spark, "saved")
+    io.overwrite(_saved_lists(spark, sf_dir, ends.select("customer_id", F.col("last_list").alias("list_id")), SAVED_AT),
+                 first)
+    again = ends.where("customer_id % 3 = 0").select("customer_id", F.col("first_list").alias("list_id"))
+    io.write_replacing(spark, first, _saved_lists(spark, sf_dir, again, RESAVED_AT), ["customer_id"], second)
+    return requests.read_cached(io.read_table(spark, second)).select(
+        "customer_id", "position", "talk_script", F.col("vehicle.vehicle_id").alias("vehicle_id"),
+        F.col("vehicle.make").alias("make"), F.col("vehicle.image_url").alias("image_url"), "match_score", "reason")
+
+
 _RAW_SQL = """
 src AS (SELECT l_orderkey, l_linenumber, l_partkey,
           '{"order":' || CAST(l_orderkey AS VARCHAR) || ',"part":' || CAST(l_partkey AS VARCHAR)

@@ -7,8 +7,8 @@ helper that finds the shared folder for lineage cuts.
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -75,16 +75,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh sub-path of the shared folder for one materialised table."""
-    base = shared_dir(spark)
-    return os.path.join(base, f"{name}-{os.getpid()}-{next(_counter)}")
-
-
-def _count():
-    n = 0
-    while True:
-        n += 1
-        yield n
-
-
-_counter = _count()
+    """A fresh sub-path of the shared folder, marked for deletion when the application ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
