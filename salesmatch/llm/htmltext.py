@@ -2,13 +2,16 @@
 
 Every page scores its containers and names the generalised tag-class path of its
 main one. Spark counts the votes of a host's pages, and every page is extracted
-again from the containers on its host's winning path. A page without such a
-container, or with most of its text elsewhere, uses its own.
+again from the containers on its host's winning path, or from its own main one
+unless they hold all of its text. That is the article's core: titles, leads and
+sections around it belong to the text too, but for page furniture, which is links
+and blocks that stand around the cores of most of a host's pages.
 """
 
 from __future__ import annotations
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,9 +20,9 @@ from salesmatch.llm.common import text_or_empty, written
 
 #: A page's main container is the deepest with this share of its text.
 SHARE = 0.7
-#: The winning path is used if it gives at least this share of the page's own main container.
-AGREE = 0.5
-#: Most hosts whose winners are broadcast (below 100 bytes each); more are joined.
+#: A block around the core is furniture if it stands beside so many different cores of a host, and more than half of them.
+REPEATED = 2
+#: Most hosts (below 100 bytes each) and furniture blocks that are broadcast; more are joined.
 BROADCAST_HOSTS = 200_000
 
 
@@ -35,34 +38,45 @@ def _parsed(html: str):
     return root, items, pagetree.main_container(root, SHARE)
 
 
-def vote(html: str) -> tuple[str, int]:
-    """Path and text size of the page's main container."""
-    own = _parsed(html)[2]
-    return pagetree.path(own), own.size
+def _hash(text: str) -> int:
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def extract(html: str, winner: str | None = None) -> str:
-    """Text of the containers on the winning path, or of the page's own main container."""
+def vote(html: str) -> tuple[str, int, int, list[int]]:
+    """Path and text size of the page's main container, hash of its text, and hashes of the blocks around it."""
+    _, items, own = _parsed(html)
+    inside = pagetree.under({own})
+    core, outside = [], set()
+    for node, text, _ in pagetree.unmarked(items):
+        core.append(text) if inside(node) else outside.add(_hash(text))
+    return pagetree.path(own), own.size, _hash(" ".join(core)), sorted(outside)
+
+
+def extract(html: str, winner: str | None = None, furniture=()) -> str:
+    """Text of the page's article; ``furniture`` has the hashes of its host's repeated blocks."""
     root, items, own = _parsed(html)
+    found = pagetree.unmarked(items)
     nodes = {own}
     if winner is not None:
-        found = {n for n in pagetree.all_nodes(root) if n.tag in pagetree.HOLD and not n.away and pagetree.path(n) == winner}
-        if found and sum(n.size for n in found) >= AGREE * own.size:
-            nodes = found
-    return " ".join(pagetree.blocks(items, pagetree.under(nodes)))
+        winning = {n for n in pagetree.all_nodes(root) if n.tag in pagetree.HOLD and not n.away and pagetree.path(n) == winner}
+        mine, inside = pagetree.under(nodes), pagetree.under(winning)
+        if winning and all(inside(node) for node, _, _ in found if mine(node)):
+            nodes = winning
+    known = frozenset(furniture or ())
+    return " ".join(pagetree.around(nodes, found, lambda text: bool(known) and _hash(text) in known))
 
 
 def votes(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """host, path and size of each page's main container; pages without text do not vote."""
+    """host, and path, size, core and around (``vote``) of each page; pages without text do not vote."""
 
     def run(batches):
         for b in batches:
-            got = [vote(h) for h in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([p for p, _ in got], pa.string()),
-                                              pa.array([n for _, n in got], pa.int64())], ["host", "path", "size"])
+            got = list(zip(*(vote(h) for h in b.column(1).to_pylist()))) or [()] * 4
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(got, (
+                pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64()))))], ["host", "path", "size", "core", "around"])
 
     rows = pages.select(host(F.col(url)).alias("host"), text_or_empty(html).alias("html"))
-    return rows.mapInArrow(run, "host string, path string, size long").where("size > 0")
+    return rows.mapInArrow(run, "host string, path string, size long, core long, around array<long>").where("size > 0")
 
 
 def winners(ballots: DataFrame) -> DataFrame:
@@ -71,6 +85,18 @@ def winners(ballots: DataFrame) -> DataFrame:
     return counted.groupBy("host").agg(F.min_by("path", F.struct(-F.col("n"), -F.col("size"), "path")).alias("winner"))
 
 
+def furniture(ballots: DataFrame) -> DataFrame:
+    """host and the hashes of its furniture: at most twice as many as a page has blocks around its core.
+
+    Copies of a page have the same core and count once, so their leads are none.
+    """
+    cores = ballots.select("host", "core").distinct().groupBy("host").agg(F.count("*").alias("cores"))
+    pairs = ballots.select("host", "core", F.explode("around").alias("block")).distinct()
+    often = pairs.groupBy("host", "block").agg(F.count("*").alias("n")).where(F.col("n") >= REPEATED)
+    return often.join(cores, "host").where(2 * F.col("n") > F.col("cores")).groupBy("host").agg(
+        F.collect_list("block").alias("furniture"))
+
+
 def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html",
               broadcast_hosts: int = BROADCAST_HOSTS) -> DataFrame:
     """page_id, url, text and n_chars of every row.
@@ -78,19 +104,21 @@ def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: st
     A null or empty page has an empty text; a null or odd url belongs to the
     nameless host. Repeated rows give one row each; extra columns are ignored.
     """
-    best = written(winners(votes(pages, url, html)), "winners")
+    ballots = written(votes(pages, url, html), "votes")
+    best = written(winners(ballots).join(furniture(ballots), "host", "left"), "winners")
     rows = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).alias("url"), host(F.col(url)).alias("host"),
                         text_or_empty(html).alias("html"))
     # The check of the size; hosts are joined with the pages' own shuffle beyond it.
-    small = best.limit(broadcast_hosts + 1).count() <= broadcast_hosts
+    n = best.agg(F.count("*") + F.coalesce(F.sum(F.size(F.coalesce("furniture", F.array()))), F.lit(0))).first()[0]
+    small = n <= broadcast_hosts
     rows = rows.join(F.broadcast(best) if small else best, "host", "left")
 
     def run(batches):
         for b in batches:
-            text = [extract(h, w) for h, w in zip(b.column("html").to_pylist(), b.column("winner").to_pylist())]
+            text = [extract(*row) for row in zip(*(b.column(c).to_pylist() for c in ("html", "winner", "furniture")))]
             yield pa.RecordBatch.from_arrays(
                 [b.column("page_id"), b.column("url"), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())],
                 ["page_id", "url", "text", "n_chars"])
 
-    return rows.select("page_id", "url", "html", "winner").mapInArrow(
+    return rows.select("page_id", "url", "html", "winner", "furniture").mapInArrow(
         run, "page_id long, url string, text string, n_chars long")

@@ -20,6 +20,7 @@ AWAY = frozenset("nav header footer aside form menu button dialog fieldset label
 HOLD = frozenset("html body main article section div table tbody thead tfoot tr td th ul ol dl blockquote center "
                  "details figure".split()) | AWAY
 LEAF = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre address summary figcaption caption hr br option".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _VOID = frozenset("br hr img input meta link area base col embed source track wbr".split())
 #: Words of class, id or role names that mark menus, notices, adverts, comments and the like.
 MARKS = frozenset(
@@ -115,21 +116,53 @@ def parse(html: str) -> tuple[Node, list]:
     return root, items
 
 
-def blocks(items: list, inside) -> list[str]:
-    """Texts of the blocks whose nodes satisfy ``inside``: references decoded, white space as one space."""
+def unmarked(items: list) -> list[tuple[Node, str, bool]]:
+    """Node and text of every block outside marked elements, and whether most of the text is links."""
     out, part = [], []
     for item in [*items, None]:
         if item is None:
             if part:
-                text = " ".join(unescape("".join(part)).split())
+                text = " ".join(unescape("".join(t for _, t, _ in part)).split())
                 if text:
-                    out.append(text)
+                    size = [(len(t.strip()), link) for _, t, link in part]
+                    out.append((part[0][0], text, 2 * sum(n for n, link in size if link) > sum(n for n, _ in size)))
                 part = []
-        elif not item[0].away and inside(item[0]):
-            part.append(item[1])
+        elif not item[0].away:
+            part.append(item)
     return out
 
 
+def around(core: set, found: list, repeated) -> list[str]:
+    """Texts of ``core`` and of the blocks around it that are not page furniture, in page order.
+
+    A container beside the core goes if more than half of its text is links or
+    ``repeated`` blocks; of the others, and of single blocks, only what is repeated
+    goes, and single blocks of links that are no headings.
+    """
+    spine = set()
+    for node in core:
+        while node is not None and node not in spine:
+            spine.add(node)
+            node = node.parent
+    inside = under(core)
+    judged, weight = [], {}
+    for node, text, link in found:
+        if inside(node):
+            judged.append((text, True, None))
+            continue
+        beside, up = None, node
+        while up not in spine:
+            beside, up = up, up.parent
+        again = repeated(text)
+        if beside is not None and beside.tag in HOLD:
+            sums = weight.setdefault(beside, [0, 0])
+            sums[again or link] += len(text)
+            judged.append((text, not again, sums))
+        else:
+            judged.append((text, not again and not (link and node.tag not in HEADINGS), None))
+    return [text for text, kept, sums in judged if kept and (sums is None or sums[1] <= sums[0])]
+
+
 def path(node: Node) -> str:
     """Generalised path of labels from the body down."""
     labels = []

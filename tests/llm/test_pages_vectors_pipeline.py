@@ -34,6 +34,29 @@ def test_pages(spark):
     assert htmltext.main_text(pages.where("false")).count() == 0
 
 
+def test_whole_article_around_its_core(spark):
+    body = "Body sentence %d, which is the most of it. " * 20
+    lead = ('<div class="top"><a href="/">Home</a> <a href="/n">News</a></div><article><h1>Title %d</h1><p>Lead %d.</p>'
+            '<div class="body"><p>' + body + '</p></div></article><p>All pages say this.</p>')
+    table = '<main><h2>Results %d</h2><p>Before it.</p><table><tr><td>' + body + '</td></tr></table><p>After %d.</p></main>'
+    parts = '<article><section><p>' + body + '</p></section><section class="more"><p>Second part %d.</p></section></article>'
+    text = lambda n: " ".join((body % ((n,) * 20)).split())
+    rows = [(n, "http://lead.org/", lead % ((n,) * 22)) for n in range(4)] + [(3, "http://lead.org/", lead % ((3,) * 22))] * 9
+    rows += [(10 + n, f"http://table{n}.org/", table % ((n,) * 22)) for n in range(2)]
+    rows += [(20 + n, "http://parts.org/", parts % ((n,) * 21)) for n in range(3)]
+    # Half of the article stands outside the winning path of its host.
+    half = lambda n: body % ((n,) * 20)
+    rows += [(30 + n, "http://half.org/", f'<article><div class="a"><p>{half(n)}</p></div></article>') for n in range(3)]
+    rows += [(40, "http://half.org/", f'<article><div class="a"><p>{half(7)}</p></div><div class="b"><p>{half(8)}</p></div></article>')]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for limit in (1000, 0):
+        got = {r.page_id: r.text for r in htmltext.main_text(pages, broadcast_hosts=limit).collect()}
+        assert [got[n] for n in range(4)] == [f"Title {n} Lead {n}. {text(n)}" for n in range(4)]
+        assert [got[10 + n] for n in range(2)] == [f"Results {n} Before it. {text(n)} After {n}." for n in range(2)]
+        assert [got[20 + n] for n in range(3)] == [f"{text(n)} Second part {n}." for n in range(3)]
+        assert got[40] == f"{text(7)} {text(8)}"
+
+
 def test_host_votes(spark):
     urls = [("http://WWW.A.org:80/x",), ("https://u:p@b.org/y?z",), ("//c.org",), ("nothing",), (None,)]
     df = spark.createDataFrame(urls, "url string")
