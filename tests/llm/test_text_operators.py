@@ -274,6 +274,14 @@ def test_quality_bands_keep_prose_and_reject_noise(spark):
     assert quality.verdicts(empty(spark)).count() == 0
 
 
+def test_quality_bands_reject_separator_lists(spark):
+    # A list of short runs between bars among the clean texts.
+    rows = [(i, prose(i)) for i in range(2, 240, 2)] + [(502, " | ".join(prose(i, 2) for i in range(301, 361)))]
+    got = {r.doc_id: r for r in quality.judge(frame(spark, rows), ["doc_id"]).collect()}
+    assert all(got[i].kept for i in range(2, 240, 2))
+    assert not got[502].kept and not got[502].base_failed and got[502].score > got[502].high
+
+
 def test_model_probabilities_add_up(spark):
     docs = frame(spark, [(2 * i, prose(i, 30)) for i in range(8)])
     model = ngrams.fit(docs)
