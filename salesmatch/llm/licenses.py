@@ -48,7 +48,7 @@ TEMPLATES = {
     "bsd-3": ["redistribution and use in source and binary forms with or without modification are permitted "
               "provided that the following conditions are met"],
     "mpl-2": ["this source code form is subject to the terms of the mozilla public license v 2 0"],
-    "all-rights-reserved": ["copyright all rights reserved"],
+    "all-rights-reserved": ["copyright all rights reserved", "all rights reserved"],
 }
 
 #: Share of a template's distinct words that a block must hold. Notices of five

@@ -239,6 +239,11 @@ def test_license_scan_matches_sql(spark, tmp_path):
     assert licenses.license_rows(empty(spark)).count() == 0
 
 
+def test_license_notice_of_reserved_rights(spark):
+    got = licenses.license_rows(frame(spark, [(1, "Some text.\nAll rights reserved.\nMore"), (2, "all rights")]))
+    assert {r.doc_id: (r.labels, r.score) for r in got.collect()} == {1: ("all-rights-reserved", 1.0), 2: ("", 0.0)}
+
+
 def brute_counts(text):
     words = text.encode().split()
     seen, dup = set(), 0
