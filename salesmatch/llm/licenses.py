@@ -1,7 +1,8 @@
 """Operator 6: license scans by an exact set-similarity join.
 
-A text block (a line) meets a template if it holds at least the threshold share
-of the template's distinct words. Template words are ordered by how many blocks
+A text block meets a template if it holds at least the threshold share of the
+template's distinct words. Blocks are the lines, and all windows of words across
+lines that are a quarter (at least two words) longer than the template. Template words are ordered by how many blocks
 of the whole corpus hold them, rarest first. Any block that meets a template of
 n words with k required ones holds one of its n - k + 1 rarest words (prefix
 filter), has at least k distinct words (length filter), and after its first
@@ -91,41 +92,100 @@ class Index:
     """Inverted lists of the templates' prefix words."""
 
     def __init__(self, templates: dict[str, list[str]], frequency: dict[str, int], threshold: float):
-        self.templates, self.postings = [], {}
+        self.templates, self.postings, self.reach = [], {}, []
         for label, notices in sorted(templates.items()):
             for t in notices:
                 ordered = sorted(set(words(t)), key=lambda w: (frequency.get(w, 0), w))
                 need = max(1, math.ceil(threshold * len(ordered) - 1e-9))
                 number = len(self.templates)
                 self.templates.append((label, frozenset(ordered), need))
+                n = len(words(t))
+                self.reach.append(n + max(2, n // 4))
                 for place, w in enumerate(ordered[:len(ordered) - need + 1]):
                     self.postings.setdefault(w, []).append((number, len(ordered) - place))
 
-    def match(self, block: set[str], hits) -> dict[str, float]:
-        """Containment by label of the templates that the block meets, the best ones if there are
-        several (notices of one family hold almost the same words); ``hits`` are its prefix words."""
-        found: dict[str, float] = {}
+    def near(self, held: set[str], hits) -> list[int]:
+        """Templates that words ``held`` meet; ``hits`` are their prefix words."""
         first: dict[int, int] = {}
         for w in hits:
             for number, left in self.postings[w]:
                 first[number] = max(left, first.get(number, 0))
-        for number, left in first.items():
+        return [n for n, left in first.items()
+                if min(len(held), left) >= self.templates[n][2] and len(self.templates[n][1] & held) >= self.templates[n][2]]
+
+    def match(self, lines: list[list[str]]) -> list[tuple[int, str, float]]:
+        """Line, label and containment of every line and every window of words that meets a template.
+
+        A window may cross lines; it is bounded by its template's length. A match
+        goes if its words stand in a better match that it overlaps, as notices of one
+        family hold almost the same words.
+        """
+        tokens = [w for line in lines for w in line]
+        held = set(tokens)
+        doc = self.near(held, self.postings.keys() & held)
+        if not doc:
+            return []
+        found, at = [], []  # found: first and last place, share, label, matched words, line
+        begin = 0
+        for n, line in enumerate(lines):
+            at += [n] * len(line)
+            own = set(line)
+            for number in self.near(own, self.postings.keys() & own):
+                label, template, _ = self.templates[number]
+                found.append((begin, begin + len(line) - 1, len(template & own) / len(template), label, template & own, n))
+            begin += len(line)
+        for number in doc:
             label, template, need = self.templates[number]
-            if len(block) < need or left < need:
-                continue
-            share = len(template & block)
-            if share >= need:
-                found[label] = max(found.get(label, 0.0), share / len(template))
-        best = max(found.values(), default=0.0)
-        return {label: share for label, share in found.items() if share == best}
+            found += [(a, b, share, label, words_, at[a]) for a, b, share, words_ in
+                      windows(tokens, template, need, self.reach[number]) if at[a] != at[b]]
+        found.sort(key=lambda x: x[:2])
+        gone = set()
+        for i, x in enumerate(found):
+            for j in range(i + 1, len(found)):
+                y = found[j]
+                if y[0] > x[1]:
+                    break
+                for a, b, k in ((x, y, i), (y, x, j)):  # a line comes before windows of its label
+                    if a[4] <= b[4] and (a[2] < b[2] or a[3] == b[3] and a[2] == b[2] and at[a[0]] != at[a[1]] and at[b[0]] == at[b[1]]):
+                        gone.add(k)
+        best: dict[tuple[int, str], float] = {}
+        for i, (_, _, share, label, _, n) in enumerate(found):
+            if i not in gone:
+                best[n, label] = max(share, best.get((n, label), 0.0))
+        return [(n, label, share) for (n, label), share in sorted(best.items())]
+
+
+def windows(tokens: list[str], template: frozenset[str], need: int, reach: int) -> list[tuple[int, int, float, frozenset[str]]]:
+    """First and last place, containment and matched words of windows of at most ``reach`` words that hold
+    ``need`` words of the template: the best ones first, without overlaps."""
+    places = [i for i, w in enumerate(tokens) if w in template]
+    count: dict[str, int] = {}
+    left, some = 0, []
+    for right in places:
+        count[tokens[right]] = count.get(tokens[right], 0) + 1
+        # The window's first word leaves it if it is out of reach or stands in the window again.
+        while right - places[left] >= reach or count[tokens[places[left]]] > 1:
+            w = tokens[places[left]]
+            count[w] -= 1
+            if not count[w]:
+                del count[w]
+            left += 1
+        if len(count) >= need:
+            some.append((-len(count), right - places[left], places[left], right, frozenset(count)))
+    out, taken = [], set()
+    for n, _, a, b, held in sorted(some, key=lambda x: x[:3]):
+        if taken.isdisjoint(range(a, b + 1)):
+            taken.update(range(a, b + 1))
+            out.append((a, b, -n / len(template), held))
+    return out
 
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", phrases: dict[str, str] = PHRASES,
          templates: dict[str, list[str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score and ``blocks`` of every row.
 
-    ``blocks`` lists line number, label and containment of the lines that meet a
-    template. ``score`` is 1 with a base phrase, else the best containment, else 0.
+    ``blocks`` lists (first) line number, label and containment of the lines and
+    windows that meet a template. ``score`` is 1 with a base phrase, else the best containment, else 0.
     A null text has no words; repeated rows give one row each; extra columns are
     ignored.
     """
@@ -156,10 +216,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", phrases: d
                 places, labels = base(tokens)
                 blocks = []
                 if not prefix.isdisjoint(tokens):
-                    for n, line in enumerate(t.split("\n")):
-                        held = set(_WORDS(line))
-                        if hits := prefix & held:
-                            blocks += [(n, label, share) for label, share in sorted(index.match(held, hits).items())]
+                    blocks = index.match([_WORDS(line) for line in t.split("\n")])
                 every = labels | {label for _, label, _ in blocks}
                 out.append((key, len(tokens), len(places), min(places, default=None), max(places, default=None),
                             ",".join(sorted(labels)), ",".join(sorted(every)),
@@ -184,7 +241,8 @@ def license_rows(docs: DataFrame) -> DataFrame:
 
 
 def sql() -> str:
-    """DuckDB SQL of ``license_rows``: every line against every template."""
+    """DuckDB SQL of ``license_rows``: every line against every template. It knows no windows across
+    lines, and of a line only the labels with the highest share."""
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
     split = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
     low = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

@@ -244,6 +244,18 @@ def test_license_notice_of_reserved_rights(spark):
     assert {r.doc_id: (r.labels, r.score) for r in got.collect()} == {1: ("all-rights-reserved", 1.0), 2: ("", 0.0)}
 
 
+def test_license_notices_across_lines(spark):
+    mit = licenses.TEMPLATES["mit"][2].split()
+    wrapped = "Code\n" + "\n".join(" * " + " ".join(mit[i:i + 7]) for i in range(0, len(mit), 7)) + "\nint main() {}"
+    both = "licensed under the apache license version 2 0 or " + licenses.TEMPLATES["bsd-3"][0].replace("following ", "")
+    family = licenses.TEMPLATES["cc-by-sa"][0].replace("creative ", "creative\n")
+    apart = "licensed by all\n" + "word " * 30 + "\nrights\n" + "word " * 30 + "\nreserved"
+    docs = frame(spark, [(1, wrapped), (2, both), (3, family), (4, apart), (5, "All rights\nreserved. " * 3)])
+    got = {r.doc_id: r for r in licenses.scan(docs).collect()}
+    assert [got[i].labels for i in range(1, 6)] == ["mit", "apache-2,bsd-3", "cc-by-sa", "", "all-rights-reserved"]
+    assert [(b.line, b.label, b.share) for b in got[1].blocks] == [(1, "mit", 1.0)]
+
+
 def brute_counts(text):
     words = text.encode().split()
     seen, dup = set(), 0
