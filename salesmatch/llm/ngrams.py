@@ -25,10 +25,11 @@ from salesmatch.llm.common import text_or_empty, written
 from salesmatch.llm.wordblocks import _distinct
 
 ORDER = 5
-#: Characters counted at once by a task; longer texts are taken in overlapping windows.
-WINDOW = 2 << 20
-#: Largest model, as hash and value arrays, that is broadcast.
-BROADCAST_BYTES = 96 << 20
+#: Characters counted at once by a task; longer texts are taken in overlapping windows. Scoring holds the
+#: model beside them and takes fewer at once.
+WINDOW, SCORE_WINDOW = 2 << 20, 1 << 18
+#: Largest model, as hash and value arrays (16 bytes an entry), that is broadcast.
+BROADCAST_BYTES = 128 << 20
 #: Most languages whose discounts or bands are broadcast; more are joined by a shuffle.
 BROADCAST_LANGUAGES = 10_000
 _B = np.uint64(0x9E3779B97F4A7C15)
@@ -58,16 +59,16 @@ def gram_hash(points: np.ndarray, at: np.ndarray, size: int, start: np.ndarray |
     return h
 
 
-def pieces(rows):
-    """(numbers of rows, code points, places and row of each n-gram) of bounded groups of (number, language, text)."""
+def pieces(rows, window: int = WINDOW):
+    """Bounded groups of (number, language, code points) from rows of (number, language, text)."""
     group, size = [], 0
     for number, lang, text in rows:
         points = stream(text)
-        for at in range(0, len(points) - ORDER + 1, WINDOW):
-            part = points[at:at + WINDOW + ORDER - 1]
+        for at in range(0, len(points) - ORDER + 1, window):
+            part = points[at:at + window + ORDER - 1]
             group.append((number, lang, part))
             size += len(part)
-            if size >= WINDOW:
+            if size >= window:
                 yield group
                 group, size = [], 0
     if group:
@@ -191,11 +192,11 @@ class HashedModel:
                     points = np.frombuffer("".join(grams[own]).encode("utf-32-le"), np.uint32)
                     h[own] = gram_hash(points, np.arange(len(own)) * size, size, starts[of])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h.view(np.int64)), pa.array(b.column(3).to_numpy().astype(np.float32))], ["h", "v"])
+                    [pa.array(h.view(np.int64)), b.column(3)], ["h", "v"])
 
         both = model.rows.select("lang", "k", "gram", "logp").union(
             model.backoff.select("lang", F.col("k") + 16, "gram", "logg"))
-        got = both.mapInArrow(run, "h long, v float").toArrow()
+        got = both.mapInArrow(run, "h long, v double").toArrow()
         h = got.column("h").to_numpy().view(np.uint64)
         order = np.argsort(h)
         self.hashes, self.values = h[order], got.column("v").to_numpy()[order]
@@ -225,7 +226,7 @@ class HashedModel:
 
 
 def model_bytes(model: Model) -> int:
-    return 12 * (model.rows.count() + model.backoff.count())
+    return 16 * (model.rows.count() + model.backoff.count())
 
 
 def joined_scores(docs: DataFrame, model: Model, lang: str, text: str) -> DataFrame:

@@ -58,10 +58,13 @@ def text_counts(text: str) -> tuple[int, int, int, int, int]:
     return len(words), chars, symbols, dup, repeat
 
 
-def features(docs: DataFrame, key: list[str], lang: str, text: str, model: ngrams.HashedModel | None) -> DataFrame:
-    """``key`` columns, lang, row (hash of the text), the five counts, n_letter_words, and n_grams and logp if a model is given."""
+def features(docs: DataFrame, key: list[str], lang: str, text: str, model: ngrams.HashedModel | None,
+             carry: bool = False) -> DataFrame:
+    """``key`` columns, lang, row (hash of the text), the five counts, n_letter_words, and n_grams and logp if a
+    model is given; with ``carry`` the text itself too, so that a caller needs no second copy of it in ``key``."""
     spark = docs.sparkSession
     names = [f"_k{i}" for i in range(len(key))]
+    passed = [*names, "_lang", "_row", *(["_text"] if carry else [])]
     shared = spark.sparkContext.broadcast(model) if model is not None else None
 
     def run(batches):
@@ -70,25 +73,26 @@ def features(docs: DataFrame, key: list[str], lang: str, text: str, model: ngram
             counts = list(zip(*(text_counts(t) for t in texts))) or [()] * 5
             logp, n = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
             if shared is not None:
-                for group in ngrams.pieces(zip(range(len(texts)), langs, texts)):
+                for group in ngrams.pieces(zip(range(len(texts)), langs, texts), ngrams.SCORE_WINDOW):
                     points, names_, of, at, h, index, own = ngrams.distinct_grams(group)
                     value = shared.value.logp(points, names_, of, at, h)[index]
                     rows = np.array([i for i, _, _ in group])
                     np.add.at(logp, rows, np.add.reduceat(value, np.cumsum(own) - own))
                     np.add.at(n, rows, own)
             yield pa.RecordBatch.from_arrays(
-                [*(b.column(c) for c in (*names, "_lang", "_row")), *(pa.array(c, pa.int64()) for c in counts),
+                [*(b.column(c) for c in passed), *(pa.array(c, pa.int64()) for c in counts),
                  pa.array([len(_LETTER_WORD(t)) for t in texts], pa.int64()), pa.array(n), pa.array(logp)],
-                [*names, "_lang", "_row", *_COUNTS, "n_letter_words", "n_grams", "logp"])
+                [*passed, *_COUNTS, "n_letter_words", "n_grams", "logp"])
 
     body = text_or_empty(text)
     rows = docs.select(*[F.col(k).alias(c) for k, c in zip(key, names)], F.coalesce(F.col(lang), F.lit("")).alias("_lang"),
                        F.xxhash64(body).alias("_row"), body.alias("_text"))
     out = rows.mapInArrow(run, T.StructType(
-        [*rows.schema.fields[:len(key) + 2], *(T.StructField(c, T.LongType()) for c in (*_COUNTS, "n_letter_words", "n_grams")),
+        [*(rows.schema[c] for c in passed), *(T.StructField(c, T.LongType()) for c in (*_COUNTS, "n_letter_words", "n_grams")),
          T.StructField("logp", T.DoubleType())]))
     return out.select(*[F.col(c).alias(k) for k, c in zip(key, names)], F.col("_lang").alias("model_lang"),
-                      F.col("_row").alias("text_hash"), *_COUNTS, "n_letter_words", "n_grams", "logp")
+                      F.col("_row").alias("text_hash"), *([F.col("_text").alias(text)] if carry else []),
+                      *_COUNTS, "n_letter_words", "n_grams", "logp")
 
 
 def bands(scores: DataFrame, below: float = BELOW, above: float = ABOVE, least: float = LEAST) -> DataFrame:
@@ -101,8 +105,8 @@ def bands(scores: DataFrame, below: float = BELOW, above: float = ABOVE, least:
 
 
 def judge(docs: DataFrame, key: list[str], lang: str = "lang", text: str = "text",
-          broadcast_bytes: int = ngrams.BROADCAST_BYTES) -> DataFrame:
-    """``key`` columns, text_hash, the counts, score, base_failed and kept of every row.
+          broadcast_bytes: int = ngrams.BROADCAST_BYTES, carry: bool = False) -> DataFrame:
+    """``key`` columns, text_hash, the counts, score, base_failed and kept of every row; with ``carry`` the text too.
 
     A text fails the base rules with fewer than 50 words, or with over half of its
     words in repeated three-word windows. Otherwise it is kept if its score lies in
@@ -112,17 +116,18 @@ def judge(docs: DataFrame, key: list[str], lang: str = "lang", text: str = "text
     """
     model = ngrams.fit(docs, lang, text)
     if ngrams.model_bytes(model) <= broadcast_bytes:
-        rows = features(docs, key, lang, text, ngrams.HashedModel(model))
+        rows = features(docs, key, lang, text, ngrams.HashedModel(model), carry)
     else:
         scored = ngrams.joined_scores(docs, model, lang, text).select(
             F.col("lang").alias("model_lang"), F.col("row").alias("text_hash"), "n_grams", "logp")
-        rows = features(docs, key, lang, text, None).drop("n_grams", "logp").join(scored, ["model_lang", "text_hash"])
-    rows = written(rows.withColumn("score", F.try_divide(-F.col("logp"), F.col("n_letter_words"))), "quality")
+        rows = features(docs, key, lang, text, None, carry).drop("n_grams", "logp").join(scored, ["model_lang", "text_hash"])
+    # Both forms of the model sum the same doubles in another order; rounding makes their scores equal.
+    rows = written(rows.withColumn("score", F.round(F.try_divide(-F.col("logp"), F.col("n_letter_words")), 9)), "quality")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
     band = written(bands(rows.where(~failed)), "bands")
     small = band.limit(ngrams.BROADCAST_LANGUAGES + 1).count() <= ngrams.BROADCAST_LANGUAGES
     return rows.join(F.broadcast(band) if small else band, "model_lang", "left").select(
-        *key, "model_lang", "text_hash", *_COUNTS, "score", "low", "high", failed.alias("base_failed"),
+        *key, "model_lang", "text_hash", *([text] if carry else []), *_COUNTS, "score", "low", "high", failed.alias("base_failed"),
         (~failed & F.coalesce(F.col("score").between(F.col("low"), F.col("high")), F.lit(False))).alias("kept"))
 
 

@@ -286,7 +286,10 @@ def test_quality_bands_keep_prose_and_reject_noise(spark):
     assert all(got[i].kept for i in range(2, 120, 2))
     assert not got[500].kept and not got[500].base_failed and got[502].base_failed and got[504].n_words == 0
     joined = {r.doc_id: r for r in quality.judge(docs, ["doc_id"], broadcast_bytes=0).collect()}
-    assert all(joined[i].score == pytest.approx(got[i].score, abs=1e-4) for i in range(2, 120, 2))
+    assert {i: (r.score, r.low, r.high, r.kept) for i, r in joined.items()} == {
+        i: (r.score, r.low, r.high, r.kept) for i, r in got.items()}
+    carried = {r.doc_id: r.text for r in quality.judge(docs, ["doc_id"], carry=True).collect()}
+    assert carried == {i: t or "" for i, t in rows}
     assert quality.verdicts(empty(spark)).count() == 0
 
 
