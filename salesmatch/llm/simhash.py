@@ -60,15 +60,16 @@ def fingerprint(text: bytes, shingle: int) -> int:
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
-    """doc_id and ``fp`` (the fingerprint's 64 bits as a long) of every row."""
+    """doc_id, ``row`` (hash of the text) and ``fp`` (the fingerprint's 64 bits as a long) of every row."""
 
     def run(batches):
         for b in batches:
-            fp = np.array([fingerprint(t.encode(), shingle) for t in b.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            fp = np.array([fingerprint(t.encode(), shingle) for t in b.column(2).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp.view(np.int64))], ["doc_id", "row", "fp"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_or_empty(text).alias("t")).mapInArrow(
-        run, "doc_id long, fp long")
+    body = text_or_empty(text)
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(body).alias("row"), body.alias("t")).mapInArrow(
+        run, "doc_id long, row long, fp long")
 
 
 def _bits(fp: np.ndarray, bits: list[int]) -> np.ndarray:
@@ -248,11 +249,26 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     one row each; extra columns are ignored; empty tables give empty results.
     """
     rows = written(fingerprints(docs, doc_id, text, shingle), "fingerprints")
-    distinct = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    found = components(links(distinct, distance))
-    named = distinct.join(found, distinct["fp"] == found["node"], "left").select(
-        "fp", "first", F.coalesce("component", "fp").alias("root"))
+    named = _named(rows, distance)
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     names = named.join(least, "root").select("fp", "component_id")
     return rows.join(names, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _named(rows: DataFrame, distance: int) -> DataFrame:
+    """fp, first (smallest doc_id) and root (its component's smallest fingerprint) of every distinct fingerprint."""
+    distinct = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
+    found = components(links(distinct, distance))
+    return distinct.join(found, distinct["fp"] == found["node"], "left").select(
+        "fp", "first", F.coalesce("component", "fp").alias("root"))
+
+
+def firsts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, distance: int = 2) -> DataFrame:
+    """doc_id and ``row`` (hash of the text, null as empty) of the one document that stands for each component:
+    its smallest doc_id, and of rows that share this id the smallest hash. Unrelated texts under one doc_id lie in
+    components of their own and are both named. Rows without a doc_id link others but stand for none."""
+    rows = written(fingerprints(docs, doc_id, text, shingle), "fingerprints")
+    named = _named(rows, distance).select("fp", "root")
+    own = rows.where("doc_id is not null").groupBy("fp").agg(F.min(F.struct("doc_id", "row")).alias("one"))
+    return own.join(named, "fp").groupBy("root").agg(F.min("one").alias("one")).select("one.*")

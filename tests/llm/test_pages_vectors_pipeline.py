@@ -111,8 +111,9 @@ def test_pipeline_stages(spark):
     rows += [(100, prose(3), "en", "s", 1), (101, prose(50) + f'\ntoken = "{key}"', "en", "s", 1), (102, None, "en", "s", None),
              (103, "too short", "en", "s", 9), (104, prose(60) + "\na line that two documents hold", "en", "s", 1),
              (105, prose(61) + "\nA line that two documents hold ", "en", "s", 1), (None, prose(70), "en", "s", 1),
-             (100, prose(3), "en", "s", 1)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+             (100, prose(3), "en", "s", 1), (7, prose(80), "en", "other", 1)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame(rows, schema)
     columns = docs.columns
     texts = {}
     for name, stage in corpus_pipeline.STAGES:
@@ -124,6 +125,9 @@ def test_pipeline_stages(spark):
     assert texts["line_dedup"][105] == prose(61) and texts["line_dedup"][104].endswith("two documents hold")
     assert texts["line_dedup"][100] == ""  # its only line stands in document 3
     assert set(texts["near_duplicates"]) == {*range(40), 100, 101, 104, 105, None}
+    near = [r.text for r in corpus_pipeline.near_duplicate_stage(spark, spark.createDataFrame(
+        [r for r in rows if r[1]], schema), "").where("doc_id = 7").collect()]
+    assert sorted(near) == sorted([prose(7), prose(80)])  # one doc_id, two unrelated texts
     assert key not in texts["secrets"][101] and "[SECRET]" in texts["secrets"][101]
     assert {i: t for i, t in texts["secrets"].items() if i != 101} == {i: t for i, t in texts["near_duplicates"].items() if i != 101}
     assert {r.doc_id for r in docs.collect()} == set(texts["secrets"])
