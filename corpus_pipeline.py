@@ -6,7 +6,7 @@ the pieces of the packed sequences. ``run`` writes each stage's result to the
 shared folder and reads it back.
 
 Rows without a doc_id cannot be told to be copies and stay in the near-duplicate
-stage. Null texts fail the quality rules. Empty tables give empty results.
+stage; rows that share a doc_id but have unrelated texts stay too. Null texts fail the quality rules. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from salesmatch.llm import bestfit, linededup, quality, secretscan, simhash
-from salesmatch.llm.common import written
+from salesmatch.llm.common import text_or_empty, written
 
 #: Tokens of a packed sequence and the id that ends a document.
 SEQUENCE, END = 2048, 0
@@ -31,9 +31,10 @@ def _with_text(rows: DataFrame, columns: list[str], text: str) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go."""
-    renamed = docs.select(F.struct(*docs.columns).alias("doc"), "lang", "text")
-    return quality.judge(renamed, ["doc"]).where("kept").select("doc.*")
+    """Rejected documents go. The text is sent to Python once, beside the other columns."""
+    others = F.struct(*[c for c in docs.columns if c != "text"])
+    judged = quality.judge(docs.select(others.alias("doc"), "lang", "text"), ["doc"], carry=True).where("kept")
+    return judged.select(*[F.col("text") if c == "text" else F.col(f"doc.`{c}`").alias(c) for c in docs.columns])
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,10 +44,11 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each group stays, once."""
-    groups = simhash.near_duplicates(docs, shingle=3, distance=2)
-    firsts = groups.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.where("doc_id is not null").join(firsts, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.union(docs.where("doc_id is null"))
+    firsts = simhash.firsts(docs, shingle=3, distance=2).select(F.col("doc_id").alias("id"), F.col("row").alias("row"))
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), F.col("doc_id").cast("long").alias("id"),
+                       F.xxhash64(text_or_empty()).alias("row"))
+    kept = rows.join(firsts, ["id", "row"], "left_semi").dropDuplicates(["id", "row"])
+    return kept.select("doc.*").union(docs.where("doc_id is null"))
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
