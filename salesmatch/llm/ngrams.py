@@ -27,7 +27,9 @@ from salesmatch.llm.wordblocks import _distinct
 ORDER = 5
 #: Characters counted at once by a task; longer texts are taken in overlapping windows. Scoring holds the
 #: model beside them and takes fewer at once.
-WINDOW, SCORE_WINDOW = 2 << 20, 1 << 18
+WINDOW, SCORE_WINDOW = 1 << 20, 1 << 18
+#: Distinct n-grams sent at once.
+SENT = 1 << 17
 #: Largest model, as hash and value arrays (16 bytes an entry), that is broadcast.
 BROADCAST_BYTES = 128 << 20
 #: Most languages whose discounts or bands are broadcast; more are joined by a shuffle.
@@ -114,10 +116,13 @@ def count_grams(docs: DataFrame, lang: str, text: str) -> DataFrame:
             rows = zip(range(b.num_rows), b.column(0).to_pylist(), b.column(1).to_pylist())
             for group in pieces(rows):
                 points, langs, of, at, _, index, _ = distinct_grams(group)
-                grams = points[at[:, None] + np.arange(ORDER)].view(f"<U{ORDER}").ravel()
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.array(langs, object)[of], pa.string()), pa.array(grams.tolist(), pa.string()),
-                     pa.array(np.bincount(index, minlength=len(at)))], ["lang", "gram", "n"])
+                n, names = np.bincount(index, minlength=len(at)), np.array(langs, object)
+                del index
+                for k in range(0, len(at), SENT):
+                    grams = points[at[k:k + SENT, None] + np.arange(ORDER)].view(f"<U{ORDER}").ravel()
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(names[of[k:k + SENT]], pa.string()), pa.array(grams.tolist(), pa.string()),
+                         pa.array(n[k:k + SENT])], ["lang", "gram", "n"])
 
     rows = docs.select(F.coalesce(F.col(lang), F.lit("")).alias("lang"), text_or_empty(text).alias("text"))
     return rows.mapInArrow(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("c"))
