@@ -48,3 +48,18 @@ def ascii_lower(c: Column) -> Column:
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(
         F.translate(c, upper, upper.lower()))
+
+
+def join_hot_keys(rows: DataFrame, table: DataFrame, key: str, count: str = "_n", hot: int = 200) -> DataFrame:
+    """``rows`` with the columns of ``table``, which has one row for each ``key`` (null included) and in ``count``
+    the number of its rows. Keys with more than one in ``hot`` of all rows are fewer than ``hot``: they are
+    broadcast, so no task gets their rows; the others meet by a shuffle."""
+    table = written(table.withColumnRenamed(key, "_key"), "keys")
+    total = table.agg(F.sum(count)).first()[0] or 0
+    many = F.col(count) * hot > total
+    on = F.col(key).eqNullSafe(F.col("_key"))
+    often, seldom = table.where(many).drop(count), table.where(~many).drop(count)
+    if not seldom.limit(1).count():
+        return rows.join(F.broadcast(often), on).drop("_key")
+    return rows.join(F.broadcast(often), on).drop("_key").union(
+        rows.join(F.broadcast(often.select("_key")), on, "left_anti").join(seldom, on).drop("_key"))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from salesmatch.llm import bestfit, bpe, htmltext, licenses, linededup, pivots, quality, secretscan, simhash, tokenfiles
+from salesmatch.llm import (bestfit, bpe, htmltext, licenses, linededup, pivots, quality, resampling, secretscan, simhash,
+                            tokenfiles, vectorcodes, warc)
 from salesmatch.llm.registry import ORACLE, QUERIES, query, table  # noqa: F401
 
 #: Tokens of a packed sequence.
@@ -62,3 +63,18 @@ def op7(spark, sf_dir):
 @query("op4_secrets")
 def op4(spark, sf_dir):
     return secretscan.secret_rows(table(spark, sf_dir, "documents"))
+
+
+@query("op11_vector_codes", vectorcodes.sql())
+def op11(spark, sf_dir):
+    return vectorcodes.compress(table(spark, sf_dir, "embeddings"))
+
+
+@query("op12_warc", warc.SQL)
+def op12(spark, sf_dir):
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+@query("op13_resample", resampling.SQL)
+def op13(spark, sf_dir):
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
