@@ -55,6 +55,45 @@ def test_range_join_matches_nested_loop(spark, force):
     assert rows(fast, "k", "v") == rows(slow, "k", "v")
 
 
+@pytest.mark.parametrize("buckets,rows_per_task", [(1, 20), (16, 7), (64, 200_000)])
+def test_range_summary_matches_nested_loop(spark, buckets, rows_per_task):
+    left, right = _random_tables(spark, n_left=40)
+    left = left.unionByName(left.where("k < 15").withColumn("k", F.col("k") + 1000))
+    right = right.union(spark.createDataFrame([(900, None), (901, float("nan")), (902, 1e9)], right.schema))
+    want = joins.naive_range_join(left, right.where("not isnan(price)"), "lo", "hi", "price").groupBy("k").agg(
+        F.count("*").alias("n"), F.min("price").alias("least"), F.max("price").alias("most"), F.sum("v").alias("sum_v"))
+    for force in ("broadcast", "shuffle"):
+        got = joins.range_summary(left, right, "lo", "hi", "price", "k", ["v"], target_buckets=buckets,
+                                  rows_per_task=rows_per_task, force=force)
+        assert rows(got, "k", "n", "least", "most", "sum_v") == rows(want, "k", "n", "least", "most", "sum_v")
+    assert joins.range_summary(left, right.limit(0), "lo", "hi", "price", "k", ["v"]).count() == 0
+
+
+def test_an_outlier_does_not_widen_the_buckets(spark):
+    rnd = random.Random(3)
+    left = spark.createDataFrame([(i, 10 * i, 10 * i + 25) for i in range(100)], "k long, lo long, hi long")
+    prices = [(j, rnd.uniform(0, 1000)) for j in range(5000)]
+    right = spark.createDataFrame(prices, "v long, price double")
+    far = right.union(spark.createDataFrame([(9999, 1e9)], right.schema))
+    for edges in (False, True):
+        before = joins.tested_pairs(left, right, "lo", "hi", "price", 256, edges)
+        after = joins.tested_pairs(left, far, "lo", "hi", "price", 256, edges)
+        assert abs(after - before) < 0.01 * before
+    pairs = joins.range_join(left, far, "lo", "hi", "price").count()
+    assert pairs == joins.naive_range_join(left, far, "lo", "hi", "price").count()
+    assert before < 1.5 * pairs  # of 500,000 possible ones
+
+
+def test_hot_buckets_are_split_on_both_sides(spark):
+    left = spark.range(400).select(F.col("id").alias("k"), F.lit(5).alias("lo"), F.lit(5).alias("hi"))
+    right = spark.range(300).select(F.col("id").alias("v"), F.lit(5.0).alias("price"))
+    index = joins.range_index(right, "price", 8)
+    ls, rs, cell = joins._in_cells(joins._pieces(left, index, "lo", "hi"), right.withColumn("_b", index.bucket(F.col("price"))), 100)
+    assert rs.groupBy(*cell).count().agg(F.max("count")).first()[0] < 200
+    assert ls.groupBy(*cell).count().agg(F.max("count")).first()[0] < 200
+    assert ls.join(rs, cell).select("k", "v").distinct().count() == ls.join(rs, cell).count() == 120_000
+
+
 def test_range_join_empty_right(spark):
     left, right = _random_tables(spark)
     assert joins.range_join(left, right.limit(0), "lo", "hi", "price").count() == 0
