@@ -21,15 +21,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from salesmatch.llm.common import text_or_empty, written
+from salesmatch.llm.common import arrow_batches, text_or_empty, written
 from salesmatch.llm.wordblocks import _distinct
 
 ORDER = 5
 #: Characters counted at once by a task; longer texts are taken in overlapping windows. Scoring holds the
 #: model beside them and takes fewer at once.
 WINDOW, SCORE_WINDOW = 1 << 20, 1 << 18
-#: Distinct n-grams sent at once.
-SENT = 1 << 17
+#: Distinct n-grams sent at once; rows and bytes of texts that go to Python at once.
+SENT, BATCH = 1 << 17, (1000, 4 << 20)
 #: Largest model, as hash and value arrays (16 bytes an entry), that is broadcast.
 BROADCAST_BYTES = 128 << 20
 #: Most languages whose discounts or bands are broadcast; more are joined by a shuffle.
@@ -138,7 +138,8 @@ class Model:
 
 def fit(docs: DataFrame, lang: str = "lang", text: str = "text") -> Model:
     """Count all documents and estimate the model. A null language is one of its own; null texts count as empty."""
-    grams = {ORDER: written(count_grams(docs, lang, text), "grams")}
+    with arrow_batches(docs.sparkSession, *BATCH):
+        grams = {ORDER: written(count_grams(docs, lang, text), "grams")}
     for k in range(ORDER - 1, 0, -1):
         grams[k] = written(grams[k + 1].groupBy("lang", F.substring("gram", 2, k).alias("gram")).agg(
             F.count("*").alias("c")), "grams")

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from salesmatch.llm import ngrams
-from salesmatch.llm.common import ASCII_WS, text_or_empty, written
+from salesmatch.llm.common import ASCII_WS, arrow_batches, text_or_empty, written
 
 #: Quartile distances from the quartiles to the lower and upper end of a language's band, and the least
 #: distance taken. Rule for both ends: the labelled clean document furthest out on that side (3.81 down and
@@ -122,7 +122,8 @@ def judge(docs: DataFrame, key: list[str], lang: str = "lang", text: str = "text
             F.col("lang").alias("model_lang"), F.col("row").alias("text_hash"), "n_grams", "logp")
         rows = features(docs, key, lang, text, None, carry).drop("n_grams", "logp").join(scored, ["model_lang", "text_hash"])
     # Both forms of the model sum the same doubles in another order; rounding makes their scores equal.
-    rows = written(rows.withColumn("score", F.round(F.try_divide(-F.col("logp"), F.col("n_letter_words")), 9)), "quality")
+    with arrow_batches(docs.sparkSession, *ngrams.BATCH):
+        rows = written(rows.withColumn("score", F.round(F.try_divide(-F.col("logp"), F.col("n_letter_words")), 9)), "quality")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
     band = written(bands(rows.where(~failed)), "bands")
     small = band.limit(ngrams.BROADCAST_LANGUAGES + 1).count() <= ngrams.BROADCAST_LANGUAGES
