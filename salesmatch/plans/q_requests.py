@@ -285,44 +285,35 @@ def insight_rows(spark, sf_dir):
     return parsed.select("session_id", "turn", *requests.insight_display("insight"))
 
 
-# Own tags and wording; the word and the web tag are fixed values of the output's producer.
+# Own tags and wording: the rules are a parameter of the fold.
 OUTPUT_RULES = [
-    requests.OutputRule("prefix", "<name>knowledge-bot</name>", "Searching the knowledge base..."),
-    requests.OutputRule("prefix", "<name>data-assistant</name>", "Searching internal data..."),
-    requests.OutputRule("anywhere", "Genie", "Searching internal data..."),
-    requests.OutputRule("anywhere_any_case", "<name>tavily", "Searching the web..."),
-    requests.OutputRule("prefix", "<name>", "Asking an agent..."),
+    requests.OutputRule("prefix", "<name>manuals</name>", "Reading the manuals..."),
+    requests.OutputRule("anywhere", "SalesBook", "Reading the sales records..."),
+    requests.OutputRule("anywhere_any_case", "<name>websearch", "Searching the web..."),
+    requests.OutputRule("prefix", "<name>", "Asking another agent..."),
 ]
 
 
-@query("agent_fold", B.with_ctes("chat_turns") + """,
-items AS (SELECT session_id, turn AS pos,
-                 CASE WHEN role = 'system' THEN 'function_call' ELSE 'message' END AS type,
-                 role, content AS text,
-                 CASE WHEN role = 'assistant' THEN content END AS alt
-          FROM chat_turns),
-k AS (SELECT *,
-  CASE WHEN type = 'function_call' THEN 'progress'
-       WHEN NOT (type = 'message' AND role = 'assistant') OR coalesce(length(text), 0) = 0 THEN 'skip'
-       WHEN starts_with(text, '<name>knowledge-bot</name>') THEN 'progress'
-       WHEN starts_with(text, '<name>data-assistant</name>') OR contains(text, 'Genie') THEN 'progress'
-       WHEN contains(lower(text), '<name>tavily') THEN 'progress'
-       WHEN starts_with(text, '<name>') THEN 'progress'
-       WHEN NOT (starts_with(text, '<name>') OR (length(text) < 80
-                 AND starts_with(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '<'))) THEN 'answer'
-       ELSE 'skip' END AS kind,
-  CASE WHEN type = 'function_call' THEN 'Calling a tool...'
-       WHEN NOT (type = 'message' AND role = 'assistant') OR coalesce(length(text), 0) = 0 THEN NULL
-       WHEN starts_with(text, '<name>knowledge-bot</name>') THEN 'Searching the knowledge base...'
-       WHEN starts_with(text, '<name>data-assistant</name>') OR contains(text, 'Genie')
-            THEN 'Searching internal data...'
-       WHEN contains(lower(text), '<name>tavily') THEN 'Searching the web...'
-       WHEN starts_with(text, '<name>') THEN 'Asking an agent...' END AS msg
-  FROM items)
-SELECT session_id, count(*) FILTER (WHERE kind = 'progress') AS n_progress,
-       arg_max(msg, pos) FILTER (WHERE kind = 'progress') AS last_progress,
-       coalesce(nullif(arg_max(text, pos) FILTER (WHERE kind = 'answer'), ''),
-                arg_min(alt, pos) FILTER (WHERE alt IS NOT NULL), '') AS final_answer
+def _rule_sql(rule: requests.OutputRule, text: str) -> str:
+    return {"prefix": f"starts_with({text}, '{rule.pattern}')", "anywhere": f"contains({text}, '{rule.pattern}')",
+            "anywhere_any_case": f"contains(lower({text}), '{rule.pattern.lower()}')"}[rule.how]
+
+
+def _kind_sql(rules: list[requests.OutputRule]) -> str:
+    """CASE of each item's message, '' for an answer and NULL for what is skipped, from the rule table."""
+    tests = " ".join(f"WHEN {_rule_sql(r, 'text')} THEN '{r.message}'" for r in rules)
+    return (f"CASE WHEN type = 'function_call' THEN '{requests.TOOL_MESSAGE}' WHEN type <> 'message' OR role <> 'assistant' "
+            f"OR coalesce(text, '') = '' THEN NULL {tests} WHEN length(text) < {requests.ROUTING_MAX_LEN} "
+            "AND regexp_matches(text, '^\\s*<') THEN NULL ELSE '' END")
+
+
+@query("agent_fold", B.with_ctes("chat_turns") + f""",
+items AS (SELECT session_id, turn AS pos, CASE WHEN role = 'system' THEN 'function_call' ELSE 'message' END AS type,
+                 role, content AS text, CASE WHEN role = 'assistant' THEN content END AS alt FROM chat_turns),
+k AS (SELECT *, {_kind_sql(OUTPUT_RULES)} AS msg FROM items)
+SELECT session_id, count(*) FILTER (WHERE msg <> '') AS n_progress,
+       arg_max(msg, pos) FILTER (WHERE msg <> '') AS last_progress,
+       coalesce(arg_max(text, pos) FILTER (WHERE msg = ''), arg_min(alt, pos) FILTER (WHERE alt IS NOT NULL), '') AS final_answer
 FROM k GROUP BY session_id
 """)
 def agent_fold(spark, sf_dir):
@@ -335,3 +326,49 @@ def agent_fold(spark, sf_dir):
                      .alias("type"), "role", F.col("content").alias("text"),
                      F.when(F.col("role") == "assistant", F.col("content")).alias("alt"))
     return requests.agent_fold(items, OUTPUT_RULES, "session_id", "pos", alt="alt")
+
+
+@query("agent_responses", """
+WITH items AS (SELECT l_orderkey AS response_id, l_linenumber AS n, l_partkey AS p, CASE l_partkey % 10
+  WHEN 0 THEN 'Calling a tool...' WHEN 2 THEN 'Reading the manuals...' WHEN 4 THEN 'Reading the sales records...'
+  WHEN 5 THEN 'Searching the web...' WHEN 6 THEN 'Asking another agent...' END AS message,
+  CASE l_partkey % 10 WHEN 3 THEN 'Take part ' || l_partkey || '.' WHEN 8 THEN '<b>' || repeat('long ', 20) || '</b>' END AS answer
+  FROM lineitem),
+f AS (SELECT response_id, count(message) AS n_progress,
+  string_agg(message, ' / ' ORDER BY n, p) FILTER (WHERE message IS NOT NULL) AS progress,
+  arg_max(message, (n, p)) FILTER (WHERE message IS NOT NULL) AS last_progress,
+  arg_max(answer, (n, p)) FILTER (WHERE answer IS NOT NULL) AS answer FROM items GROUP BY response_id)
+SELECT response_id, response_id % 11 <> 0 AS ok,
+  CAST(CASE WHEN response_id % 11 = 0 THEN 0 ELSE n_progress END AS INTEGER) AS n_progress,
+  CASE WHEN response_id % 11 = 0 THEN '' ELSE coalesce(progress, '') END AS progress,
+  CASE WHEN response_id % 11 <> 0 THEN last_progress END AS last_progress,
+  CASE WHEN response_id % 11 = 0 THEN '' ELSE coalesce(answer, CASE WHEN response_id % 3 = 0 THEN 'Other path.' END, '') END AS final_answer
+FROM f
+""")
+def agent_responses(spark, sf_dir):
+    """One response for each order, its lines as output items with no, one or three contents; every third
+    has the alternative path and every eleventh is cut off. Every rule, noise, tool calls and other roles occur."""
+    li = B.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("response_id"), "l_linenumber", F.col("l_partkey").alias("p"))
+
+    def item(role, *contents, kind="message"):
+        return F.struct(F.lit(kind).alias("type"), F.lit(role).alias("role"), F.array(*[
+            F.struct(F.lit(t).alias("type"), x.alias("text")) for t, x in contents]).cast(schemas.CONTENT).alias("content"))
+
+    def says(x, role="assistant"):
+        return item(role, ("output_text", x if not isinstance(x, str) else F.lit(x)))
+
+    forms = [item(None, kind="function_call"), item("assistant"), says("<name>manuals</name>"),
+             item("assistant", ("reasoning", F.lit("Hidden.")), ("output_text", F.lit("")),
+                  ("output_text", F.concat(F.lit("Take part "), F.col("p").cast("string"), F.lit(".")))),
+             says("Opening SalesBook now"), says("see <NAME>WebSearch</NAME>"), says("<name>other</name>"),
+             says("  <think>"), says("<b>" + "long " * 20 + "</b>"), says("What about it?", "user")]
+    case = F.when(F.lit(False), forms[0])
+    for n, form in enumerate(forms):
+        case = case.when(F.col("p") % 10 == n, form)
+    entry = F.struct("l_linenumber", "p", case.alias("item"))
+    lists = li.groupBy("response_id").agg(F.array_sort(F.collect_list(entry)).alias("i"))  # the lines of one order
+    other = F.when(F.col("response_id") % 3 == 0, F.array(F.struct(F.struct(F.lit("Other path.").alias("content")).alias("message"))))
+    text = F.to_json(F.struct(F.col("i.item").alias("output"), other.alias("choices")))
+    cut = F.when(F.col("response_id") % 11 == 0, F.substring(text, F.lit(1), F.lit(9))).otherwise(text)
+    out = requests.fold_responses(lists.select("response_id", cut.alias("response")), "response", OUTPUT_RULES)
+    return out.withColumn("progress", F.array_join("progress", " / "))

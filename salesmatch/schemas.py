@@ -103,7 +103,9 @@ CHAT_TURNS = T.StructType([
     _f("session_id", S, False), _f("turn", L, False), _f("role", S), _f("content", S),
 ])
 
-AGENT_OUTPUT = _arr(T.StructType([
-    _f("type", S), _f("role", S),
-    _f("content", _arr(T.StructType([_f("type", S), _f("text", S)]))),
-]))
+CONTENT = _arr(T.StructType([_f("type", S), _f("text", S)]))
+AGENT_OUTPUT = _arr(T.StructType([_f("type", S), _f("role", S), _f("content", CONTENT)]))
+AGENT_RESPONSE = T.StructType([
+    _f("output", AGENT_OUTPUT),
+    _f("choices", _arr(T.StructType([_f("message", T.StructType([_f("content", S)]))]))),
+])
