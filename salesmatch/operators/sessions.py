@@ -41,3 +41,9 @@ def with_context(turns: DataFrame, contexts: DataFrame, content: Column | str =
         F.lit("system").alias("role"),
         (F.col(content) if isinstance(content, str) else content).alias("content"))
     return ctx.unionByName(turns.select("session_id", "turn", "role", "content"))
+
+
+def default_contexts(turns: DataFrame, contexts: DataFrame, default: str) -> DataFrame:
+    """``contexts`` (session_id, context) and ``default`` for every other session that has turns."""
+    others = turns.select("session_id").distinct().join(contexts.select("session_id"), "session_id", "left_anti")
+    return contexts.select("session_id", "context").unionByName(others.withColumn("context", F.lit(default)))

@@ -19,6 +19,8 @@ from salesmatch.sources import io
 REPLY_FORMAT = ('Reply with JSON only: {"recommendations": [{"vehicle_id": <id>, '
                 '"match_score": <0-100>, "reason": "<text>"}]}')
 
+DEFAULT_CONTEXT = "You help the sales staff with questions about customers and vehicles."
+
 
 def _context_df(spark, sf_dir):
     cust = B.customers(spark, sf_dir)
@@ -59,16 +61,36 @@ ctx AS (SELECT c.customer_id AS session_id,
    FROM customers c LEFT JOIN latest l USING (customer_id) LEFT JOIN candidate_text t USING (customer_id))
 SELECT session_id, CAST(-1 AS BIGINT) AS turn, 'system' AS role, content FROM ctx
 UNION ALL
+SELECT DISTINCT session_id, CAST(-1 AS BIGINT), 'system', '{DEFAULT_CONTEXT}' FROM chat_turns
+WHERE session_id NOT IN (SELECT customer_id FROM customers)
+UNION ALL
 SELECT session_id, turn, role, content FROM chat_turns
-WHERE session_id IN (SELECT customer_id FROM customers)
 """)
 def request_table(spark, sf_dir):
     """One request per customer: a system context row (profile, budget,
     latest interaction, candidate block, reply format) followed by the
-    customer's conversation turns."""
-    ctx = _context_df(spark, sf_dir)
-    turns = B.chat_turns(spark, sf_dir).join(ctx.select("session_id"), "session_id", "left_semi")
-    return sessions.with_context(turns, ctx, "context")
+    customer's conversation turns. Sessions without a customer keep their turns behind a default context."""
+    turns = B.chat_turns(spark, sf_dir)
+    return sessions.with_context(turns, sessions.default_contexts(turns, _context_df(spark, sf_dir), DEFAULT_CONTEXT), "context")
+
+
+@query("session_requests", B.with_ctes("customers", "chat_turns") + f""",
+s AS (SELECT DISTINCT session_id, session_id * 31 AS customer_id FROM chat_turns)
+SELECT s.session_id, CAST(-1 AS BIGINT) AS turn, 'system' AS role,
+       '{DEFAULT_CONTEXT}' || coalesce(chr(10) || 'Customer in view: ' || c.customer_id || ' (' || c.name || ')', '') AS content
+FROM s LEFT JOIN customers c USING (customer_id)
+UNION ALL SELECT session_id, turn, role, content FROM chat_turns WHERE role <> 'system'
+""")
+def session_requests(spark, sf_dir):
+    """Every session's request: the assistant's context, the customer in view if the session has one (here
+    the customer of 31 times its number, which many sessions lack), and the visible turns."""
+    turns = B.chat_turns(spark, sf_dir).where("role <> 'system'")
+    every = B.chat_turns(spark, sf_dir).select("session_id").distinct()
+    seen = every.withColumn("customer_id", F.col("session_id") * 31).join(
+        B.customers(spark, sf_dir).select("customer_id", "name"), "customer_id", "left")
+    line = F.concat(F.lit("\nCustomer in view: "), F.col("customer_id").cast("string"), F.lit(" ("), F.col("name"), F.lit(")"))
+    return sessions.with_context(turns, seen.select("session_id", F.concat(
+        F.lit(DEFAULT_CONTEXT), F.coalesce(line, F.lit(""))).alias("context")), "context")
 
 
 SCORED_AT = "2026-01-01 00:00:00"
