@@ -110,3 +110,42 @@ def with_parsed(df: DataFrame, text: str, schema, variant: str, ok_col: str = "o
     staged = staged.withColumn(pair, _pair(F.col(cut), schema))
     staged = staged.withColumn(ok_col, _one_object(F.col(cut), F.col(pair)))
     return staged.withColumn(out_col, F.when(F.col(ok_col), _first(F.col(pair), schema))).drop(cut, pair)
+
+
+#: Why a reply was rejected, in the order of the tests.
+REASONS = ("empty", "not_object", "not_strict", "broken")
+
+
+def with_outcome(df: DataFrame, text: str, schema, variant: str, out_col: str = "parsed") -> DataFrame:
+    """Adds ``out_col`` and ``reason``: null for a good reply, else the first that applies of ``empty`` (the cut finds
+    nothing), ``not_object`` (it does not begin an object), ``not_strict`` (a lenient reader takes its first value, but
+    text or a second value follows or the notation is no JSON), ``broken`` (no reader takes it)."""
+    cut, pair, schema = f"_{out_col}_cut", f"_{out_col}_pair", _struct(schema)
+    staged = df.withColumn(cut, F.coalesce(strip_ws(CUTS[variant](F.col(text))), F.lit("")))
+    staged = staged.withColumn(pair, _pair(F.col(cut), schema))
+    ok = _one_object(F.col(cut), F.col(pair))
+    reason = (F.when(ok, F.lit(None).cast("string")).when(F.col(cut) == "", "empty")
+              .when(~F.col(cut).startswith("{"), "not_object")
+              .when(F.get_json_object(cut, "$").isNotNull(), "not_strict").otherwise("broken"))
+    staged = staged.withColumn("reason", reason)
+    return staged.withColumn(out_col, F.when(F.col("reason").isNull(), _first(F.col(pair), schema))).drop(cut, pair)
+
+
+def route(df: DataFrame, text: str, schema, variant: str, path: str, out_col: str = "parsed") -> tuple[DataFrame, DataFrame]:
+    """Parse every reply once into the new folder ``path`` and return (good, rejects), read from its two parts.
+
+    Good rows have ``out_col`` and lose ``text``; rejects keep ``text`` and have their ``reason``. The replies are
+    evaluated by the one writing job: an expensive or unrepeatable source is not asked again for the rejects."""
+    done = with_outcome(df, text, schema, variant, out_col)
+    done = done.withColumn("outcome", F.when(F.col("reason").isNull(), "good").otherwise("reject"))
+    done = done.withColumn(text, F.when(F.col("reason").isNotNull(), F.col(text)))
+    done.write.partitionBy("outcome").parquet(path)
+    kind = T.StructType([*(f for f in done.schema.fields if f.name != "outcome"), T.StructField("outcome", T.StringType())])
+    back = df.sparkSession.read.schema(kind).parquet(path)
+    return (back.where("outcome = 'good'").drop("outcome", "reason", text),
+            back.where("outcome = 'reject'").drop("outcome", out_col))
+
+
+def record(value: dict, schema: T.StructType) -> Column:
+    """A constant struct of ``schema`` (texts and lists of texts)."""
+    return F.struct(*[F.lit(value.get(f.name)).cast(f.dataType).alias(f.name) for f in schema.fields])

@@ -32,4 +32,4 @@ def query(name: str, sql: str | None = None):
 def load_all() -> None:
     """Import the modules that register queries."""
     from salesmatch.plans import (  # noqa: F401
-        q_matching, q_tables, q_metrics, q_text, q_requests, q_quality, q_streaming, q_stored, q_needs, q_templates)
+        q_matching, q_tables, q_metrics, q_text, q_requests, q_quality, q_streaming, q_stored, q_needs, q_templates, q_replies, q_rules)

@@ -7,6 +7,7 @@ else: whether a cut is one JSON object is asked of ``json.loads`` itself.
 import json
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from salesmatch.functions import jsonparse
@@ -71,3 +72,31 @@ def test_one_object_as_json_loads_says(spark, variant, column, parser):
                 assert (row.parsed.a, row.parsed.b) == (expect.get("a"), expect.get("b")), case[0]
             else:
                 assert row.parsed is None, case[0]
+
+
+@pytest.mark.parametrize("text,brace,fenced", [
+    ('{"a": 1}', None, None), ("", "empty", "empty"), (None, "empty", "empty"), ("no object", "empty", "not_object"),
+    ('{"a": 1} {"a": 2}', "not_strict", "not_strict"), ('so {"a": 1} there', None, "not_object"), ('{"a": 1', "empty", "broken"),
+    ('{"a": }', "broken", "broken"), ("{'a': 1}", "not_strict", "not_strict"), ('[{"a": 1}]', None, "not_object"),
+    ('```json\n{"a": 1}\n```', None, None), ('```json\n{"a": 1}\nx\n```', None, "not_strict")])
+def test_reasons_of_rejects(spark, text, brace, fenced):
+    df = spark.createDataFrame([(text,)], "t string")
+    for variant, want in (("brace", brace), ("fenced", fenced)):
+        r = jsonparse.with_outcome(df, "t", "a int", variant).first()
+        assert r.reason == want and (r.parsed is None) == (want is not None), variant
+
+
+def test_replies_are_routed_by_one_job(spark, tmp_path):
+    """The source is unrepeatable: only one evaluation can give parts that add up."""
+    df = spark.range(400).select("id", F.when(F.rand() < 0.5, '{"a": 1}').otherwise("nothing").alias("t"))
+    good, bad = jsonparse.route(df, "t", "a int", "brace", str(tmp_path / "r"))
+    ids = [r.id for r in good.collect()] + [r.id for r in bad.collect()]
+    assert sorted(ids) == list(range(400)) and good.count() + bad.count() == 400
+    assert good.columns == ["id", "parsed"] and bad.columns == ["id", "t", "reason"]
+
+
+def test_constant_record(spark):
+    from salesmatch import schemas
+    from salesmatch.plans.q_replies import DEFAULT_INSIGHT
+    r = spark.range(1).select(jsonparse.record(DEFAULT_INSIGHT, schemas.INSIGHT).alias("r")).first().r
+    assert r.asDict() == DEFAULT_INSIGHT
