@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fixed values from the reference: the ellipsis and the empty-value mark, the
 # chunk size of streamed answers, the yen unit switch of price labels.
@@ -60,9 +61,11 @@ def price_label(col, unit: int = PRICE_UNIT, unit_name: str = "万円", base_nam
     return F.when(num.isNull(), raw).when(num >= unit, big).otherwise(small)
 
 
-def list_text(col, sep: str = ", ") -> Column:
-    """array -> 'a, b'; '-' when null or empty."""
-    return F.coalesce(F.nullif(F.array_join(_c(col), sep), F.lit("")), F.lit(EMPTY_MARK))
+def list_text(col, sep: str = ", ", kind: T.DataType | None = None) -> Column:
+    """array -> 'a, b'; '-' when null or empty. With the column's ``kind``, scalars pass through as text."""
+    c = _c(col)
+    text = F.array_join(c, sep) if kind is None or isinstance(kind, T.ArrayType) else c.cast("string")
+    return F.coalesce(F.nullif(text, F.lit("")), F.lit(EMPTY_MARK))
 
 
 def head(col, n: int) -> Column:
@@ -86,6 +89,11 @@ def trunc_long(col) -> Column:
     return _c(col).cast("bigint")
 
 
+def round_even(col, digits: int) -> Column:
+    """Rounding of halves to the even digit (Spark's ``round`` goes away from zero)."""
+    return F.bround(_c(col), digits)
+
+
 def chunks(col, size: int = CHUNK_CHARS) -> Column:
     """fixed-size character chunks of the whole text; '' -> []."""
     c = _c(col)
@@ -121,9 +129,9 @@ def strip_ws(col) -> Column:
 
 # --- F12: time helpers -------------------------------------------------------
 
-def minutes_ago(n: int) -> Column:
-    """now - n minutes (session time zone)."""
-    return F.current_timestamp() - F.expr(f"INTERVAL {int(n)} MINUTES")
+def minutes_ago(n: int, now: Column | None = None) -> Column:
+    """now - n minutes (session time zone); ``now`` pins the moment."""
+    return (F.current_timestamp() if now is None else now) - F.expr(f"INTERVAL {int(n)} MINUTES")
 
 
 def epoch_ms(col) -> Column:

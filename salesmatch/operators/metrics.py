@@ -82,10 +82,11 @@ def series_from_counts(counts: DataFrame, keys: list[str]) -> DataFrame:
     """The series of ``minute_series`` from ``value_counts``. Exact percentiles
     come from cumulative counts: a sorted, spilling window over the distinct
     values of a group, and no map of values in memory."""
-    group = Window.partitionBy(*keys)
+    # Both sums have one order, so they share one sort and one window; a group's values are distinct.
+    group = Window.partitionBy(*keys).orderBy("_v")
     valued = F.when(F.col("_v").isNotNull(), F.col("_n")).otherwise(F.lit(0))
-    run = counts.withColumn("_cum", F.sum(valued).over(group.orderBy("_v"))).withColumn(
-        "_total", F.sum(valued).over(group))
+    run = counts.select("*", F.sum(valued).over(group.rowsBetween(Window.unboundedPreceding, 0)).alias("_cum"),
+                        F.sum(valued).over(group.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_total"))
     ranks = []
     for i, p in enumerate(PERCENTILES):
         at = (F.col("_total") - 1) * F.lit(p)
@@ -117,11 +118,14 @@ def minute_series(traces: DataFrame, keys: list[str] | None = None, ts: str = "t
 
 
 def newest_minutes(traces: DataFrame, n: int = RECENT_POINTS, ts: str = "ts") -> DataFrame:
-    """The rows of the ``n`` newest minutes that have rows."""
+    """The rows of the ``n`` newest minutes that have rows. Their first minute is fetched (one value) and stands in
+    the filter as a literal, so that files and row groups before it are not read."""
     minute = F.date_trunc("minute", F.col(ts))
     last = traces.where(F.col(ts).isNotNull()).select(minute.alias("_m")).distinct().orderBy(F.desc("_m")).limit(n)
-    first = last.agg(F.min("_m").alias("_from"))  # one row
-    return traces.join(F.broadcast(first), F.col(ts) >= F.col("_from")).drop("_from")
+    first = last.agg(F.date_format(F.min("_m"), "yyyy-MM-dd HH:mm:ss")).first()[0]
+    if first is None:
+        return traces.limit(0)
+    return traces.where(F.col(ts) >= F.lit(first).cast(traces.schema[ts].dataType))
 
 
 def recent_mean(series: DataFrame, n: int = RECENT_POINTS, ts: str = "minute") -> DataFrame:
@@ -137,11 +141,13 @@ def recent_mean(series: DataFrame, n: int = RECENT_POINTS, ts: str = "minute") -
         _r(ratio(F.sum("error_count"), F.sum("requests"))).alias("error_rate"))
 
 
-def hour_totals(series: DataFrame, ts: str = "minute") -> DataFrame:
-    """Per hour: requests, tokens and their cost."""
+def hour_totals(series: DataFrame, ts: str = "minute", requests: str | None = "requests", tokens: str = "tokens") -> DataFrame:
+    """Per hour: requests, tokens and their cost; of a series, or of the traces themselves (``requests=None``:
+    each row is one request), which needs no series and no percentile."""
+    asked = F.count(F.lit(1)) if requests is None else F.sum(requests)
     return series.groupBy(F.date_trunc("hour", F.col(ts)).alias("hour")).agg(
-        F.sum("requests").cast("bigint").alias("total_requests"),
-        F.sum("tokens").cast("bigint").alias("total_tokens"),
+        asked.cast("bigint").alias("total_requests"),
+        F.coalesce(F.sum(tokens), F.lit(0)).cast("bigint").alias("total_tokens"),
     ).withColumn("estimated_cost_usd", _r(F.col("total_tokens") * F.lit(COST_PER_TOKEN)))
 
 
@@ -176,3 +182,55 @@ def fold_lines(df: DataFrame, keys: list[str], order: str, line: str, sep: str =
     folded = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order), F.coalesce(F.col(line), F.lit("")).alias(line)))),
                                       lambda x: x[line]), sep)
     return df.groupBy(*keys).agg(folded.alias(out), F.count(F.lit(1)).alias("lines"))
+
+
+# --- A7 at scale: mergeable sketches --------------------------------------------
+
+#: Size parameter of the quantile sketches.
+SKETCH_K = 800
+
+
+def sketch_rank_error(k: int = SKETCH_K) -> float:
+    """The rank error that a sketch of size ``k`` exceeds with a probability below one in a hundred for each answer."""
+    return 2.296 / k ** 0.9021
+
+
+def minute_sketches(traces: DataFrame, keys: list[str] | None = None, ts: str = "ts", latency: str = "execution_time_ms",
+                    status: str = "status", tokens: str = "total_tokens", k: int = SKETCH_K) -> DataFrame:
+    """A7's scale option: per minute (and key) the requests, errors, tokens, latency sum and a quantile sketch of
+    bounded size. Partial aggregates merge sketches, so a minute with most of the rows costs a sketch a task; the
+    table, once written, answers for hours, days and the newest minutes without the events."""
+    return traces.groupBy(*(keys or []), F.date_trunc("minute", F.col(ts)).alias("minute")).agg(
+        F.count(F.lit(1)).alias("requests"), F.count_if(F.col(status) == "ERROR").alias("error_count"),
+        F.coalesce(F.sum(tokens), F.lit(0)).cast("bigint").alias("tokens"), F.sum(latency).alias("latency_sum"),
+        F.count(latency).alias("latency_n"), F.kll_sketch_agg_double(F.col(latency).cast("double"), F.lit(k)).alias("sketch"))
+
+
+def merge_sketches(sketches: DataFrame, by: list[Column | str], k: int = SKETCH_K) -> DataFrame:
+    """Rows of ``minute_sketches`` merged by other groups: same columns, sums added and sketches merged."""
+    return sketches.groupBy(*by).agg(
+        *[F.sum(c).alias(c) for c in ("requests", "error_count", "tokens", "latency_sum", "latency_n")],
+        F.kll_merge_agg_double("sketch", F.lit(k)).alias("sketch"))
+
+
+def sketch_series(sketches: DataFrame) -> DataFrame:
+    """The columns of ``minute_series`` from sketches; percentiles are values whose rank is within
+    ``sketch_rank_error`` (groups of up to about k values are exact)."""
+    held = F.col("latency_n") > 0
+    quantiles = [F.when(held, F.kll_sketch_get_quantile_double("sketch", F.lit(p))).alias(f"p{round(p * 100)}_latency_ms")
+                 for p in PERCENTILES]
+    others = [c for c in sketches.columns if c not in ("requests", "error_count", "tokens", "latency_sum", "latency_n", "sketch")]
+    return sketches.select(*others, "requests", _r(F.try_divide("latency_sum", "latency_n")).alias("avg_latency_ms"), *quantiles,
+                           "error_count", "tokens")
+
+
+def rank_errors(traces: DataFrame, series: DataFrame, key: str, group: Column, latency: str = "execution_time_ms") -> DataFrame:
+    """key and, for each percentile of ``series``, how far the share of values at and below it is from its own, 0 where the
+    value covers it. Reads the traces once more: for checks."""
+    names = [f"p{round(p * 100)}_latency_ms" for p in PERCENTILES]
+    rows = traces.where(F.col(latency).isNotNull()).select(group.alias(key), F.col(latency).alias("_v"))
+    both = rows.join(F.broadcast(series.select(key, *names)), key)  # a row for each group
+    shares = both.groupBy(key).agg(*[f for n in names for f in (
+        F.avg((F.col("_v") < F.col(n)).cast("double")).alias(f"_lt_{n}"), F.avg((F.col("_v") <= F.col(n)).cast("double")).alias(f"_le_{n}"))])
+    return shares.select(key, *[F.greatest(F.lit(0.0), F.lit(p) - F.col(f"_le_{n}"), F.col(f"_lt_{n}") - F.lit(p)).alias(n[:3])
+                                for p, n in zip(PERCENTILES, names)])

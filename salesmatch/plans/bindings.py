@@ -83,8 +83,9 @@ def recommendation_items(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.round(F.lit(100.0) - F.col("l_discount") * 100).cast("int").alias("match_score"))
 
 
-def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
+def traces(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
+    """Traces of the events table, or of ``events``, rows of it that the caller has chosen."""
+    e = table(spark, sf_dir, "events") if events is None else events
     ok = F.col("event_type") != "error"
     return e.select(
         F.col("event_id").alias("trace_id"), F.col("ts").cast("timestamp").alias("ts"),

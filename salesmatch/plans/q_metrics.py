@@ -9,6 +9,7 @@ from salesmatch.functions.text import list_text, price_label
 from salesmatch.operators import joins, metrics, ranking
 from salesmatch.plans import bindings as B
 from salesmatch.plans.registry import query
+from salesmatch.session import scratch_path
 
 USAGE_CLASSES = {"purchase_or_click": "c", "view": "view", "signup_or_purchase": "u"}
 
@@ -99,7 +100,8 @@ FROM last
 """)
 def recent_mean(spark, sf_dir):
     """Mean of the last five minute points."""
-    return metrics.recent_mean(metrics.minute_series(metrics.newest_minutes(B.traces(spark, sf_dir))))
+    newest = metrics.newest_minutes(B.table(spark, sf_dir, "events"))
+    return metrics.recent_mean(metrics.minute_series(B.traces(spark, sf_dir, newest)))
 
 
 @query("hour_totals", B.with_ctes("traces") + "," + _MINUTE_SQL + """
@@ -109,8 +111,38 @@ SELECT date_trunc('hour', minute) AS hour, CAST(sum(requests) AS BIGINT) AS tota
 FROM series GROUP BY 1
 """)
 def hour_totals(spark, sf_dir):
-    """Hourly totals of the minute series."""
-    return metrics.hour_totals(_series(spark, sf_dir))
+    """Hourly totals, counted from the traces."""
+    return metrics.hour_totals(B.traces(spark, sf_dir), "ts", None, "total_tokens")
+
+
+@query("sketch_metrics", B.with_ctes("traces") + """
+SELECT coalesce(strftime(date_trunc('hour', ts), '%Y-%m-%d %H'), 'no time') AS span, count(*) AS requests,
+       count(*) FILTER (WHERE status = 'ERROR') AS error_count, CAST(coalesce(sum(total_tokens), 0) AS BIGINT) AS tokens,
+       round(avg(execution_time_ms), 6) AS avg_latency_ms, true AS p50_within, true AS p95_within, true AS p99_within
+FROM traces GROUP BY 1
+UNION ALL
+SELECT 'all', count(*), count(*) FILTER (WHERE status = 'ERROR'), CAST(coalesce(sum(total_tokens), 0) AS BIGINT),
+       round(avg(execution_time_ms), 6), true, true, true
+FROM traces
+""")
+def sketch_metrics(spark, sf_dir):
+    """A7 (scale option)/A6: minute sketches are stored once and merged to hours and to the whole time; the percentiles'
+    ranks are compared with the traces: within twice the sketch's rank error."""
+    traces = B.traces(spark, sf_dir)
+    path = scratch_path(spark, "sketches")
+    metrics.minute_sketches(traces).write.parquet(path)
+    stored = spark.read.parquet(path)
+    hour = lambda c: F.coalesce(F.date_format(c, "yyyy-MM-dd HH"), F.lit("no time"))
+    out = None
+    for name, merged in ((hour("ts"), hour("minute")), (F.lit("all"), F.lit("all"))):
+        series = metrics.sketch_series(metrics.merge_sketches(stored, [merged.alias("span")]))
+        errors = metrics.rank_errors(traces, series, "span", name)
+        bound = 2 * metrics.sketch_rank_error()
+        rows = series.join(errors, "span", "left").select(
+            "span", "requests", "error_count", "tokens", "avg_latency_ms",
+            *[(F.coalesce(p, F.lit(0.0)) <= bound).alias(f"{p}_within") for p in ("p50", "p95", "p99")])
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 @query("top_makes", B.with_ctes("rec_items", "vehicles") + """

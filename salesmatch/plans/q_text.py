@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from salesmatch.functions import text as TX
 from salesmatch.functions.text import chunks, head, json_value, map_value, short_label, tail_or_all, truncate
 from salesmatch.operators import sessions
 from salesmatch.plans import bindings as B
@@ -63,3 +65,27 @@ SELECT session_id, turn, role, content FROM chat_turns WHERE role <> 'system'
 def session_history(spark, sf_dir):
     """Visible history of every session in turn order."""
     return sessions.history(B.chat_turns(spark, sf_dir))
+
+
+NOW = "2024-01-31 00:00:00"
+
+
+@query("numbers_and_times", B.with_ctes("traces") + f"""
+SELECT trace_id, epoch_us(ts) // 1000 AS at_ms, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS at_text,
+       ts >= TIMESTAMP '{NOW}' - INTERVAL 1440 MINUTE AS is_recent,
+       CAST(trunc(execution_time_ms * 0.8) AS BIGINT) AS truncated, round_even((trace_id % 80) / 8.0, 1) AS half_even,
+       CASE WHEN trace_id % 4 = 0 THEN '-' ELSE trace_name END AS scalar_text,
+       CASE trace_id % 4 WHEN 0 THEN '-' WHEN 1 THEN '-' ELSE trace_name || ', ' || status END AS list_text
+FROM traces
+""")
+def numbers_and_times(spark, sf_dir):
+    """Truncation, rounding to even, epoch milliseconds and back, ISO text, age, scalars and lists as text."""
+    t = B.traces(spark, sf_dir)
+    k = F.col("trace_id")
+    lists = F.when(k % 4 == 0, F.lit(None)).when(k % 4 == 1, F.array().cast("array<string>")).otherwise(F.array("trace_name", "status"))
+    scalar = F.when(k % 4 != 0, F.col("trace_name"))
+    return t.select(
+        "trace_id", TX.epoch_ms("ts").alias("at_ms"), TX.iso_text("ts").alias("at_text"),
+        (F.col("ts") >= TX.minutes_ago(1440, F.lit(NOW).cast("timestamp"))).alias("is_recent"),
+        TX.trunc_long(F.col("execution_time_ms") * 0.8).alias("truncated"), TX.round_even((k % 80) / F.lit(8.0), 1).alias("half_even"),
+        TX.list_text(scalar, kind=T.StringType()).alias("scalar_text"), TX.list_text(lists).alias("list_text"))
