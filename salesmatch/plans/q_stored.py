@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from salesmatch.operators import filters, paging
 from salesmatch.plans import bindings as B
 from salesmatch.plans.registry import query
 from salesmatch.session import scratch_path
 from salesmatch.sources import io
 from salesmatch.sources.keyed import KeyedTable
+from salesmatch.streaming import session_store
 
 STORED_AT, CHANGED_AT = "2026-01-01 00:00:00", "2026-02-01 00:00:00"
 
@@ -59,3 +63,92 @@ def keyed_versions(spark, sf_dir):
         F.count("*").alias("n_rows"), F.max("interaction_id").alias("last_interaction"),
         F.sum("amount").cast("double").alias("amount"), F.array_join(F.array_sort(F.collect_set("origin")), ",").alias("origins"),
         F.max("generated_at").alias("last_change"))
+
+
+PAGE_ROWS = 100
+
+
+@query("page_directory", f"""
+SELECT CAST(rn // {PAGE_ROWS} AS BIGINT) AS page, o_orderdate, o_orderkey, least({PAGE_ROWS}, n - rn) AS n_rows
+FROM (SELECT o_orderdate, o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS rn, count(*) OVER () AS n FROM orders)
+WHERE rn % {PAGE_ROWS} = 0
+""")
+def page_directory(spark, sf_dir):
+    """O2/O3: the first key and the size of every page of the orders by date and number."""
+    return paging.page_directory(B.table(spark, sf_dir, "orders"), ["o_orderdate", "o_orderkey"], PAGE_ROWS)
+
+
+@query("seek_page", f"""
+SELECT o_orderkey, o_custkey, o_orderdate FROM (
+  SELECT *, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS rn, count(*) OVER () AS n FROM orders)
+WHERE rn // {PAGE_ROWS} = n // {PAGE_ROWS} // 2
+""")
+def seek_page(spark, sf_dir):
+    """O3: the page in the middle of all, read by its key range."""
+    o, keys = B.table(spark, sf_dir, "orders"), ["o_orderdate", "o_orderkey"]
+    directory = paging.page_directory(o, keys, PAGE_ROWS)
+    middle = directory.agg(F.floor((F.sum("n_rows") / PAGE_ROWS).cast("long") / 2).cast("long")).first()[0]
+    return paging.read_page(o.select("o_orderkey", "o_custkey", "o_orderdate"), directory, keys, middle or 0)
+
+
+VEHICLE_COMMENTS = {"vehicle_id": "Key of the vehicle", "make": "Maker's name", "price": "Price, 10 percent off"}
+
+
+@query("catalogue_lifecycle", """
+SELECT 'rows' AS section, 'first load' AS name, CAST(count(*) AS VARCHAR) AS value FROM part
+UNION ALL SELECT 'rows', 'second load', CAST(count(*) AS VARCHAR) FROM part WHERE p_size <= 25
+UNION ALL SELECT 'rows', 'by parameter', CAST(count(*) AS VARCHAR) FROM part WHERE p_size <= 25 AND p_brand = 'Brand#12'
+UNION ALL SELECT 'rows', 'by hostile parameter', '0'
+UNION ALL SELECT * FROM (VALUES ('first columns', 'vehicle_id', 'bigint'), ('first columns', 'make', 'string'),
+  ('first columns', 'model', 'string'), ('first columns', 'price', 'double'), ('columns', 'vehicle_id', 'bigint: Key of the vehicle'),
+  ('columns', 'make', 'string: Maker''s name'), ('columns', 'price', 'decimal(10,2): Price, 10 percent off'),
+  ('columns', 'seats', 'int: '), ('table', 'Comment', 'The dealer''s vehicles'), ('table', 'certified', 'true'), ('table', 'unknown table tagged', 'false'))
+""")
+def catalogue_lifecycle(spark, sf_dir):
+    """A namespace is made, vehicles are loaded with declared types, loaded again with another
+    schema, commented and tagged; rows, columns and described metadata come back, then the namespace goes."""
+    name = f"salesmatch_{uuid.uuid4().hex}"
+    table = f"{name}.vehicles"
+    io.ensure_namespace(spark, name, use=False, location=scratch_path(spark, name))
+    try:
+        v = B.vehicles(spark, sf_dir)
+        io.overwrite(v.select("vehicle_id", "make", "model", "price"), table=table)
+        rows = [("rows", "first load", str(spark.table(table).count()))]
+        rows += [("first columns", f.name, f.dataType.simpleString()) for f in spark.table(table).schema.fields]
+        io.overwrite(v.where("seating_capacity <= 25").select(
+            "vehicle_id", "make", (F.col("price") * 0.9).cast("decimal(10,2)").alias("price"), F.col("seating_capacity").alias("seats")), table=table)
+        rows.append(("rows", "second load", str(spark.table(table).count())))
+        io.comment_table(spark, table, "The dealer's vehicles", VEHICLE_COMMENTS)
+        tagged = [io.tag_table(spark, table, {"certified": "true"}), io.tag_table(spark, f"{name}.nothing", {"certified": "true"})]
+        for label, make in (("by parameter", "Brand#12"), ("by hostile parameter", "Brand#12' OR '1' = '1")):
+            rows.append(("rows", label, str(filters.lookup_param(spark.table(table), "make", make).count())))
+        rows += [("columns", c.name, f"{c.dataType}: {c.description or ''}") for c in spark.catalog.listColumns(table)]
+        described = {r.col_name: r.data_type for r in io.describe_rows(spark, table, ["Comment", "Table Properties"]).collect()}
+        rows += [("table", "Comment", described["Comment"]),
+                 ("table", "certified", str(tagged[0] and "certified=true" in described["Table Properties"]).lower()),
+                 ("table", "unknown table tagged", str(tagged[1]).lower())]
+    finally:
+        spark.sql(f"DROP DATABASE IF EXISTS `{name}` CASCADE")
+    return spark.createDataFrame(rows, "section string, name string, value string")
+
+
+@query("session_store", B.with_ctes("chat_turns") + """,
+kept AS (SELECT * FROM chat_turns WHERE session_id % 4 <> 1)
+SELECT session_id, turn, role, content, count(*) OVER (PARTITION BY session_id) AS n_visible FROM kept WHERE role <> 'system'
+""")
+def session_store_query(spark, sf_dir):
+    """The conversations arrive as a stream, twice; repeated turns are dropped by the stream's state; every fourth
+    session is cleared; the history is read back."""
+    base = scratch_path(spark, "sessions")
+    arrived = f"{base}/arrived"
+    turns = B.chat_turns(spark, sf_dir).select(*[F.col(f.name).cast(f.dataType) for f in session_store.TURNS.fields])
+    turns.where("turn % 2 = 0").write.parquet(arrived)
+    stream = spark.readStream.schema(session_store.TURNS).parquet(arrived)
+    session_store.append_available(spark, stream, f"{base}/store", f"{base}/checkpoint")
+    turns.write.mode("append").parquet(arrived)  # all turns, half of them for the second time
+    store = session_store.append_available(spark, spark.readStream.schema(session_store.TURNS).parquet(arrived),
+                                           f"{base}/store", f"{base}/checkpoint")
+    store = session_store.clear(store, turns.select("session_id").where("session_id % 4 = 1").distinct())
+    rows = session_store.history(store)
+    n = rows.groupBy("session_id").agg(F.count("*").alias("n_visible"))
+    return rows.join(n, "session_id").select("session_id", "turn", "role", "content", "n_visible")

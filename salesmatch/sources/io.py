@@ -123,9 +123,10 @@ def write_replacing(spark: SparkSession, old_path: str, new: DataFrame,
     return out_path
 
 
-def ensure_namespace(spark: SparkSession, name: str, use: bool = True) -> None:
-    """CREATE DATABASE IF NOT EXISTS + USE."""
-    spark.sql(f"CREATE DATABASE IF NOT EXISTS `{name}`")
+def ensure_namespace(spark: SparkSession, name: str, use: bool = True, location: str | None = None) -> None:
+    """CREATE DATABASE IF NOT EXISTS + USE; ``location`` is the folder of its tables (default: the warehouse)."""
+    at = f" LOCATION {_sql_str(location)}" if location else ""
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS `{name}`{at}")
     if use:
         spark.catalog.setCurrentDatabase(name)
 

@@ -53,8 +53,9 @@ class KeyedTable:
         names = [f.getPath().getName() for f in self._fs.listStatus(folder)]
         return max((int(n[:8]) for n in names if n.endswith(".json")), default=0)
 
-    def _commit(self, buckets: dict[str, list[str]], schema: T.StructType, keys: list[str], n: int) -> "KeyedTable":
-        state = {"schema": schema.jsonValue(), "keys": keys, "n_buckets": n, "buckets": buckets}
+    def _commit(self, buckets: dict[str, list[str]], schema: T.StructType, keys: list[str], n: int,
+                marks: dict[str, int] | None = None) -> "KeyedTable":
+        state = {"schema": schema.jsonValue(), "keys": keys, "n_buckets": n, "buckets": buckets, "marks": marks or {}}
         temporary = self._paths(f"{self.path}/versions/.{uuid.uuid4().hex}")
         stream = self._fs.create(temporary)
         stream.write(json.dumps(state).encode())
@@ -129,14 +130,15 @@ class KeyedTable:
         found = self._bucketed(rows.select(*self.keys), self.keys, self.state["n_buckets"]).select(_BUCKET).distinct().collect()
         return {str(r[_BUCKET]): self.state["buckets"].get(str(r[_BUCKET]), []) for r in found}  # at most one for each bucket
 
-    def _next(self, buckets: dict[str, list[str]]) -> "KeyedTable":
-        return self._commit(buckets, self.schema, self.keys, self.state["n_buckets"])
+    def _next(self, buckets: dict[str, list[str]], marks: dict[str, int] | None = None) -> "KeyedTable":
+        return self._commit(buckets, self.schema, self.keys, self.state["n_buckets"], {**self.state["marks"], **(marks or {})})
 
-    def append(self, rows: DataFrame) -> "KeyedTable":
-        """Add ``rows``; no stored row is read."""
+    def append(self, rows: DataFrame, marks: dict[str, int] | None = None) -> "KeyedTable":
+        """Add ``rows``; no stored row is read. ``marks`` become part of the version, as the number of a stream's
+        last batch, and stay until they are set anew."""
         added = self._write(self._bucketed(rows.select(*self.schema.names), self.keys, self.state["n_buckets"]))
         old = self.state["buckets"]
-        return self._next({b: [*old.get(b, []), *added.get(b, [])] for b in {*old, *added}})
+        return self._next({b: [*old.get(b, []), *added.get(b, [])] for b in {*old, *added}}, marks)
 
     def _rewrite(self, change, rows: DataFrame) -> "KeyedTable":
         touched = self._touched(rows)

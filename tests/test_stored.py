@@ -103,3 +103,76 @@ def test_vacuum_removes_what_no_version_names(spark, table):
     assert len(gone) == 1 and stored(KeyedTable(spark, t.path).read(3)) == [(3, 2)] and t.read().count() == 197
     with pytest.raises(Exception):
         KeyedTable(spark, t.path, 1)
+
+
+# --- seek paging -----------------------------------------------------------------
+
+def test_pages_by_seek_equal_pages_by_offset(spark, tmp_path):
+    from salesmatch.operators import paging
+    rows = [(None if i % 11 == 0 else i % 7, i) for i in range(230)]
+    df = spark.createDataFrame(rows, "day int, id long").repartition(5)
+    directory = paging.page_directory(df, ["day", "id"], 20).cache()
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    assert sorted((r.page, (r.day, r.id), r.n_rows) for r in directory.collect()) == [
+        (p, order[20 * p], min(20, 230 - 20 * p)) for p in range(12)]
+    for p in range(13):
+        assert [tuple(r) for r in paging.read_page(df, directory, ["day", "id"], p).collect()] == order[20 * p:20 * p + 20]
+    nothing = df.where("false")
+    assert paging.page_directory(nothing, ["day", "id"], 20).count() == 0
+    assert paging.read_page(nothing, paging.page_directory(nothing, ["day", "id"], 20), ["day", "id"], 0).count() == 0
+
+
+def test_a_page_reads_one_key_range(spark, tmp_path):
+    from salesmatch.operators import paging
+    df = spark.range(5000).select((F.col("id") / 10).cast("long").alias("day"), "id")
+    df.repartitionByRange(20, "day").write.parquet(str(tmp_path / "o"))
+    stored_ = spark.read.parquet(str(tmp_path / "o"))
+    directory = paging.page_directory(stored_, ["day", "id"], 100)
+    got = paging.read_page(stored_, directory, ["day", "id"], 30)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(day,300)" in plan and "LessThanOrEqual(day,310)" in plan
+    assert [r.id for r in got.collect()] == list(range(3000, 3100))
+
+
+# --- session store ----------------------------------------------------------------
+
+def arrive(spark, folder, rows):
+    from salesmatch.streaming import session_store as S
+    spark.createDataFrame(rows, S.TURNS).coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(S.TURNS).parquet(folder)
+
+
+def test_session_store_appends_clears_and_restarts(spark, tmp_path):
+    from salesmatch.streaming import session_store as S
+    folder, path, check = (str(tmp_path / n) for n in ("in", "store", "check"))
+    stream = arrive(spark, folder, [(1, 0, "system", "s"), (1, 1, "user", "a"), (2, 0, "user", "b"), (2, 0, "user", "twice")])
+    t = S.append_available(spark, stream, path, check)
+    assert sorted((r.session_id, r.turn) for r in t.read().collect()) == [(1, 0), (1, 1), (2, 0)]
+    t = S.append_available(spark, stream, path, check)  # nothing new: no version
+    version = t.version
+    t = S.append_available(spark, arrive(spark, folder, [(1, 1, "user", "again"), (1, 2, "assistant", "c"), (3, 0, "user", "d")]), path, check)
+    assert t.version == version + 1
+    assert [(r.turn, r.content) for r in S.history(t, 1).collect()] == [(1, "a"), (2, "c")]
+    assert len({f.rsplit("/", 2)[-2] for f in S.history(t, 1).inputFiles()}) == 1
+    t = S.clear(t, spark.createDataFrame([(1,)], "session_id long"))
+    assert sorted(r.session_id for r in S.history(t).collect()) == [2, 3] and S.history(t, 1).count() == 0
+    assert {r.session_id: r.n_turns for r in S.counts(t).collect()} == {2: 1, 3: 1}
+
+
+def test_a_batch_run_again_is_not_appended_twice(spark, tmp_path, monkeypatch):
+    """The job dies after the table's version is in place and before the stream notes the batch."""
+    from salesmatch.streaming import session_store as S
+    folder, path, check = (str(tmp_path / n) for n in ("in", "store", "check"))
+    stream = arrive(spark, folder, [(1, 0, "user", "a"), (2, 0, "user", "b")])
+    append = KeyedTable.append
+
+    def dies(self, *a):
+        append(self, *a)
+        raise RuntimeError("lost after the version was written")
+
+    monkeypatch.setattr(KeyedTable, "append", dies)
+    with pytest.raises(Exception):
+        S.append_available(spark, stream, path, check)
+    monkeypatch.setattr(KeyedTable, "append", append)
+    t = S.append_available(spark, stream, path, check)
+    assert sorted((r.session_id, r.content) for r in t.read().collect()) == [(1, "a"), (2, "b")]
