@@ -4,9 +4,9 @@ Each binding is a projection of one driver table (so column pruning and
 filter pushdown reach the scan) and has a SQL twin in ``SQL`` that the DuckDB
 oracle uses with the same meaning.
 
-customer -> customers   budget band [trunc(bal*0.8), trunc(bal*1.3)]
+customer -> customers   budget band [trunc(bal*0.8), trunc(bal*1.3)], open for some keys
 part     -> vehicles    price=p_retailprice, make=p_brand, body=p_type,
-                        features=split(p_name, ' ')
+                        features=split(p_name, ' '), every seventh sold
 orders   -> interactions (dated, per customer) and evaluations
                         (rating = first digit of o_orderpriority, trace_id = o_orderkey)
 lineitem -> recommendation items (list = order, pos = line number,
@@ -32,14 +32,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def customers(spark: SparkSession, sf_dir: str, scaled: bool = False) -> DataFrame:
     """Customers with a budget band. ``scaled`` maps balances onto the
     inventory's price range (lo = 900 + floor(max(bal,0)/10000*80), hi = lo+20)
-    so that nearly every customer has candidates (used by the flagship)."""
+    so that nearly every customer has candidates (used by the flagship); other
+    budgets are open (0 or null) at one end or both for three in ten customers."""
     c = table(spark, sf_dir, "customer")
     if scaled:
         lo = (F.lit(900) + F.floor(F.greatest(F.col("c_acctbal"), F.lit(0.0)) / 10000 * 80)).cast("bigint")
         hi = lo + 20
     else:
-        lo = (F.col("c_acctbal") * 0.8).cast("bigint")
-        hi = (F.col("c_acctbal") * 1.3).cast("bigint")
+        k = F.col("c_custkey") % 10
+        lo = F.when(k == 0, F.lit(0)).when(k != 1, (F.col("c_acctbal") * 0.8).cast("bigint"))
+        hi = F.when(k == 1, F.lit(0)).when(k != 2, (F.col("c_acctbal") * 1.3).cast("bigint"))
     return c.select(
         F.col("c_custkey").alias("customer_id"), F.col("c_name").alias("name"),
         F.col("c_mktsegment").alias("occupation"), F.col("c_mktsegment").alias("segment"),
@@ -53,7 +55,7 @@ def vehicles(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("p_name").alias("model"), F.col("p_type").alias("body_type"),
         F.col("p_size").alias("seating_capacity"), F.col("p_retailprice").alias("price"),
         F.split(F.col("p_name"), " ").alias("features"),
-        F.lit("in_stock").alias("stock_status"),
+        F.when(F.col("p_partkey") % 7 == 3, F.lit("sold")).otherwise(F.lit("in_stock")).alias("stock_status"),
         F.concat(F.lit("images/"), F.col("p_partkey").cast("string"), F.lit(".png")).alias("image_path"))
 
 
@@ -116,8 +118,8 @@ SQL = {
     "customers": """
         SELECT c_custkey AS customer_id, c_name AS name, c_mktsegment AS occupation,
                c_mktsegment AS segment, c_acctbal AS balance,
-               CAST(trunc(c_acctbal * 0.8) AS BIGINT) AS budget_min,
-               CAST(trunc(c_acctbal * 1.3) AS BIGINT) AS budget_max
+               CASE c_custkey % 10 WHEN 0 THEN 0 WHEN 1 THEN NULL ELSE CAST(trunc(c_acctbal * 0.8) AS BIGINT) END AS budget_min,
+               CASE c_custkey % 10 WHEN 1 THEN 0 WHEN 2 THEN NULL ELSE CAST(trunc(c_acctbal * 1.3) AS BIGINT) END AS budget_max
         FROM customer""",
     "customers_scaled": """
         SELECT c_custkey AS customer_id, c_name AS name, c_mktsegment AS occupation,
@@ -128,7 +130,7 @@ SQL = {
     "vehicles": """
         SELECT p_partkey AS vehicle_id, p_brand AS make, p_name AS model, p_type AS body_type,
                p_size AS seating_capacity, p_retailprice AS price,
-               string_split(p_name, ' ') AS features, 'in_stock' AS stock_status,
+               string_split(p_name, ' ') AS features, CASE WHEN p_partkey % 7 = 3 THEN 'sold' ELSE 'in_stock' END AS stock_status,
                'images/' || CAST(p_partkey AS VARCHAR) || '.png' AS image_path
         FROM part""",
     "interactions": """

@@ -262,20 +262,26 @@ def parse_fence(spark, sf_dir):
                        .alias("insight_part"))
 
 
-@query("rule_route", B.with_ctes("chat_turns") + """
-SELECT session_id, max(turn) AS last_turn,
-       CASE WHEN contains(coalesce(arg_max(content, turn), ''), 'インサイト')
-                 OR contains(lower(coalesce(arg_max(content, turn), '')), 'insight') THEN 'insight'
-            WHEN contains(coalesce(arg_max(content, turn), ''), 'レコメンド')
-                 OR contains(lower(coalesce(arg_max(content, turn), '')), 'recommend') THEN 'recommendation'
-            WHEN contains(coalesce(arg_max(content, turn), ''), 'トーク')
-                 OR contains(lower(coalesce(arg_max(content, turn), '')), 'script') THEN 'talk_script'
-            ELSE 'default' END AS route
-FROM chat_turns GROUP BY session_id
+# What the odd turns of a session end with, by its number; the fourth holds two keywords.
+_ASKED = ["Please give an INSIGHT.", "レコメンドして", "Write a talk Script", "インサイトとレコメンド"]
+
+
+@query("rule_route", B.with_ctes("chat_turns") + """,
+asked AS (SELECT session_id, turn, content || CASE WHEN turn % 2 = 0 THEN '' ELSE CASE session_id % 5 """
+       + " ".join(f"WHEN {i} THEN ' {t}'" for i, t in enumerate(_ASKED)) + """ ELSE '' END END AS content FROM chat_turns),
+l AS (SELECT session_id, max(turn) AS last_turn, coalesce(arg_max(content, turn), '') AS t FROM asked GROUP BY session_id)
+SELECT session_id, last_turn, CASE WHEN contains(t, 'インサイト') OR contains(lower(t), 'insight') THEN 'insight'
+            WHEN contains(t, 'レコメンド') OR contains(lower(t), 'recommend') THEN 'recommendation'
+            WHEN contains(t, 'トーク') OR contains(lower(t), 'script') THEN 'talk_script' ELSE 'default' END AS route
+FROM l
 """)
 def rule_route(spark, sf_dir):
-    """Canned-answer class of each session's last message."""
-    return requests.last_message_route(B.chat_turns(spark, sf_dir))
+    """Canned-answer class of each session's last message; the keywords are added to odd turns by session."""
+    t = B.chat_turns(spark, sf_dir)
+    asked = F.lit("")
+    for i, words in enumerate(_ASKED):
+        asked = F.when(F.col("session_id") % 5 == i, F.lit(f" {words}")).otherwise(asked)
+    return requests.last_message_route(t.withColumn("content", F.concat("content", F.when(F.col("turn") % 2 == 0, "").otherwise(asked))))
 
 
 @query("insight_rows", B.with_ctes("chat_turns") + """

@@ -230,15 +230,19 @@ _ORPHAN_CHECKS = [
 ]
 
 
+# The given tables hold no orphans: some child keys are made negative and some null, by key.
+_DAMAGED = "CASE WHEN {k} % 59 = 3 THEN NULL WHEN {k} % 53 = 7 THEN -{k} - 1 ELSE {k} END"
+
+
 @query("orphans", "\nUNION ALL\n".join(
-    f"SELECT '{n}' AS relation, count(*) AS n_orphans FROM {c} x WHERE x.{ck} IS NOT NULL AND "
-    f"NOT EXISTS (SELECT 1 FROM {p} y WHERE y.{pk} = x.{ck})" for n, c, ck, p, pk in _ORPHAN_CHECKS))
+    f"SELECT '{n}' AS relation, count(*) AS n_orphans FROM (SELECT {_DAMAGED.format(k=ck)} AS k FROM {c}) x WHERE x.k IS NOT NULL AND "
+    f"NOT EXISTS (SELECT 1 FROM {p} y WHERE y.{pk} = x.k)" for n, c, ck, p, pk in _ORPHAN_CHECKS))
 def orphans(spark, sf_dir):
-    """Foreign keys without a parent, counted per relation."""
+    """Foreign keys without a parent, counted per relation; null keys are none."""
     parts: list[DataFrame] = []
     for name, child, ck, parent, pk in _ORPHAN_CHECKS:
-        o = joins.orphans(B.table(spark, sf_dir, child).select(ck), B.table(spark, sf_dir, parent).select(pk),
-                          ck, pk)
+        key = F.when(F.col(ck) % 59 == 3, F.lit(None)).when(F.col(ck) % 53 == 7, -F.col(ck) - 1).otherwise(F.col(ck))
+        o = joins.orphans(B.table(spark, sf_dir, child).select(key.alias(ck)), B.table(spark, sf_dir, parent).select(pk), ck, pk)
         parts.append(o.agg(F.count(F.lit(1)).alias("n_orphans")).select(
             F.lit(name).alias("relation"), "n_orphans"))
     return reduce(DataFrame.unionByName, parts)
