@@ -80,28 +80,42 @@ def members(record: bytes, level: int = 6) -> bytes:
     return b"".join(out)
 
 
+def contents(data: bytes, size: int = 1 << 14):
+    """The content of every gzip member of ``data``, which is read in small slices: what follows a member's end
+    in a slice is read again for the next one."""
+    view, at = memoryview(data), 0
+    while at < len(view):
+        d, out = zlib.decompressobj(31), []
+        while not d.eof:
+            if at == len(view):
+                raise ValueError("the archive ends within a gzip member")
+            part = view[at:at + size]
+            out.append(d.decompress(part))
+            at += len(part)
+        at -= len(d.unused_data)
+        yield b"".join(out)
+
+
 def records(data: bytes):
-    """(headers, block) of every record of an archive."""
-    held, unread = bytearray(), data
-    while unread or held:
-        end = held.find(b"\r\n\r\n")
-        if end >= 0:
+    """(headers, block) of every record of an archive; a record may span several members."""
+    held = bytearray()
+    for content in contents(data):
+        held += content
+        while True:
+            end = held.find(b"\r\n\r\n")
+            if end < 0:
+                break
             lines = held[:end].decode().split("\r\n")
             head = dict(line.split(": ", 1) for line in lines[1:])
             size = end + 4 + int(head["Content-Length"])
-            if len(held) >= size + 4:
-                if lines[0] != "WARC/1.1" or held[size:size + 4] != b"\r\n\r\n":
-                    raise ValueError("not a WARC record")
-                yield head, bytes(held[end + 4:size])
-                del held[:size + 4]
-                continue
-        if not unread:
-            raise ValueError("the archive ends within a record")
-        d = zlib.decompressobj(31)
-        held += d.decompress(unread)
-        if not d.eof:
-            raise ValueError("the archive ends within a gzip member")
-        unread = d.unused_data
+            if len(held) < size + 4:
+                break
+            if lines[0] != "WARC/1.1" or held[size:size + 4] != b"\r\n\r\n":
+                raise ValueError("not a WARC record")
+            yield head, bytes(held[end + 4:size])
+            del held[:size + 4]
+    if held:
+        raise ValueError("the archive ends within a record")
 
 
 def shard_cuts(sizes: DataFrame, shard_bytes: int) -> np.ndarray:
