@@ -9,8 +9,9 @@ from pyspark.sql import types as T
 from salesmatch import schemas
 from salesmatch.functions import jsonparse
 from salesmatch.functions.text import budget_label
-from salesmatch.operators import ranking, requests, sessions
+from salesmatch.operators import matching, ranking, requests, sessions
 from salesmatch.plans import bindings as B
+from salesmatch.plans.q_matching import _NEEDS_SQL
 from salesmatch.plans.q_metrics import CANDIDATE_TEXT_SQL, candidate_text_df
 from salesmatch.plans.registry import query
 from salesmatch.session import scratch_path, shared_dir
@@ -43,12 +44,7 @@ def _context_df(spark, sf_dir):
             .select(F.col("customer_id").alias("session_id"), text.alias("context")))
 
 
-@query("request_table", B.with_ctes("customers", "vehicles", "interactions", "chat_turns") + ","
-       + CANDIDATE_TEXT_SQL + f""",
-latest AS (SELECT customer_id, interaction_date, interaction_type FROM interactions
-           QUALIFY row_number() OVER (PARTITION BY customer_id
-                                      ORDER BY interaction_date DESC, interaction_id DESC) = 1),
-ctx AS (SELECT c.customer_id AS session_id,
+_CONTEXT_SQL = f"""ctx AS (SELECT c.customer_id AS session_id,
    'Customer: ' || c.name || ' (' || c.occupation || ')' || chr(10)
    || 'Budget: ' || CASE WHEN c.budget_min IS NOT NULL AND c.budget_max IS NOT NULL AND c.budget_min <> 0
                               AND c.budget_max <> 0
@@ -58,7 +54,15 @@ ctx AS (SELECT c.customer_id AS session_id,
                                          'none') || chr(10)
    || 'Candidates:' || chr(10) || coalesce(t.candidate_text, '-') || chr(10)
    || '{REPLY_FORMAT}' AS content
-   FROM customers c LEFT JOIN latest l USING (customer_id) LEFT JOIN candidate_text t USING (customer_id))
+   FROM customers c LEFT JOIN latest l USING (customer_id) LEFT JOIN candidate_text t USING (customer_id))"""
+
+
+@query("request_table", B.with_ctes("customers", "vehicles", "interactions", "chat_turns") + ","
+       + CANDIDATE_TEXT_SQL + f""",
+latest AS (SELECT customer_id, interaction_date, interaction_type FROM interactions
+           QUALIFY row_number() OVER (PARTITION BY customer_id
+                                      ORDER BY interaction_date DESC, interaction_id DESC) = 1),
+{_CONTEXT_SQL}
 SELECT session_id, CAST(-1 AS BIGINT) AS turn, 'system' AS role, content FROM ctx
 UNION ALL
 SELECT DISTINCT session_id, CAST(-1 AS BIGINT), 'system', '{DEFAULT_CONTEXT}' FROM chat_turns
@@ -94,39 +98,63 @@ def session_requests(spark, sf_dir):
 
 
 SCORED_AT = "2026-01-01 00:00:00"
-ESTIMATE = T.StructType([T.StructField("match_score", T.LongType()), T.StructField("tier", T.StringType())])
-
-
-@query("batch_score", B.with_ctes("customers", "interactions") + f""",
-n AS (SELECT customer_id, count(*) AS n FROM interactions GROUP BY customer_id),
-s AS (SELECT c.customer_id,
-             least(3 * coalesce(n.n, 0) + greatest(coalesce(c.budget_max, 0), 0) // 250, 100) AS match_score
-      FROM customers c LEFT JOIN n USING (customer_id)),
-t AS (SELECT *, CASE WHEN match_score >= 60 THEN 'hot' WHEN match_score >= 30 THEN 'warm' ELSE 'cold' END AS tier
-      FROM s)
-SELECT sha256(CAST(customer_id AS VARCHAR)) AS recommendation_id, customer_id,
-       'Here is my estimate.' || chr(10) || '```json' || chr(10) || '{{"match_score": '
-       || CAST(match_score AS VARCHAR) || ', "tier": "' || tier || '"}}' || chr(10) || '```' AS response_text,
-       true AS ok, CAST(match_score AS BIGINT) AS match_score, tier,
-       TIMESTAMP '{SCORED_AT}' AS generated_at, 'readiness-scorer' AS model_used
-FROM t
+
+
+def scoring_requests(spark, sf_dir):
+    """One row for each customer: its request text, up to 20 candidates as arrays in price order (the first of the
+    inventory where its budget holds none), the exact budget, and the wishes taken from its purchases."""
+    v, c = B.vehicles(spark, sf_dir), B.customers(spark, sf_dir)
+    needs = matching.needs_from_history(B.purchases(spark, sf_dir), v).select(
+        "customer_id", F.col("desired_body_type").alias("body_type"), F.get("must_have_features", F.lit(0)).alias("word"))
+    low, high = matching.exact_bounds()
+    found = matching.exact_candidates(c, v).join(v.select("vehicle_id", "price", F.col("body_type").alias("body"), "features"), "vehicle_id")
+    entry = F.struct("rank", "vehicle_id", "price", "body", F.when(F.col("word").isNotNull(), F.array_contains("features", F.col("word"))).alias("has"))
+    listed = found.join(needs, "customer_id", "left").groupBy("customer_id").agg(F.array_sort(F.collect_list(entry)).alias("i"))  # 20 at most
+    return c.select("customer_id", low.alias("low"), high.alias("high")).join(needs, "customer_id", "left").join(listed, "customer_id", "left").join(
+        _context_df(spark, sf_dir).select(F.col("session_id").alias("customer_id"), F.col("context").alias("request")), "customer_id").select(
+        "customer_id", "request", "low", "high", "body_type", F.col("i.vehicle_id").alias("vehicle_ids"), F.col("i.price").alias("prices"),
+        F.col("i.body").alias("body_types"), F.col("i.has").alias("has_feature"))
+
+
+@query("batch_score", B.with_ctes("customers", "vehicles", "purchases", "interactions") + "," + CANDIDATE_TEXT_SQL + "," + _NEEDS_SQL + f""",
+latest AS (SELECT customer_id, interaction_date, interaction_type FROM interactions
+           QUALIFY row_number() OVER (PARTITION BY customer_id ORDER BY interaction_date DESC, interaction_id DESC) = 1),
+{_CONTEXT_SQL},
+b AS (SELECT customer_id, CAST(coalesce(nullif(budget_min, 0), 0) AS BIGINT) AS low, CAST(coalesce(nullif(budget_max, 0), 99999999) AS BIGINT) AS high
+      FROM customers),
+m AS (SELECT b.*, v.vehicle_id, v.price, v.body_type, v.features FROM b JOIN vehicles v ON v.price BETWEEN b.low AND b.high
+      QUALIFY row_number() OVER (PARTITION BY b.customer_id ORDER BY v.price, v.vehicle_id) <= 20),
+f AS (SELECT * FROM m UNION ALL SELECT b.*, v.vehicle_id, v.price, v.body_type, v.features
+      FROM b, (SELECT * FROM vehicles ORDER BY price, vehicle_id LIMIT 20) v WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.customer_id = b.customer_id)),
+s AS (SELECT f.*, CAST(CASE WHEN price BETWEEN low AND high THEN 40 ELSE 20 END
+        + CASE WHEN desired_body_type IS NULL THEN 15 WHEN body_type = desired_body_type THEN 30 ELSE 0 END
+        + CASE WHEN must_have_features IS NULL THEN 15 WHEN list_contains(features, must_have_features[1]) THEN 30 ELSE 0 END AS INTEGER) AS match_score,
+        desired_body_type FROM f LEFT JOIN needs USING (customer_id)),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY customer_id ORDER BY match_score DESC, price, vehicle_id) AS INTEGER) AS position FROM s)
+SELECT sha256(customer_id || '|' || position) AS recommendation_id, customer_id, position, vehicle_id, match_score,
+       CASE WHEN price BETWEEN low AND high THEN 'in budget' ELSE 'over budget' END
+       || CASE WHEN body_type = desired_body_type THEN ', wanted body type' ELSE '' END AS reason,
+       CAST(length(ctx.content) AS INTEGER) AS request_chars, TIMESTAMP '{SCORED_AT}' AS generated_at, 'rule-ranker' AS model_used
+FROM r JOIN ctx ON ctx.session_id = customer_id WHERE position <= 3
 """)
 def batch_score(spark, sf_dir):
-    """Score every customer's request in Arrow batches, stamp the
-    responses (key-derived id, fixed time, model) and parse them back. Responses
-    are checkpointed to the shared folder so a lost executor never re-runs the
-    scorer for finished partitions."""
-    contacts = B.interactions(spark, sf_dir).groupBy("customer_id").agg(F.count("*").alias("n_interactions"))
-    req = B.customers(spark, sf_dir).select("customer_id", "budget_max").join(contacts, "customer_id", "left")
+    """Every customer's request is scored in Arrow batches by a pluggable scorer, here one that ranks the
+    request's candidates; typed responses are stamped (key-derived id, fixed time, model). Responses are checkpointed
+    to the shared folder so a lost executor never re-runs the scorer for finished partitions."""
     shared_dir(spark)
-    resp = requests.score_batch(req).checkpoint()
-    parsed = jsonparse.with_parsed(resp, "response_text", ESTIMATE, "fenced_braced")
-    stamped = io.stamp(parsed, "recommendation_id", "readiness-scorer", ["customer_id"], SCORED_AT)
-    return stamped.select("recommendation_id", "customer_id", "response_text", "ok",
-                          F.col("parsed.match_score").alias("match_score"), F.col("parsed.tier").alias("tier"),
+    schema = T.StructType([*requests.RESPONSE_SCHEMA.fields, T.StructField("request_chars", T.IntegerType())])
+    resp = requests.score_batch(scoring_requests(spark, sf_dir), _rank_and_measure, schema=schema).checkpoint()
+    stamped = io.stamp(resp, "recommendation_id", "rule-ranker", ["customer_id", "position"], SCORED_AT)
+    return stamped.select("recommendation_id", "customer_id", "position", "vehicle_id", "match_score", "reason", "request_chars",
                           "generated_at", "model_used")
 
 
+def _rank_and_measure(batch):
+    """The default ranking, and the length of the request text that it belongs to."""
+    out = requests.rank_candidates(batch)
+    return out.assign(request_chars=batch["request"].str.len().loc[out.index].astype("int32"))
+
+
 SAVED_AT, RESAVED_AT = "2026-01-01 00:00:00", "2026-02-01 00:00:00"
 
 

@@ -4,9 +4,11 @@ checks of the custom joins."""
 import random
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from salesmatch.functions import text as TX
 from salesmatch.operators import filters, joins, matching, metrics, ranking, requests, sessions
@@ -351,29 +353,35 @@ def test_agent_fold_branch_order(spark):
 
 
 def test_batch_scorer_is_pluggable(spark):
-    req = spark.createDataFrame([(1, "a"), (2, "b")], "customer_id long, prompt string")
+    req = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "customer_id long, prompt string")
+    schema = T.StructType([T.StructField("reply", T.StringType())])
 
-    def shout(batch):
-        return batch["prompt"].str.upper()
+    def shout(batch):  # two replies for the first request of a call, none for a null one
+        said = batch["prompt"].dropna().str.upper().to_frame("reply")
+        return pd.concat([said, said.iloc[:1]])
 
-    out = requests.score_batch(req, shout, inputs=["prompt"])
-    assert rows(out, "customer_id", "response_text") == [(1, "A"), (2, "B")]
+    out = requests.score_batch(req.coalesce(1), shout, inputs=["prompt"], schema=schema)
+    assert rows(out, "customer_id", "reply") == [(1, "A"), (1, "A"), (2, "B")]
 
     def sized(batch):
         assert len(batch) <= 7
-        return batch["prompt"]
+        return batch[["prompt"]].rename(columns={"prompt": "reply"})
 
     many = spark.range(25).selectExpr("id AS customer_id", "CAST(id AS STRING) AS prompt").coalesce(1)
-    assert requests.score_batch(many, sized, inputs=["prompt"], max_records_per_batch=7).count() == 25
-
-
-def test_default_scorer_takes_nulls_and_caps(spark):
-    req = spark.createDataFrame([(1, None, None), (2, 4, 10_000), (3, 50, -5), (4, 0, 7_600)],
-                                "customer_id long, n_interactions long, budget_max long")
-    out = requests.score_batch(req).orderBy("customer_id").collect()
-    assert [r.response_text.split("\n")[2] for r in out] == [
-        '{"match_score": 0, "tier": "cold"}', '{"match_score": 52, "tier": "warm"}',
-        '{"match_score": 100, "tier": "hot"}', '{"match_score": 30, "tier": "warm"}']
+    got = requests.score_batch(many, sized, inputs=["prompt"], max_records_per_batch=7, schema=schema)
+    assert rows(got, "customer_id", "reply") == [(i, str(i)) for i in range(25)]
+
+
+def test_default_scorer_ranks_and_takes_nulls(spark):
+    req = spark.createDataFrame([
+        (1, 0, 200, "suv", [5, 4, 3, 2], [100.0, 100.0, 300.0, 50.0], ["suv", "suv", "suv", None], [True, True, True, False]),
+        (2, 0, 200, None, [7], [10.0], ["van"], [None]), (3, 0, 200, "suv", None, None, None, None), (4, 0, 9, "suv", [], [], [], [])],
+        "customer_id long, low long, high long, body_type string, vehicle_ids array<long>, prices array<double>, "
+        "body_types array<string>, has_feature array<boolean>")
+    got = requests.score_batch(req).orderBy("customer_id", "position").collect()
+    assert [tuple(r) for r in got] == [
+        (1, 1, 4, 100, "in budget, wanted body type"), (1, 2, 5, 100, "in budget, wanted body type"),
+        (1, 3, 3, 80, "over budget, wanted body type"), (2, 1, 7, 70, "in budget")]
 
 
 # --- key replacement and quality (S9, S10, Q1-Q7) ------------------------------
