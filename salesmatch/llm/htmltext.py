@@ -3,7 +3,8 @@
 Every page scores its containers and names the generalised tag-class path of its
 main one. Spark counts the votes of a host's pages, and every page is extracted
 again from the containers on its host's winning path, or from its own main one
-unless they hold all of its text. That is the article's core: titles, leads and
+where they are only a part of it; a main container apart from the winning path is
+overruled. That is the article's core: titles, leads and
 sections around it belong to the text too, but for page furniture, which is links
 and blocks that stand around the cores of most of a host's pages.
 """
@@ -22,6 +23,8 @@ from salesmatch.llm.common import text_or_empty, written
 SHARE = 0.7
 #: A block around the core is furniture if it stands beside so many different cores of a host, and more than half of them.
 REPEATED = 2
+#: Least text of a page's winning containers that overrules a main container apart from them.
+OVERRULE = 200
 #: Most hosts (below 100 bytes each) and furniture blocks that are broadcast; more are joined.
 BROADCAST_HOSTS = 200_000
 
@@ -44,26 +47,34 @@ def _hash(text: str) -> int:
 
 def vote(html: str) -> tuple[str, int, int, list[int]]:
     """Path and text size of the page's main container, hash of its text, and hashes of the blocks around it."""
-    _, items, own = _parsed(html)
-    inside = pagetree.under({own})
+    root, items, own = _parsed(html)
+    inside = pagetree.under(root, {own})
     core, outside = [], set()
     for node, text, _ in pagetree.unmarked(items):
-        core.append(text) if inside(node) else outside.add(_hash(text))
+        core.append(text) if node in inside else outside.add(_hash(text))
     return pagetree.path(own), own.size, _hash(" ".join(core)), sorted(outside)
 
 
 def extract(html: str, winner: str | None = None, furniture=()) -> str:
-    """Text of the page's article; ``furniture`` has the hashes of its host's repeated blocks."""
+    """Text of the page's article; ``winner`` is its host's path, ``furniture`` has the hashes of its host's repeated blocks.
+
+    The winning containers are the core unless they are only a part of the page's own main container. If they
+    lie apart from it, they overrule it: it is then a long menu, list or discussion beside the article, and goes.
+    """
     root, items, own = _parsed(html)
     found = pagetree.unmarked(items)
-    nodes = {own}
+    nodes, overruled = {own}, set()
     if winner is not None:
-        winning = {n for n in pagetree.all_nodes(root) if n.tag in pagetree.HOLD and not n.away and pagetree.path(n) == winner}
-        mine, inside = pagetree.under(nodes), pagetree.under(winning)
-        if winning and all(inside(node) for node, _, _ in found if mine(node)):
+        place = pagetree.place_of(winner)
+        winning = {n for n in pagetree.all_nodes(root) if n.place == place and n.tag in pagetree.HOLD and not n.away}
+        held, mine = pagetree.under(root, winning), pagetree.under(root, nodes)
+        if winning and all(node in held for node, _, _ in found if node in mine):
             nodes = winning
+        elif sum(n.size for n in winning) >= OVERRULE and not held & mine:
+            nodes, overruled = winning, mine
     known = frozenset(furniture or ())
-    return " ".join(pagetree.around(nodes, found, lambda text: bool(known) and _hash(text) in known))
+    found = [f for f in found if f[0] not in overruled]
+    return " ".join(pagetree.around(root, nodes, found, lambda text: bool(known) and _hash(text) in known))
 
 
 def votes(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:

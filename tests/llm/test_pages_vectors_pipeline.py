@@ -57,6 +57,77 @@ def test_whole_article_around_its_core(spark):
         assert got[40] == f"{text(7)} {text(8)}"
 
 
+def test_text_after_odd_elements(spark):
+    texts = {
+        '<p>First para.</p><svg viewBox="0 0 1 1"/><p>Rest of the article here.</p>': "First para. Rest of the article here.",
+        "<p>One</p><select><option>x<p>Two</p>": "One x Two",  # no end tag: the element ends at once
+        "<p>One</p><svg><text>no</text></svg><p>Two</p>": "One Two", "<p>One</p><script>var x": "One",
+        "<p>One</p><p class='social-history'>Two</p><p class='post-comments'>no</p><div class='ad-box 3'>no</div>": "One Two",
+        "<p>a</p><b c='": "a <b c='", "<p>a</p><!-- open <p>b</p>": "a", "a <!-- b": "a"}
+    for html, want in texts.items():
+        assert htmltext.extract(html) == want, html
+
+
+@pytest.mark.parametrize("html", [
+    "<div>" * 10_000 + "deep text" + "</div>" * 10_000, ("<div>" * 1_200 + "deep text" + "</div>" * 1_200) * 2,
+    "<a b='" * 150_000, "<a b='" * 150_000 + ">", "<section>x" * 60_000, "<div>" * 10_000 + "</section>" * 100_000,
+    "<select>x" * 100_000, "<p>x</b>" * 100_000, "<" * 1_000_000, "<!--" * 200_000, "<a '>\"" * 150_000, "<ul><li>x" * 50_000,
+    "<div class='a b c d>'>" * 30_000], ids=range(13))
+def test_malformed_pages_take_linear_time(html):
+    import time
+    start = time.process_time()
+    path = htmltext.vote(html)[0]
+    htmltext.extract(html, path)
+    assert time.process_time() - start < 4  # two parses of up to a megabyte
+
+
+def test_the_host_overrules_a_page(spark):
+    """A page with more discussion than article, in a container without a telling name: other pages of its host vote."""
+    story = lambda n: " ".join(f"Story {n} sentence {k}, long enough to matter." for k in range(8))
+    talk = lambda n: "".join(f"<p>Reader {n}-{k} says something else at some length, and more.</p>" for k in range(40))
+    page = lambda n, more: f'<div class="story"><h1>Title {n}</h1><p>{story(n)}</p></div><div class="zone">{more}</div>'
+    rows = [(n, "http://h.org/", page(n, f"<p>Reader {n} agrees.</p>")) for n in range(6)] + [(9, "http://h.org/", page(9, talk(9)))]
+    rows += [(20, "http://alone.org/", page(20, talk(20)))]
+    # Another template of the same host, without the winning path.
+    rows += [(30, "http://h.org/", f'<main><p>{story(30)}</p></main>')]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in htmltext.main_text(pages).collect()}
+    assert got[9] == f"Title 9 {story(9)}"
+    assert "Reader 20-7" in got[20]  # nobody overrules a page alone
+    assert got[30] == story(30) and got[0].startswith(f"Title 0 {story(0)}")
+
+
+def test_words_of_a_page_match_another_parser():
+    from html.parser import HTMLParser
+
+    class Words(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.out, self.skip = [], 0
+
+        def handle_starttag(self, tag, attrs):
+            self.skip += tag in ("script", "style")
+
+        def handle_endtag(self, tag):
+            self.skip -= tag in ("script", "style")
+
+        def handle_data(self, data):
+            if not self.skip:
+                self.out.append(data)
+
+    rng = np.random.default_rng(3)
+    parts = ["<p>", "</p>", "<div class=x>", "</div>", "<b>", "</b>", "one ", "t&amp;wo ", "<br/>", "<script>var a = '<p>';</script>",
+             "<h2 id='q'>", "</h2>", "&#233;t ", "<!-- no -->", "<ul><li>", "</ul>", "<table><tr><td>", "</table>", "<img alt='a > b'>"]
+    for _ in range(300):
+        html = "".join(rng.choice(parts, 40))
+        other = Words()
+        other.feed(html)
+        other.close()
+        from salesmatch.llm import pagetree
+        ours = [t for _, t, _ in pagetree.unmarked(pagetree.parse(html)[1])]
+        assert "".join(" ".join(ours).split()) == "".join("".join(other.out).split()), html
+
+
 def test_host_votes(spark):
     urls = [("http://WWW.A.org:80/x",), ("https://u:p@b.org/y?z",), ("//c.org",), ("nothing",), (None,)]
     df = spark.createDataFrame(urls, "url string")
