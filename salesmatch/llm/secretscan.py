@@ -30,6 +30,10 @@ WORD_DOCS = 3
 MASK = "[SECRET]"
 
 _VALUE = r"[A-Za-z0-9_+/=~.\-]{16,}"
+#: scheme://user:password@host
+_LOGIN = r"://[^\s/@:]*:[^\s/@]+@"
+#: What separates runs, and a run with its base64 padding; "=" before a run or a quote is an assignment.
+_RUNS = r"([^A-Za-z0-9_+/~.\-]*)([A-Za-z0-9_+/~.\-]+(?:={1,2}(?![A-Za-z0-9_+/~.\-=\"'`]))?)"
 _KEYWORD = r"(?:passw(?:or)?d|pwd|secret|token|api[ _-]?key|access[ _-]?key|auth|credential|private[ _-]?key|bearer)"
 _DIGEST = r"\b(?:sha\d*|md5|commit|checksum|hash|digest|uuid|guid|revision|etag|build|version|order|invoice|phone|card)\b"
 _SHAM = r"(?:example|dummy|sample|changeme|placeholder|your|xxxx|test|fake|<|\$\{)"
@@ -41,22 +45,36 @@ FEATURES = ["length", "digits", "uppers", "lowers", "others", "changes", "variet
 def candidates(docs: DataFrame, doc_id: str, text: str, path: str | None) -> DataFrame:
     """id, row (hash of the text), line, word, path, before (two words and the own prefix), after, raw, value."""
     body = text_or_empty(text)
-    hint = rf"{_VALUE}|(?i:{_KEYWORD})"
+    hint = rf"{_VALUE}|{_LOGIN}|(?i:{_KEYWORD})"
     lines = docs.select(F.col(doc_id).cast("long").alias("id"), F.xxhash64(body).alias("row"),
                         (F.coalesce(F.col(path).cast("string"), F.lit("")) if path else F.lit("")).alias("path"),
                         F.split(body, "\n").alias("lines")).where(F.exists("lines", lambda s: s.rlike(hint)))
     lines = lines.select("id", "row", "path", F.posexplode("lines").alias("line", "s")).where(F.col("s").rlike(hint))
     words = lines.select("id", "row", "path", "line", F.split("s", r"\s+").alias("words"))
     words = words.select("id", "row", "path", "line", "words", F.posexplode("words").alias("word", "raw"))
-    parts = r"^((?:[^:=]*[:=](?!$))?)[^A-Za-z0-9_+/=~.\-]*(.*?)[^A-Za-z0-9_+/=~\-]*$"
+    # A word without white space may hold several values: minified JSON, query strings, connection strings.
+    words = words.where(F.col("raw").rlike("[A-Za-z0-9_+/~.\\-]{6,}")).withColumn(
+        "seps", F.regexp_extract_all("raw", F.lit(_RUNS), F.lit(1))).withColumn(
+        "runs", F.regexp_extract_all("raw", F.lit(_RUNS), F.lit(2)))
+    words = words.select("*", F.posexplode("runs").alias("part", "run"))
     two = [F.when(F.col("word") >= k, F.get("words", F.col("word") - k)).otherwise("") for k in (2, 1)]
+    sep = F.get("seps", F.col("part"))
+    own = F.when(F.col("part") > 0, F.concat(F.get("runs", F.col("part") - 1), F.regexp_replace(sep, "[\"'`]+$", ""))).otherwise("")
+    rest = F.concat("run", F.array_join(F.zip_with(
+        F.slice("seps", F.col("part") + 2, F.size("runs")), F.slice("runs", F.col("part") + 2, F.size("runs")), lambda a, b: F.concat(a, b)), ""))
+    login = (sep == ":") & rest.rlike("^[^@/]+@") & F.col("raw").rlike(_LOGIN)
     found = words.select("id", "row", "path", "line", "word", "raw",
-                         F.concat_ws(" ", *two, F.regexp_extract("raw", parts, 1)).alias("before"),
-                         F.coalesce(F.get("words", F.col("word") + 1), F.lit("")).alias("after"),
-                         F.regexp_extract("raw", parts, 2).alias("value"))
+                         F.concat_ws(" ", *two, F.when(login, "password:").otherwise(own)).alias("before"),
+                         F.coalesce(F.get("runs", F.col("part") + 1), F.get("words", F.col("word") + 1), F.lit("")).alias("after"),
+                         F.regexp_replace("run", "^[.\\-]+|[.\\-]+$", "").alias("run"), login.alias("login"), rest.alias("rest"))
+    told = F.lower("before").rlike(_KEYWORD + r"[^:=]{0,3}[:=]\s*$")
+    # What is named a secret is taken with all its marks, up to a quote, the next field or the host.
+    whole = F.regexp_replace(F.regexp_extract("rest", "^[^\"'`,;&]+", 0), r"[.)\]}]+$", "")
+    found = found.withColumn("told", told).withColumn("value", F.when(F.col("login"), F.regexp_extract("rest", "^[^@]+", 0)).when(
+        told, whole).otherwise(F.col("run")))
     long = F.col("value").rlike(f"^{_VALUE}$") & F.col("value").rlike("[0-9]")
-    told = (F.char_length("value") >= 8) & F.lower("before").rlike(_KEYWORD + r"[^:=]{0,3}[:=]\s*$")
-    return found.where(long | told)
+    size = F.char_length("value")
+    return found.where(long | (F.col("told") & (size >= 8)) | (F.col("login") & (size >= 6))).drop("login", "told", "rest", "run")
 
 
 def dictionary(docs: DataFrame, text: str) -> DataFrame:
@@ -198,7 +216,11 @@ def findings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path:
 
 
 def masked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = "source") -> DataFrame:
-    """``docs`` in struct ``doc`` and ``clean``: the text with every secret found in it replaced by MASK."""
+    """``docs`` in struct ``doc`` and ``clean``: the text with every secret found in it replaced by MASK.
+
+    A null text stays null, an empty one empty; rows that share a doc_id are masked each by its own findings, a null
+    doc_id like any other. Repeated rows and extra columns stay; an empty table gives an empty one.
+    """
     own = findings(docs, doc_id, text, path).where("is_secret").groupBy("id", "row").agg(
         F.sort_array(F.collect_set("value"), asc=False).alias("secrets"))
     rows = docs.select(F.struct(*docs.columns).alias("doc"), F.col(doc_id).cast("long").alias("id"),

@@ -31,7 +31,7 @@ TEXTS = [
 
 
 def frame(spark, texts=TEXTS):
-    rows = [(i, t, "en" if i % 2 else None, "src", 1, "x") for i, t in texts]
+    rows = [(i, t, "en" if (i or 0) % 2 else None, "src", 1, "x") for i, t in texts]
     return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, block int, ids string")
 
 
@@ -345,6 +345,22 @@ def test_secrets_are_found_and_masked(spark):
     assert secretscan.secret_rows(empty(spark)).count() == 0
 
 
+def test_secrets_inside_words_are_found(spark):
+    key = hashlib.sha1(b"j").hexdigest()
+    aws, git = "AKIA" + "7QK2MNX4B9TRZ5WP", "ghp_" + hashlib.sha256(b"g").hexdigest()[:36]
+    rows = [(1, '{"id":"7","api_key":"%s","n":3}' % aws), (2, f"see https://h.org/?a=1&access_token={git} for it"),
+            (3, "db is postgres://admin:h4rd%word9x@db.host/main here"), (4, f"A=1;TOKEN={aws};B=2"), (5, f"api_key=({key})"),
+            (6, "password='Tr0ub4dor!x9Qz'"), (7, f"https://h.org/commit/{key[::-1]}?tab=files and https://user@h.org/a:b"),
+            (8, '{"a":"b","c":[1,2,3],"when":"2024-01-15T10:00:00"}'), (7, f"token={key}"), (None, f"secret: {git}")]
+    got = {}
+    for r in secretscan.masked(frame(spark, rows)).collect():
+        got.setdefault(r["doc"]["doc_id"], []).append(r["clean"])
+    assert got[1] == ['{"id":"7","api_key":"[SECRET]","n":3}'] and got[2] == ["see https://h.org/?a=1&access_token=[SECRET] for it"]
+    assert got[3] == ["db is postgres://admin:[SECRET]@db.host/main here"] and got[4] == ["A=1;TOKEN=[SECRET];B=2"]
+    assert got[5] == ["api_key=([SECRET])"] and got[6] == ["password='[SECRET]'"] and got[None] == ["secret: [SECRET]"]
+    assert sorted(got[7]) == sorted([rows[6][1], "token=[SECRET]"]) and got[8] == [rows[7][1]]
+
+
 def test_json_like_text_is_no_secret(spark):
     docs = frame(spark, [(1, json.dumps({"version": "2024.01.15-build-00231", "order": "20240115000231"}))])
     assert secretscan.findings(docs).where("is_secret").count() == 0
