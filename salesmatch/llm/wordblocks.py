@@ -23,6 +23,8 @@ from salesmatch.llm.packing import offsets
 #: Text bytes after which a block is closed. Bounds a worker's memory; a single
 #: longer document makes a block of its own.
 BLOCK_BYTES = 8 << 20
+#: Rows of a block at most: null and empty texts fill none of its bytes.
+BLOCK_ROWS = 1 << 16
 #: Bytes hashed at once; longer words are hashed one by one.
 _WINDOW = 1 << 18
 #: Odd multipliers of the two polynomial hashes.
@@ -187,12 +189,12 @@ def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)), at
 
 
-def blocks(batches, text: str, spans, block_bytes: int = BLOCK_BYTES) -> Iterator[tuple[list, Block]]:
-    """Cut Arrow batches into blocks: yields (a list of the block's batch slices, its Block).
+def blocks(batches, text: str, spans, block_bytes: int = BLOCK_BYTES, block_rows: int = BLOCK_ROWS) -> Iterator[tuple[list, Block]]:
+    """Cut Arrow batches into blocks of bounded bytes and rows: yields (a list of the block's batch slices, its Block).
 
     Blocks follow the order of rows, so the same rows give the same blocks again.
     """
-    parts, data, sizes, size = [], [], [], 0
+    parts, data, sizes, size, held = [], [], [], 0, 0
 
     def block():
         return parts, make_block(np.concatenate(data), offsets(np.concatenate(sizes)), spans)
@@ -203,17 +205,18 @@ def blocks(batches, text: str, spans, block_bytes: int = BLOCK_BYTES) -> Iterato
         raw, at = _bytes_of(batch.column(text))
         i = 0
         while i < batch.num_rows:
-            j = int(np.searchsorted(at, at[i] + block_bytes - size, "right")) - 1
+            j = min(int(np.searchsorted(at, at[i] + block_bytes - size, "right")) - 1, i + block_rows - held)
             if j <= i:
                 if parts:
                     yield block()
-                    parts, data, sizes, size = [], [], [], 0
+                    parts, data, sizes, size, held = [], [], [], 0, 0
                     continue
                 j = i + 1
             parts.append(batch.slice(i, j - i))
             data.append(raw[at[i]:at[j]])
             sizes.append(np.diff(at[i:j + 1]))
             size += int(at[j] - at[i])
+            held += j - i
             i = j
     if parts:
         yield block()

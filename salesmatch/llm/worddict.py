@@ -30,6 +30,8 @@ from salesmatch.llm.common import shuffle_width, text_or_empty
 
 #: Words put together at once, to bound memory.
 _SLICE = 1 << 19
+#: Distinct words of a bucket whose ids a task remembers; beyond it they are encoded again.
+_KNOWN = 1 << 20
 
 
 def encode_documents(docs: DataFrame, key: list[str], text: str, spans: Callable,
@@ -76,10 +78,14 @@ def encode_documents(docs: DataFrame, key: list[str], text: str, spans: Callable
             for block, at, lens, data in zip(*(batch.column(c).to_pylist() for c in ("block", "at", "lens", "words"))):
                 edge, buf = packing.offsets(packing.unpack_ints(lens)).tolist(), packing.unpack_bytes(data)
                 words = [buf[i:j] for i, j in zip(edge, edge[1:])]
+                if len(known) > _KNOWN:
+                    known.clear()
                 new = [w for w in words if w not in known]
                 known.update(zip(new, encode(new)))
                 ids = [known[w] for w in words]
                 flat = np.fromiter(chain.from_iterable(ids), np.uint32)
+                if len(flat) and flat.max() > 65535:
+                    raise ValueError(f"token id {flat.max()} does not fit 16 bits")
                 out.append((block, at, packing.pack_ints(np.array([len(x) for x in ids])), packing.pack_ints(flat)))
             if out:
                 yield pa.RecordBatch.from_arrays(

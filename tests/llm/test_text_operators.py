@@ -50,6 +50,30 @@ def test_blocks_number_words_exactly():
         assert b"".join(words[i] for i in chunks.index[chunks.doc_at[k]:chunks.doc_at[k + 1]]) == t
 
 
+def test_blocks_have_a_row_bound():
+    import pyarrow as pa
+    batch = pa.RecordBatch.from_arrays([pa.array(["", "a b", ""] * 50, pa.string())], ["t"])
+    got = list(wordblocks.blocks([batch, batch], "t", wordblocks.word_spans, block_rows=64))
+    sizes = [sum(p.num_rows for p in parts) for parts, _ in got]
+    assert sum(sizes) == 300 and max(sizes) == 64 and len(sizes) == 5
+    assert [len(b.doc_at) - 1 for _, b in got] == sizes
+
+
+def test_wide_token_ids_are_refused(spark):
+    from salesmatch.llm import worddict
+    wide = worddict.encode_documents(frame(spark), ["doc_id"], "text", wordblocks.word_spans, lambda: lambda words: [[70_000] for _ in words])
+    with pytest.raises(Exception, match="does not fit 16 bits"):
+        wide.count()
+
+
+def test_forgotten_words_are_encoded_again(spark, monkeypatch):
+    from salesmatch.llm import worddict
+    monkeypatch.setattr(worddict, "_KNOWN", 5)
+    ids = worddict.encode_documents(frame(spark), ["doc_id"], "text", wordblocks.word_spans, lambda: lambda words: [[len(w)] for w in words])
+    got = {r.doc_id: np.frombuffer(bytes(r.ids), "<u2").tolist() for r in ids.collect()}
+    assert all(got[i] == [len(w) for w in (t or "").encode().split()] for i, t in TEXTS)
+
+
 def test_bpe_round_trip_is_tiktoken(spark):
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     lib = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=tokenizers_io.load_ranks(path),
