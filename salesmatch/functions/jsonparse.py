@@ -103,13 +103,26 @@ CUTS = {
 
 def with_parsed(df: DataFrame, text: str, schema, variant: str, ok_col: str = "ok",
                 out_col: str = "parsed") -> DataFrame:
-    """DataFrame form of the parsers: the cut and the parsed pair are columns of
-    their own, so each is computed once a row. Adds ``ok_col`` and ``out_col``."""
-    cut, pair, schema = f"_{out_col}_cut", f"_{out_col}_pair", _struct(schema)
-    staged = df.withColumn(cut, strip_ws(CUTS[variant](F.col(text))))
-    staged = staged.withColumn(pair, _pair(F.col(cut), schema))
-    staged = staged.withColumn(ok_col, _one_object(F.col(cut), F.col(pair)))
-    return staged.withColumn(out_col, F.when(F.col(ok_col), _first(F.col(pair), schema))).drop(cut, pair)
+    """DataFrame form of the parsers. Adds ``ok_col`` and ``out_col``."""
+    return with_parses(df, text, schema, [(variant, ok_col, out_col)])
+
+
+def with_parses(df: DataFrame, text: str, schema, parses: list[tuple[str, str, str]]) -> DataFrame:
+    """Several cuts of one text, as (variant, ok_col, out_col): each cut and each parsed pair is a column of its own,
+    computed once a row, and a cut that equals an earlier one takes its pair without a second parse."""
+    schema, staged, gone, done = _struct(schema), df, [], []
+    for variant, ok_col, out_col in parses:
+        cut, pair = f"_{out_col}_cut", f"_{out_col}_pair"
+        staged = staged.withColumn(cut, strip_ws(CUTS[variant](F.col(text))))
+        parsed = _pair(F.col(cut), schema)
+        for earlier in reversed(done):
+            parsed = F.when(F.col(cut) == F.col(f"_{earlier}_cut"), F.col(f"_{earlier}_pair")).otherwise(parsed)
+        staged = staged.withColumn(pair, parsed)
+        staged = staged.withColumn(ok_col, _one_object(F.col(cut), F.col(pair)))
+        staged = staged.withColumn(out_col, F.when(F.col(ok_col), _first(F.col(pair), schema)))
+        gone += [cut, pair]
+        done.append(out_col)
+    return staged.drop(*gone)
 
 
 #: Why a reply was rejected, in the order of the tests.

@@ -122,9 +122,14 @@ def or_default(col, default) -> Column:
     return F.coalesce(F.nullif(_c(col), F.lit(0)), F.lit(default))
 
 
+# Fixed value: the characters that Python's ``str.strip()`` takes for white space.
+WHITE_SPACE = "".join(chr(c) for c in [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+                                       0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
+
+
 def strip_ws(col) -> Column:
     """Python ``str.strip()``: all leading/trailing whitespace, not just spaces."""
-    return F.regexp_replace(_c(col), r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+    return F.btrim(_c(col), F.lit(WHITE_SPACE))
 
 
 # --- F12: time helpers -------------------------------------------------------

@@ -283,8 +283,7 @@ def parse_fence(spark, sf_dir):
     braces, the insight variant parses the stripped block as is and falls back
     to a constant record (part -1) when that fails."""
     raw = _raw_responses(spark, sf_dir)
-    both = jsonparse.with_parsed(raw, "text", _PAYLOAD, "fenced_braced", "ok_rec", "rec")
-    both = jsonparse.with_parsed(both, "text", _PAYLOAD, "fenced", "ok_insight", "ins")
+    both = jsonparse.with_parses(raw, "text", _PAYLOAD, [("fenced_braced", "ok_rec", "rec"), ("fenced", "ok_insight", "ins")])
     return both.select("l_orderkey", "l_linenumber", "ok_rec", F.col("rec.part").alias("rec_part"),
                        "ok_insight", F.coalesce(F.col("ins.part"), F.lit(-1).cast("bigint"))
                        .alias("insight_part"))
