@@ -13,6 +13,7 @@ A line is dropped if an earlier document (a smaller doc_id) holds its key.
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +28,19 @@ BATCHES = 4
 _LAST = (1 << 63) - 1
 
 
+@contextmanager
+def _ordered_runs(spark: SparkSession):
+    """While a plan is run inside: scans of runs keep the order of their files (one for each bucket), so that
+    a merge join sorts only the batch and not the runs again."""
+    name = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 class LineIndex:
     """Levelled runs of line hashes (h1, h2). Runs are tables of the session's
     catalog in the shared folder; ``drop`` removes them."""
@@ -40,9 +54,10 @@ class LineIndex:
     def _save(self, df: DataFrame) -> str:
         name = f"line_run_{uuid.uuid4().hex}"
         path = f"{shared_dir(self.spark).rstrip('/')}/{name}"
-        (df.repartition(self.buckets, "h1", "h2").sortWithinPartitions("h1", "h2").write.format("parquet")
-         .option("path", path).option("compression", "zstd").bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2")
-         .saveAsTable(name))
+        with _ordered_runs(self.spark):
+            (df.repartition(self.buckets, "h1", "h2").sortWithinPartitions("h1", "h2").write.format("parquet")
+             .option("path", path).option("compression", "zstd").bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2")
+             .saveAsTable(name))
         place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         place.getFileSystem(self.spark._jsc.hadoopConfiguration()).deleteOnExit(place)
         self._tables.append(name)
