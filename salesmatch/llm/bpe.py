@@ -23,6 +23,10 @@ from salesmatch.llm.wordblocks import chunk_spans
 from salesmatch.llm.worddict import encode_documents
 
 
+#: Tokens joined with the token-byte table at once.
+_JOINED = 1 << 20
+
+
 def encode(docs: DataFrame, ranks_path: str, key: list[str], text: str = "text",
            pattern: str = BYTE_PATTERN) -> DataFrame:
     """``key`` columns and ``ids``: the text's token ids as little-endian uint16 bytes
@@ -51,17 +55,32 @@ def id_array(ids: DataFrame, out: str = "tokens") -> DataFrame:
     return ids.mapInArrow(run, T.StructType([*kept, T.StructField(out, T.ArrayType(T.IntegerType()))]))
 
 
-def _token_bytes(ranks_path: str) -> list[bytes]:
+def _token_bytes(ranks_path: str) -> pa.Array:
     """The token-byte table: one entry for each id of the vocabulary."""
     ranks = load_ranks(ranks_path)
     table = [b""] * (max(ranks.values()) + 1)
     for token, rank in ranks.items():
         table[rank] = token
-    return table
-
-
-def _decoded(ids: list[bytes], table: list[bytes]) -> list[bytes]:
-    return [b"".join([table[i] for i in np.frombuffer(x, "<u2").tolist()]) for x in ids]
+    return pa.array(table, pa.large_binary())
+
+
+def _decoded(ids: list[bytes], table: pa.Array) -> list[bytes]:
+    """The rows' ids, as one column, joined with the table by id; a row's bytes stand together in the result."""
+    out, at = [], 0
+    while at < len(ids):  # rows with about so many tokens together
+        end, size = at, 0
+        while end < len(ids) and (end == at or size + len(ids[end]) <= 2 * _JOINED):
+            size += len(ids[end])
+            end += 1
+        flat = np.frombuffer(b"".join(ids[at:end]), "<u2")
+        joined = table.take(pa.array(flat))
+        _, edge, data = joined.buffers()
+        edge = np.frombuffer(edge, np.int64)[joined.offset:joined.offset + len(joined) + 1]
+        raw = memoryview(data if data is not None else b"")
+        cut = edge[offsets(np.array([len(x) // 2 for x in ids[at:end]]))].tolist()
+        out += [bytes(raw[i:j]) for i, j in zip(cut, cut[1:])]
+        at = end
+    return out
 
 
 def decode(ids: DataFrame, ranks_path: str, out: str = "decoded") -> DataFrame:

@@ -50,6 +50,40 @@ def test_blocks_number_words_exactly():
         assert b"".join(words[i] for i in chunks.index[chunks.doc_at[k]:chunks.doc_at[k + 1]]) == t
 
 
+def test_runs_are_not_sorted_again(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    index = linededup.LineIndex(spark, buckets=4)
+    keys = lambda a, b: spark.range(a, b).select(F.xxhash64("id").alias("h1"), F.col("id").alias("h2")).groupBy("h1", "h2").agg(
+        F.count("*").alias("n"))
+    try:
+        index.add(keys(0, 500))
+        with linededup._ordered_runs(spark):
+            run = index._run(index.levels[0][0])
+            plan = keys(300, 800).join(run, ["h1", "h2"], "left")._jdf.queryExecution().executedPlan().toString()
+        lines = [x.strip(" :+-*()0123456789") for x in plan.splitlines()]
+        scan = next(i for i, x in enumerate(lines) if x.startswith("FileScan"))
+        above = lines[lines.index(next(x for x in lines if x.startswith("SortMergeJoin"))):scan]
+        run_side = above[max(i for i, x in enumerate(above) if x.startswith(("HashAggregate", "Exchange", "Range"))) + 1:]
+        assert not any(x.startswith(("Sort ", "Exchange")) for x in run_side), plan
+        seen = index.add(keys(300, 800)).where("seen").count()
+        assert seen == 200
+    finally:
+        index.drop()
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_decoding_joins_all_rows():
+    from salesmatch.llm.bpe import _decoded
+    import pyarrow as pa
+    table = pa.array([b"", b"a", b"bc", b"def"], pa.large_binary())
+    rows = [np.array(x, "<u2").tobytes() for x in ([], [1, 2, 3], [0], [3] * 50, [])]
+    assert _decoded(rows, table) == [b"", b"abcdef", b"", b"def" * 50, b""] and _decoded([], table) == []
+    with pytest.raises(Exception):
+        _decoded([np.array([4], "<u2").tobytes()], table)
+
+
 def test_blocks_have_a_row_bound():
     import pyarrow as pa
     batch = pa.RecordBatch.from_arrays([pa.array(["", "a b", ""] * 50, pa.string())], ["t"])
