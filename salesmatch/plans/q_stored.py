@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from salesmatch import schemas
 from salesmatch.operators import filters, paging
 from salesmatch.plans import bindings as B
 from salesmatch.plans.registry import query
@@ -152,3 +153,58 @@ def session_store_query(spark, sf_dir):
     rows = session_store.history(store)
     n = rows.groupBy("session_id").agg(F.count("*").alias("n_visible"))
     return rows.join(n, "session_id").select("session_id", "turn", "role", "content", "n_visible")
+
+
+def _declared(spark, sf_dir) -> dict:
+    """Source rows and declared schema of the model's tables; the sources' types and orders differ from the declared."""
+    i, t, e = B.interactions(spark, sf_dir), B.traces(spark, sf_dir), B.evaluations(spark, sf_dir)
+    return {
+        "customers": (B.customers(spark, sf_dir), schemas.CUSTOMERS),
+        "vehicles": (B.vehicles(spark, sf_dir).withColumn("year", F.lit("20x4")), schemas.VEHICLES),
+        "interactions": (i.withColumn("duration_minutes", F.floor("amount").cast("string")), schemas.INTERACTIONS),
+        "evaluations": (e.withColumnRenamed("evaluated_at", "timestamp"), schemas.EVALUATIONS),
+        "traces": (t.withColumn("timestamp_ms", F.unix_millis("ts")).withColumn("tags", F.create_map(F.lit("name"), "trace_name")), schemas.TRACES),
+        "chat_turns": (B.chat_turns(spark, sf_dir), schemas.CHAT_TURNS)}
+
+
+# Columns that the sources fill in every row, and those with nulls (SQL of their number).
+_FILLED = {
+    "customers": ("customer", "customer_id name occupation", {"budget_min": "count(*) FILTER (WHERE c_custkey % 10 = 1)",
+                                                            "budget_max": "count(*) FILTER (WHERE c_custkey % 10 = 2)"}),
+    "vehicles": ("part", "vehicle_id make model price body_type seating_capacity features stock_status image_path", {}),
+    "interactions": ("orders", "interaction_id customer_id interaction_type interaction_date duration_minutes", {}),
+    "evaluations": ("orders", "evaluation_id trace_id timestamp rating", {"ground_truth": "count(*) FILTER (WHERE o_orderstatus <> 'F')"}),
+    "traces": ("events", "trace_id status timestamp_ms execution_time_ms tags", {}),
+    "chat_turns": ("conversations", "session_id turn role content", {}),
+}
+
+
+def _typed_sql() -> str:
+    out = []
+    kinds = {"customers": schemas.CUSTOMERS, "vehicles": schemas.VEHICLES, "interactions": schemas.INTERACTIONS,
+             "evaluations": schemas.EVALUATIONS, "traces": schemas.TRACES, "chat_turns": schemas.CHAT_TURNS}
+    for name, (source, filled, some) in _FILLED.items():
+        for f in kinds[name].fields:
+            nulls = "0" if f.name in filled.split() else some.get(f.name, "count(*)")
+            out.append(f"SELECT '{name}' AS table_name, '{f.name}' AS column_name, '{f.dataType.simpleString()}' AS type, "
+                       f"count(*) AS n_rows, CAST({nulls} AS BIGINT) AS n_null FROM {source}")
+    return " UNION ALL ".join(out)
+
+
+@query("typed_load", _typed_sql())
+def typed_load(spark, sf_dir):
+    """Every table of the model is loaded under its declared schema, stored, read back with it and
+    described: type, rows and nulls of each column. Sources lack columns and have other types and one unreadable value."""
+    out = None
+    for name, (rows, schema) in _declared(spark, sf_dir).items():
+        path = scratch_path(spark, name)
+        io.overwrite(io.conform(rows, schema), path)
+        back = io.read_table(spark, path, schema)
+        kinds = {f.name: f.dataType.simpleString() for f in back.schema.fields}
+        counted = back.agg(F.count("*").alias("n"), F.array(*[F.struct(
+            F.lit(c).alias("column_name"), F.lit(kinds[c]).alias("type"), F.count_if(F.col(c).isNull()).alias("n_null"))
+            for c in back.columns]).alias("c"))
+        part = counted.select(F.lit(name).alias("table_name"), F.col("n").alias("n_rows"), F.explode("c").alias("x")).select(
+            "table_name", "x.column_name", "x.type", "n_rows", "x.n_null")
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -26,6 +26,22 @@ def typed_load(spark: SparkSession, rows, schema: T.StructType) -> DataFrame:
     return spark.createDataFrame(fixed, schema)
 
 
+def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """The declared columns of ``schema`` in order and with their types, whatever types and order ``df`` has.
+
+    A declared column that ``df`` lacks is null; other columns go. A value that its type cannot hold becomes null, and a
+    null in a column declared without nulls stops the job with its name."""
+    out = []
+    for f in schema.fields:
+        c = F.col(f"`{f.name}`") if f.name in df.columns else F.lit(None)
+        plain = isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))
+        c = c.cast(f.dataType) if plain or f.name not in df.columns else c.try_cast(f.dataType)
+        if not f.nullable:
+            c = F.coalesce(c, F.raise_error(F.lit(f"null in {f.name}")).cast(f.dataType))
+        out.append(c.alias(f.name))
+    return df.select(*out)
+
+
 def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None,
                fmt: str = "parquet") -> DataFrame:
     """Full scan of a stored table; projection and filters applied later

@@ -5,7 +5,9 @@ import os
 import tempfile
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from salesmatch import schemas
 from salesmatch.operators import metrics
@@ -108,3 +110,16 @@ def test_minute_series_with_a_hot_minute_and_null_latency(spark):
     for r, e in zip(got, expect):
         assert (r.p50_latency_ms, r.p95_latency_ms, r.p99_latency_ms) == tuple(round(x, 6) for x in e.p)
         assert abs(r.avg_latency_ms - e.a) < 1e-5
+
+
+def test_conform_declares_types(spark):
+    df = spark.createDataFrame([("7", "x", 3, ["a"]), ("8", "9", None, None)], "turn string, extra string, session_id int, features array<string>")
+    kind = T.StructType([T.StructField("session_id", T.LongType()), T.StructField("turn", T.IntegerType()),
+                         T.StructField("role", T.StringType()), T.StructField("features", T.ArrayType(T.StringType()))])
+    got = io.conform(df, kind)
+    assert got.dtypes == [("session_id", "bigint"), ("turn", "int"), ("role", "string"), ("features", "array<string>")]
+    assert [tuple(r) for r in got.collect()] == [(3, 7, None, ["a"]), (None, 8, None, None)]
+    bad = spark.createDataFrame([("x",)], "turn string")
+    assert io.conform(bad, T.StructType([T.StructField("turn", T.IntegerType())])).first().turn is None
+    with pytest.raises(Exception, match="null in turn"):
+        io.conform(bad, T.StructType([T.StructField("turn", T.IntegerType(), False)])).collect()
