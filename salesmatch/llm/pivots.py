@@ -23,8 +23,12 @@ from salesmatch.llm.components import components
 
 #: Nearest pivots that describe a vector, and how many a pair must share.
 NEAREST, SHARED = 12, 2
-#: One pivot for so many vectors, at most MAX_PIVOTS; the sample holds SAMPLE times as many vectors.
-PER_PIVOT, MAX_PIVOTS, SAMPLE = 16, 4096, 4
+#: One pivot for so many vectors, at most MAX_PIVOTS; the sample holds SAMPLE times as many vectors. Up to
+#: PER_PIVOT * MAX_PIVOTS (a million) vectors a list's length, and with it the comparisons for each vector, does not grow
+#: with the table; beyond, lists grow with it. The pivots are broadcast: 65,536 vectors at most.
+PER_PIVOT, MAX_PIVOTS, SAMPLE = 16, 1 << 16, 4
+#: Sampled vectors compared at once with the pivots chosen so far.
+_BLOCK = 512
 #: Pivots are less alike than this cosine.
 ALIKE = 0.7
 #: Vectors of a list compared at once.
@@ -48,14 +52,33 @@ def choose_pivots(vectors: DataFrame, seed: int = 7) -> np.ndarray:
     n = vectors.count()
     wanted = min(MAX_PIVOTS, max(16, n // PER_PIVOT))
     sample = vectors.orderBy(F.xxhash64(F.lit(seed), "id")).limit(SAMPLE * wanted).select("vector").toArrow()
-    x = _unit(sample.column(0).combine_chunks())
-    kept: list[int] = []
-    for i in range(len(x)):
+    return spread(_unit(sample.column(0).combine_chunks()), wanted)
+
+
+def spread(x: np.ndarray, wanted: int, alike: float = ALIKE) -> np.ndarray:
+    """The first ``wanted`` rows, in order, that are less alike than ``alike`` to every earlier one taken."""
+    kept = np.empty((0, x.shape[1]))
+    for i in range(0, len(x), _BLOCK):
+        part = x[i:i + _BLOCK]
+        if len(kept):
+            part = part[(part @ kept.T).max(1) < alike]
+        among = part @ part.T
+        taken: list[int] = []
+        for k in range(len(part)):
+            if len(kept) + len(taken) == wanted:
+                break
+            if not taken or among[k, taken].max() < alike:
+                taken.append(k)
+        kept = np.concatenate((kept, part[taken]))
         if len(kept) == wanted:
             break
-        if not kept or (x[kept] @ x[i]).max() < ALIKE:
-            kept.append(i)
-    return x[kept]
+    return kept
+
+
+def comparisons(vectors: np.ndarray, pivots: np.ndarray, nearest: int = NEAREST) -> int:
+    """Pairs that stand together in the lists of unit vectors: what the index compares."""
+    length = np.bincount(permutations(vectors, pivots, nearest).ravel(), minlength=len(pivots))
+    return int((length * (length - 1) // 2).sum())
 
 
 def _unit(lists) -> np.ndarray:

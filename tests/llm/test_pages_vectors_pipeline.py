@@ -163,6 +163,33 @@ def test_vectors_against_brute_force(spark):
     assert pivots.near_duplicates(df.where("false")).count() == 0
 
 
+def unit(x):
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def test_spread_pivots_equal_the_plain_greedy_choice():
+    rng = np.random.default_rng(0)
+    x = unit(np.concatenate((rng.normal(size=(40, 8)), rng.normal(size=(20, 8)) * 0.05 + 1, rng.normal(size=(1500, 8)))))
+    kept = []
+    for v in x:
+        if len(kept) < 90 and all(v @ k < 0.7 for k in kept):
+            kept.append(v)
+    assert np.allclose(pivots.spread(x, 90), kept) and len(pivots.spread(x[:0], 5)) == 0
+
+
+@pytest.mark.parametrize("clusters", [0, 50])
+def test_comparisons_grow_with_the_vectors(clusters):
+    def of(n):
+        rng = np.random.default_rng(1)
+        x = rng.normal(size=(n, 16))
+        if clusters:
+            x = rng.normal(size=(clusters, 16))[rng.integers(0, clusters, n)] * 1.2 + x
+        x = unit(x)
+        return pivots.comparisons(x, pivots.spread(x[:4 * (n // pivots.PER_PIVOT)], n // pivots.PER_PIVOT))
+
+    assert of(8000) < 6 * of(2000)
+
+
 def test_lists_are_cut_into_chunks(spark, monkeypatch):
     monkeypatch.setattr(pivots, "CHUNK", 16)
     base = np.random.default_rng(4).normal(size=8)
