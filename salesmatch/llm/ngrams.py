@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from salesmatch.llm.common import arrow_batches, text_or_empty, written
+from salesmatch.llm.common import arrow_batches, text_or_empty, tidy, written
 from salesmatch.llm.wordblocks import _distinct
 
 ORDER = 5
@@ -125,7 +125,7 @@ def count_grams(docs: DataFrame, lang: str, text: str) -> DataFrame:
                          pa.array(n[k:k + SENT])], ["lang", "gram", "n"])
 
     rows = docs.select(F.coalesce(F.col(lang), F.lit("")).alias("lang"), text_or_empty(text).alias("text"))
-    return rows.mapInArrow(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("c"))
+    return rows.mapInArrow(tidy(run), "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("c"))
 
 
 @dataclass

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from salesmatch.llm import ngrams
-from salesmatch.llm.common import ASCII_WS, arrow_batches, text_or_empty, written
+from salesmatch.llm.common import ASCII_WS, arrow_batches, text_or_empty, tidy, written
 
 #: Quartile distances from the quartiles to the lower and upper end of a language's band, and the least
 #: distance taken. Rule for both ends: the labelled clean document furthest out on that side (3.81 down and
@@ -87,7 +87,7 @@ def features(docs: DataFrame, key: list[str], lang: str, text: str, model: ngram
     body = text_or_empty(text)
     rows = docs.select(*[F.col(k).alias(c) for k, c in zip(key, names)], F.coalesce(F.col(lang), F.lit("")).alias("_lang"),
                        F.xxhash64(body).alias("_row"), body.alias("_text"))
-    out = rows.mapInArrow(run, T.StructType(
+    out = rows.mapInArrow(tidy(run), T.StructType(
         [*(rows.schema[c] for c in passed), *(T.StructField(c, T.LongType()) for c in (*_COUNTS, "n_letter_words", "n_grams")),
          T.StructField("logp", T.DoubleType())]))
     return out.select(*[F.col(c).alias(k) for k, c in zip(key, names)], F.col("_lang").alias("model_lang"),

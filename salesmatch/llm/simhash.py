@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from salesmatch.llm.common import text_or_empty, written
+from salesmatch.llm.common import text_or_empty, tidy, written
 from salesmatch.llm.components import components
 
 #: A slot with more fingerprints has more pairs than its fingerprints have near values.
@@ -69,7 +69,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
 
     body = text_or_empty(text)
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(body).alias("row"), body.alias("t")).mapInArrow(
-        run, "doc_id long, row long, fp long")
+        tidy(run), "doc_id long, row long, fp long")
 
 
 def _bits(fp: np.ndarray, bits: list[int]) -> np.ndarray:
