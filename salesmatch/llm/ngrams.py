@@ -9,7 +9,7 @@ A task counts the distinct n-grams of bounded pieces of text; Spark sums them an
 derives continuation counts, discounts, interpolated probabilities and back-off
 weights with aggregates and joins. For scoring, the model becomes two sorted
 arrays, of hashes and of values. They are broadcast after a check of their size;
-a larger model is joined with the documents' distinct n-grams instead.
+a larger model is joined with the distinct n-grams of blocks of texts instead.
 """
 
 from __future__ import annotations
@@ -18,9 +18,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from salesmatch.llm import packing
 from salesmatch.llm.common import arrow_batches, text_or_empty, tidy, written
 from salesmatch.llm.wordblocks import _distinct
 
@@ -235,28 +237,45 @@ def model_bytes(model: Model) -> int:
     return 16 * (model.rows.count() + model.backoff.count())
 
 
-def joined_scores(docs: DataFrame, model: Model, lang: str, text: str) -> DataFrame:
-    """lang, row (hash of the text), n_grams and logp of every distinct text, by joining its distinct
-    n-grams with the model's tables: the way for a model too large to broadcast."""
+_GRAM, _TEXT = 0, 1
+
+
+def _blocks(docs: DataFrame, lang: str, text: str) -> DataFrame:
+    """Texts cut into blocks of bounded size, as one table of two kinds of rows: each distinct n-gram of a block once,
+    with its place in the block, and each piece of a text as the places and counts of its distinct n-grams."""
 
     def run(batches):
+        number = TaskContext.get().partitionId() << 32
         for b in batches:
-            keys = b.column(2).to_pylist()
+            keys, seen = b.column(2).to_pylist(), set()
             for group in pieces(zip(range(b.num_rows), b.column(0).to_pylist(), b.column(1).to_pylist())):
                 points, langs, of, at, _, index, own = distinct_grams(group)
-                grams = points[at[:, None] + np.arange(ORDER)].view(f"<U{ORDER}").ravel().tolist()
-                edge = np.cumsum(own) - own
-                for (i, name, _), begin, size in zip(group, edge.tolist(), own.tolist()):
-                    which, n = np.unique(index[begin:begin + size], return_counts=True)
+                number += 1
+                names = np.array(langs, object)
+                for k in range(0, len(at), SENT):
+                    grams = points[at[k:k + SENT, None] + np.arange(ORDER)].view(f"<U{ORDER}").ravel().tolist()
+                    n = len(grams)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([name] * len(which), pa.string()), pa.array([keys[i]] * len(which), pa.int64()),
-                         pa.array([grams[w] for w in which.tolist()], pa.string()), pa.array(n, pa.int64())],
-                        ["lang", "row", "gram", "n"])
+                        [pa.array([_GRAM] * n, pa.int32()), pa.array([number] * n, pa.int64()), pa.array(names[of[k:k + SENT]], pa.string()),
+                         pa.array(grams, pa.string()), pa.array(np.arange(k, k + n)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()),
+                         pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], schema=fields)
+                edge, out = np.cumsum(own) - own, []
+                for (i, name, _), begin, size in zip(group, edge.tolist(), own.tolist()):
+                    places, n = np.unique(index[begin:begin + size], return_counts=True)
+                    out.append((_TEXT, number, name, None, None, keys[i], int(i not in seen), packing.pack_rising(places), packing.pack_ints(n)))
+                    seen.add(i)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), fields)], schema=fields)
 
+    fields = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("lang", pa.string()), ("gram", pa.string()), ("place", pa.int64()),
+                        ("row", pa.int64()), ("first", pa.int32()), ("places", pa.binary()), ("counts", pa.binary())])
     body = text_or_empty(text)
-    rows = docs.select(F.coalesce(F.col(lang), F.lit("")).alias("lang"), body.alias("text"),
-                       F.xxhash64(body).alias("row")).dropDuplicates(["lang", "row"])
-    grams = rows.mapInArrow(run, "lang string, row long, gram string, n long")
+    rows = docs.select(F.coalesce(F.col(lang), F.lit("")).alias("lang"), body.alias("text"), F.xxhash64(body).alias("row"))
+    return rows.mapInArrow(tidy(run), "kind int, block long, lang string, gram string, place long, row long, first int, "
+                                      "places binary, counts binary")
+
+
+def _backed_off(grams: DataFrame, model: Model) -> DataFrame:
+    """lang, gram and logp of n-grams that the model does not know as such, through its lower orders."""
     total, missing = F.lit(0.0), F.lit(True)
     for k in range(ORDER, 0, -1):
         tail = F.substring("gram", ORDER - k + 1, k)
@@ -267,4 +286,39 @@ def joined_scores(docs: DataFrame, model: Model, lang: str, text: str) -> DataFr
         grams = grams.withColumn("t", head).join(g, ["lang", "t"], "left").drop("t")
         total = total + F.when(missing, F.coalesce(f"p{k}", f"g{k}", F.lit(-20.0 if k == 1 else 0.0))).otherwise(0.0)
         missing = missing & F.col(f"p{k}").isNull()
-    return grams.groupBy("lang", "row").agg(F.sum("n").alias("n_grams"), F.sum(F.col("n") * total).alias("logp"))
+    return grams.select("lang", "gram", total.alias("logp"))
+
+
+def joined_scores(docs: DataFrame, model: Model, lang: str, text: str) -> DataFrame:
+    """lang, row (hash of the text), n_grams and logp of every distinct text: the way for a model too large to broadcast.
+
+    No text is shuffled. Each distinct n-gram of a block of texts meets the model's highest order in one join, and
+    the values go back to the block by one more shuffle. Only n-grams that the model does not know take the way through
+    its lower orders, each distinct one once; of texts that the model was fitted on there are none.
+    """
+    blocks = written(_blocks(docs, lang, text), "ngram_blocks", partition_by="kind")
+    grams = blocks.where(F.col("kind") == _GRAM).select("block", "lang", "gram", "place")
+    texts = blocks.where(F.col("kind") == _TEXT).select("block", "lang", "row", "first", "places", "counts")
+    known = model.rows.where(F.col("k") == ORDER).select("lang", "gram", "logp")
+    met = written(grams.join(known, ["lang", "gram"], "left"), "ngram_values")
+    new = written(met.where("logp is null").select("lang", "gram").distinct(), "ngram_unknown")
+    if new.limit(1).count():
+        back = _backed_off(new, model).withColumnRenamed("logp", "lower")
+        met = met.join(back, ["lang", "gram"], "left").select("block", "place", F.coalesce("logp", "lower").alias("logp"))
+
+    def put_back(left: pa.Table, right: pa.Table) -> pa.Table:
+        value = np.zeros(right.num_rows)
+        value[right.column("place").to_numpy()] = right.column("logp").to_numpy()
+        n, total = [], []
+        for places, counts in zip(left.column("places").to_pylist(), left.column("counts").to_pylist()):
+            count = packing.unpack_ints(counts).astype(np.int64)
+            n.append(int(count.sum()))
+            total.append(float((value[packing.unpack_rising(places)] * count).sum()))
+        return pa.table([left.column("lang"), left.column("row"), left.column("first"), pa.array(n, pa.int64()), pa.array(total, pa.float64())],
+                        ["lang", "row", "first", "n", "logp"])
+
+    parts = texts.groupBy("block").cogroup(met.select("block", "place", "logp").groupBy("block")).applyInArrow(
+        put_back, "lang string, row long, first int, n long, logp double")
+    # Copies of a text add up alike; their number is that of the first pieces.
+    return parts.groupBy("lang", "row").agg(
+        (F.sum("n") / F.sum("first")).cast("long").alias("n_grams"), (F.sum("logp") / F.sum("first")).alias("logp"))

@@ -381,6 +381,30 @@ def test_model_probabilities_add_up(spark):
         assert 0.97 < total <= 1.0001
 
 
+def test_joined_scores_equal_the_hashed_model(spark, monkeypatch):
+    """Texts that the model knows and others, copies, texts of several pieces, null and empty ones."""
+    monkeypatch.setattr(ngrams, "WINDOW", 700)
+    docs = frame(spark, [(i, prose(i)) for i in range(2, 30, 2)])
+    model = ngrams.fit(docs, "lang", "text")
+    texts = [(i, prose(i)) for i in range(2, 12, 2)] + [(i, prose(i, 400)) for i in range(50, 56)] + [
+        (100, prose(4)), (102, prose(4)), (104, None), (106, ""), (108, "Ünseen 中文 !?"), (51, "odd ids have no language")]
+    other = frame(spark, texts).repartition(3)
+    hashed = ngrams.HashedModel(model)
+    want = {}
+    for r in other.collect():
+        lang, text = r.lang or "", r.text or ""
+        for group in ngrams.pieces([(0, lang, text)], 1 << 20):
+            points, langs, of, at, h, index, own = ngrams.distinct_grams(group)
+            want[lang, text] = (len(index), float(hashed.logp(points, langs, of, at, h)[index].sum()))
+    got = {(r.lang, r.row): (r.n_grams, r.logp) for r in ngrams.joined_scores(other, model, "lang", "text").collect()}
+    keys = {(r.lang, r.row): (r.lang, r.text) for r in other.select(
+        F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"),
+        F.xxhash64(F.coalesce("text", F.lit(""))).alias("row")).collect()}
+    assert set(got) == set(keys) and len(got) == len(want)
+    for key, (n, logp) in got.items():
+        assert n == want[keys[key]][0] and logp == pytest.approx(want[keys[key]][1], abs=1e-8)
+
+
 def test_secret_forest_holds_out(spark):
     from pyspark.ml.feature import VectorAssembler
 
