@@ -46,7 +46,7 @@ def keyed_versions(spark, sf_dir):
         return io.stamp(rows.withColumn("origin", F.lit(origin)), "record_id", "order-intake",
                         ["customer_id", "interaction_id", "origin"], at)
 
-    t = KeyedTable.create(spark, scratch_path(spark, "keyed"), record(i, "first", STORED_AT), ["customer_id"], 64)
+    t = KeyedTable.create(spark, scratch_path(spark, "keyed"), record(i, "first", STORED_AT), ["customer_id"], 16)
     versions = [t]
     t = t.append(record(i.where("interaction_id % 5 = 0").withColumn("amount", (-F.col("amount")).cast("decimal(18,2)")),
                         "appended", CHANGED_AT))

@@ -18,7 +18,7 @@ from salesmatch.sources.keyed import KeyedTable
 
 TURNS = T.StructType([T.StructField("session_id", T.LongType()), T.StructField("turn", T.LongType()),
                       T.StructField("role", T.StringType()), T.StructField("content", T.StringType())])
-BUCKETS = 64
+BUCKETS = 16
 _MARK = "session_stream"
 
 
