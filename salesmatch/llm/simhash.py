@@ -198,7 +198,10 @@ def _slots(fp: np.ndarray, groups: list[list[int]], thresholds: np.ndarray) -> t
 
 def links(fps: DataFrame, distance: int, parts: int | None = None, dense: int = DENSE) -> DataFrame:
     """Edges ``a``, ``b`` between distinct fingerprints (column ``fp``) that connect exactly
-    those reachable by links of at most ``distance`` differing bits; every edge is such a link."""
+    those reachable by links of at most ``distance`` differing bits; every edge is such a link.
+
+    ``fps`` holds no nulls and no repeats (texts without words share fingerprint 0, once); other columns are
+    ignored; an empty table gives no edges."""
     groups = correlated_groups(fps, parts or distance + 1)
     allot = Allocator(fps, groups, distance)
     batch_rows = 20_000
