@@ -50,10 +50,6 @@ def arrow_batches(spark: SparkSession, rows: int, size: int):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-#: mallopt's parameter for the size from which memory is mapped by itself, and that size.
-_MMAP_THRESHOLD, _LARGE = -3, 1 << 20
-
-
 def give_back() -> None:
     """Free memory of this Python worker goes back to the machine. Workers live on between tasks and stages; what
     they keep is missing in the executor's share. Where the C library has no such calls nothing is done."""
@@ -62,18 +58,15 @@ def give_back() -> None:
     gc.collect()
     pa.default_memory_pool().release_unused()
     try:
-        libc = ctypes.CDLL(None)
-        libc.mallopt(_MMAP_THRESHOLD, _LARGE)  # large arrays are mapped by themselves and go when they are freed
-        libc.malloc_trim(0)
+        ctypes.CDLL(None).malloc_trim(0)
     except (AttributeError, OSError):
         pass
 
 
 def tidy(run):
-    """``run``, a function for mapInArrow, giving memory back before and after."""
+    """``run``, a function for mapInArrow, giving memory back when it ends."""
 
     def tidied(batches):
-        give_back()
         try:
             yield from run(batches)
         finally:

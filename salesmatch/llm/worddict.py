@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from salesmatch.llm import packing, wordblocks
-from salesmatch.llm.common import give_back, shuffle_width, text_or_empty, tidy
+from salesmatch.llm.common import shuffle_width, text_or_empty, tidy
 
 #: Words put together at once, to bound memory.
 _SLICE = 1 << 19
@@ -136,7 +136,6 @@ def encode_documents(docs: DataFrame, key: list[str], text: str, spans: Callable
             for own, n in zip(keys, names):
                 own.append(left.column(n).combine_chunks()[i].values)
         ids = flat = index = count = begin = found = None
-        give_back()
         columns = [pa.concat_arrays(own) if own else pa.nulls(0) for own in keys]
         table = pa.table([*columns, pa.array(out, pa.binary())], [*key, "ids"])
         if make_finish is None:
