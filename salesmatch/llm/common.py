@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import gc
 import uuid
 from contextlib import contextmanager
 
@@ -55,7 +54,6 @@ def give_back() -> None:
     they keep is missing in the executor's share. Where the C library has no such calls nothing is done."""
     import pyarrow as pa
 
-    gc.collect()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)

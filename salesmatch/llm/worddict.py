@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from salesmatch.llm import packing, wordblocks
-from salesmatch.llm.common import shuffle_width, text_or_empty, tidy
+from salesmatch.llm.common import shuffle_width, text_or_empty
 
 #: Words put together at once, to bound memory.
 _SLICE = 1 << 19
@@ -80,9 +80,10 @@ def encode_documents(docs: DataFrame, key: list[str], text: str, spans: Callable
                 words = [buf[i:j] for i, j in zip(edge, edge[1:])]
                 if len(known) > _KNOWN:
                     known.clear()
-                new = [w for w in words if w not in known]
-                known.update(zip(new, encode(new)))
-                ids = [known[w] for w in words]
+                ids = list(map(known.get, words))
+                new = [i for i, x in enumerate(ids) if x is None]
+                for i, x in zip(new, encode([words[i] for i in new])):
+                    ids[i] = known[words[i]] = x
                 flat = np.fromiter(chain.from_iterable(ids), np.uint32)
                 if len(flat) and flat.max() > 65535:
                     raise ValueError(f"token id {flat.max()} does not fit 16 bits")
@@ -135,7 +136,6 @@ def encode_documents(docs: DataFrame, key: list[str], text: str, spans: Callable
                 d = e
             for own, n in zip(keys, names):
                 own.append(left.column(n).combine_chunks()[i].values)
-        ids = flat = index = count = begin = found = None
         columns = [pa.concat_arrays(own) if own else pa.nulls(0) for own in keys]
         table = pa.table([*columns, pa.array(out, pa.binary())], [*key, "ids"])
         if make_finish is None:
@@ -145,9 +145,9 @@ def encode_documents(docs: DataFrame, key: list[str], text: str, spans: Callable
         return finish[0](table)
 
     kept = [T.StructField(n, docs.schema[k].dataType) for k, n in zip(key, names)]
-    sent = rows.select("_text").mapInArrow(tidy(words_out), "block long, bucket int, at binary, lens binary, words binary")
-    back = sent.repartition(buckets, "bucket").mapInArrow(tidy(encoded), "block long, at binary, n binary, ids binary")
-    lists = rows.mapInArrow(tidy(docs_out), T.StructType([
+    sent = rows.select("_text").mapInArrow(words_out, "block long, bucket int, at binary, lens binary, words binary")
+    back = sent.repartition(buckets, "bucket").mapInArrow(encoded, "block long, at binary, n binary, ids binary")
+    lists = rows.mapInArrow(docs_out, T.StructType([
         *[T.StructField(f.name, T.ArrayType(f.dataType)) for f in kept], T.StructField("block", T.LongType()),
         T.StructField("sizes", T.BinaryType()), T.StructField("index", T.BinaryType())]))
     plain = T.StructType([*(T.StructField(k, f.dataType) for k, f in zip(key, kept)), T.StructField("ids", T.BinaryType())])
