@@ -97,6 +97,22 @@ def test_hot_buckets_are_split_on_both_sides(spark):
     assert ls.join(rs, cell).select("k", "v").distinct().count() == ls.join(rs, cell).count() == 120_000
 
 
+def test_range_join_bucketed_returns_every_pair(spark, tmp_path):
+    """A row for each vehicle in a customer's band, copies and equal prices included."""
+    from salesmatch.plans import q_matching
+
+    spark.createDataFrame([(3, "a", "x", 1000.0), (13, "b", "x", 1000.0), (10, "c", "x", 700.0), (None, "d", "x", 1.0)],
+                          "c_custkey long, c_name string, c_mktsegment string, c_acctbal double").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(j, "m", "n o", "t", 1, p) for j, p in enumerate([800.0, 800.0, 1300.0, 1300.5, 799.9, None])] + [(0, "m", "n o", "t", 1, 800.0)],
+                          "p_partkey long, p_brand string, p_name string, p_type string, p_size int, p_retailprice double"
+                          ).write.parquet(f"{tmp_path}/part.parquet")
+    got = q_matching.range_join_bucketed(spark, str(tmp_path))
+    assert got.columns == ["customer_id", "vehicle_id", "price", "budget_min", "budget_max"]
+    band = [(0, 800.0), (0, 800.0), (1, 800.0), (2, 1300.0)]
+    assert rows(got, *got.columns) == sorted([(k, v, p, 800, 1300) for k in (3, 13) for v, p in band] + [
+        (10, v, p, 0, 910) for v, p in [(0, 800.0), (0, 800.0), (1, 800.0), (4, 799.9)]])
+
+
 def test_range_join_empty_right(spark):
     left, right = _random_tables(spark)
     assert joins.range_join(left, right.limit(0), "lo", "hi", "price").count() == 0
