@@ -97,6 +97,40 @@ def test_hot_buckets_are_split_on_both_sides(spark):
     assert ls.join(rs, cell).select("k", "v").distinct().count() == ls.join(rs, cell).count() == 120_000
 
 
+@pytest.mark.parametrize("force", ["broadcast", "shuffle"])
+def test_tasks_of_a_range_join_follow_its_pairs(spark, force):
+    left = spark.range(0, 400, 1, 1).select(F.col("id").alias("k"), F.lit(0).alias("lo"), (F.col("id") + 50).alias("hi"))
+    right = spark.range(0, 300, 1, 1).select(F.col("id").alias("v"), (F.col("id") % 100).cast("double").alias("price"))
+    got = joins.range_join(left, right, "lo", "hi", "price", target_buckets=4, force=force, pairs_per_task=2000)
+    each = [r["n"] for r in got.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert len(each) > 3 and max(each) < sum(each) / 2
+    assert rows(got, "k", "v") == rows(joins.naive_range_join(left, right, "lo", "hi", "price"), "k", "v")
+    assert joins.tested_pairs(left, right, "lo", "hi", "price", 1) == 120_000
+
+
+def test_cells_hold_a_bounded_number_of_pairs(spark):
+    for n, m in ((400, 300), (1000, 3), (2, 900)):
+        left = spark.range(n).select(F.col("id").alias("k"), F.lit(1).alias("_b"))
+        right = spark.range(m).select(F.col("id").alias("v"), F.lit(1).alias("_b"))
+        ls, rs, cell = joins._in_cells(left, right, 200_000, 400)
+        joined = ls.join(rs, cell)
+        assert joined.groupBy(*cell).count().agg(F.max("count")).first()[0] < 4 * 400
+        assert joined.select("k", "v").distinct().count() == joined.count() == n * m
+
+
+def test_ranges_beyond_the_values_have_no_pieces(spark):
+    nan = float("nan")
+    left = spark.createDataFrame([(1, 50.0, 90.0), (2, 0.0, 9.0), (3, 10.0, 10.0), (4, 5.0, 60.0), (5, nan, nan)],
+                                 "k long, lo double, hi double")
+    right = spark.createDataFrame([(1, 10.0), (2, 40.0), (3, None)], "v long, price double")
+    assert joins.tested_pairs(left, right, "lo", "hi", "price", 1) == 4
+    for more in ([], [(4, nan)]):
+        all_of = right.union(spark.createDataFrame(more, right.schema))
+        for force in ("broadcast", "shuffle"):
+            assert rows(joins.range_join(left, all_of, "lo", "hi", "price", force=force), "k", "v") == rows(
+                joins.naive_range_join(left, all_of, "lo", "hi", "price"), "k", "v")
+
+
 def test_range_join_bucketed_returns_every_pair(spark, tmp_path):
     """A row for each vehicle in a customer's band, copies and equal prices included."""
     from salesmatch.plans import q_matching
