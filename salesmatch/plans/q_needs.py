@@ -14,6 +14,9 @@ from salesmatch.operators import needs
 from salesmatch.plans import bindings as B
 from salesmatch.plans.registry import query
 
+# Customers whose dialogue a task writes and reads.
+CUSTOMERS_PER_TASK = 10_000
+
 _BODIES = ["minivan", "suv", "sedan", "station wagon", "compact", "pickup"]
 
 
@@ -23,7 +26,8 @@ def _said(*parts) -> Column:
 
 def dialogue(spark, sf_dir) -> DataFrame:
     """session_id, turn, role, content: up to six turns for each customer, some of them null or empty."""
-    c = B.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("bal"))
+    c = B.spread(B.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("bal")),
+                 CUSTOMERS_PER_TASK)
     k = F.col("k")
     man = (F.lit(100) + F.floor(F.abs("bal")) % 400).cast("string")  # units of 10,000 yen
     more = (F.lit(150) + F.floor(F.abs("bal")) % 400).cast("string")

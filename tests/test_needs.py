@@ -84,3 +84,20 @@ def test_the_trie_walk_shuffles_no_text(spark):
     df = spark.createDataFrame([(1, 0, "user", "a suv")], TURNS)
     plan = needs.mentions(df, "session_id", "turn", "content")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in plan and "NestedLoop" not in plan
+
+
+def test_customers_of_one_file_are_dealt_to_several_tasks(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from salesmatch.plans import q_needs
+
+    rows = spark.range(0, 300, 1, 1).select(F.col("id").alias("c_custkey"), (F.col("id") * 7.5).alias("c_acctbal"))
+    rows.union(rows.limit(1)).union(rows.limit(1).select(F.lit(None).cast("long"), F.lit(None).cast("double"))).coalesce(1).write.parquet(
+        f"{tmp_path}/customer.parquet")
+    whole = q_needs.dialogue(spark, str(tmp_path))
+    assert whole.select(F.spark_partition_id()).distinct().count() == 1
+    monkeypatch.setattr(q_needs, "CUSTOMERS_PER_TASK", 50)
+    dealt = q_needs.dialogue(spark, str(tmp_path))
+    each = [r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(each) == 7 and max(each) < 2 * min(each)
+    assert dealt.exceptAll(whole).count() == whole.exceptAll(dealt).count() == 0
