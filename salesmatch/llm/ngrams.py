@@ -207,7 +207,9 @@ class HashedModel:
         got = both.mapInArrow(run, "h long, v double").toArrow()
         h = got.column("h").to_numpy().view(np.uint64)
         order = np.argsort(h)
-        self.hashes, self.values = h[order], got.column("v").to_numpy()[order]
+        self.hashes = h[order]
+        del h
+        self.values = got.column("v").to_numpy()[order]
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
