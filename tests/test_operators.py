@@ -131,6 +131,39 @@ def test_ranges_beyond_the_values_have_no_pieces(spark):
                 joins.naive_range_join(left, all_of, "lo", "hi", "price"), "k", "v")
 
 
+def test_shelves_and_bays_hold_every_pair_once(spark, monkeypatch):
+    """Blocks of several buckets, buckets of several shelves, bays of one block and of many, ends inside all of them."""
+    left, right = _random_tables(spark)
+    left = left.union(left.where("k < 9")).union(spark.createDataFrame([(99, -10**6, 10**6)], left.schema))
+    right = right.union(right.where("v < 9")).union(spark.createDataFrame([(900, None), (901, float("nan"))], right.schema))
+    want = rows(joins.naive_range_join(left, right, "lo", "hi", "price"), "k", "v")
+    for shelf, bay, buckets, per_task in ((7, 50, 64, 2000), (40, 45, 64, 2000), (1, 1, 16, 10**6), (10**6, 10**6, 8, 2000)):
+        monkeypatch.setattr(joins, "SHELF_ROWS", shelf)
+        monkeypatch.setattr(joins, "BAY_ROWS", bay)
+        got = joins.range_join(left, right, "lo", "hi", "price", buckets, force="broadcast", pairs_per_task=per_task)
+        assert rows(got, "k", "v") == want
+
+
+def test_a_task_sees_the_right_rows_of_one_bay(spark, monkeypatch):
+    monkeypatch.setattr(joins, "SHELF_ROWS", 10)
+    monkeypatch.setattr(joins, "BAY_ROWS", 100)
+    left = spark.range(0, 80, 1, 1).select(F.col("id").alias("k"), F.lit(0).alias("lo"), F.lit(1000).alias("hi"))
+    right = spark.range(1000).select(F.col("id").alias("v"), F.col("id").cast("double").alias("price"))
+    got = joins.range_join(left, right, "lo", "hi", "price", force="broadcast", pairs_per_task=4000)
+    each = got.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n"), F.countDistinct("v").alias("v")).collect()
+    assert sum(r["n"] for r in each) == 80_000 and max(r["v"] for r in each) < 150 and max(r["n"] for r in each) < 3 * 4000
+
+
+def test_written_pairs_take_few_bytes(spark, tmp_path):
+    """The right rows of a shelf follow each other for one left row after the other, so their columns nearly vanish."""
+    rnd = random.Random(5)
+    left = spark.createDataFrame([(i, i - 150, i + 10**6) for i in range(150)], "k long, lo long, hi long").coalesce(1)
+    right = spark.createDataFrame([(rnd.getrandbits(60), rnd.uniform(200, 10**6)) for _ in range(20_000)], "v long, price double")
+    joins.range_join(left, right, "lo", "hi", "price", force="broadcast").write.parquet(f"{tmp_path}/pairs")
+    assert spark.read.parquet(f"{tmp_path}/pairs").distinct().count() == 150 * 20_000
+    assert sum(p.stat().st_size for p in tmp_path.rglob("*.parquet")) < 150 * 20_000
+
+
 def test_range_join_bucketed_returns_every_pair(spark, tmp_path):
     """A row for each vehicle in a customer's band, copies and equal prices included."""
     from salesmatch.plans import q_matching
